@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 SALTS = 32
 
-_checked: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+# Rows counted so far, and whether that was all of them.
+_checked: WeakKeyDictionary[DataFrame, tuple[int, bool]] = WeakKeyDictionary()
 
 
 def within_rows(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -20,11 +21,12 @@ def within_rows(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     The answer is kept with the DataFrame, so reports that share a dimension
     check it once.
     """
-    known = _checked.get(table)
-    if known is None or known == limit + 1:
-        known = table.limit(limit + 1).count()
-        _checked[table] = known
-    return known <= limit
+    seen, all_seen = _checked.get(table, (0, False))
+    if not all_seen and seen <= limit:
+        seen = table.limit(limit + 1).count()
+        all_seen = seen <= limit
+        _checked[table] = seen, all_seen
+    return all_seen and seen <= limit
 
 
 def join_dimension(rows: DataFrame, table: DataFrame, small_from: DataFrame, key: str,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.functions import ratios
@@ -62,11 +62,24 @@ def daily_rollup(fact: DataFrame, attributes: DataFrame, definition: CaseDefinit
                     sex_label(F.col("sex_code")).alias("sex"), "died", "cases"))
 
 
-def write_rollup(rollup: DataFrame, path: str) -> None:
-    """Write the roll-up by day; days that are not in it stay as they are."""
-    (rollup.repartition("event_date").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic")
-     .partitionBy("event_date").parquet(path))
+def period_of(grain: str) -> Column:
+    """The day or month a row of the roll-up is filed under."""
+    if grain == "day":
+        return F.col("event_date")
+    if grain == "month":
+        return F.trunc("event_date", "month")
+    raise ValueError(f"grain is 'day' or 'month', not {grain!r}")
+
+
+def write_rollup(rollup: DataFrame, path: str, grain: str = "day") -> None:
+    """Write the roll-up filed by period; periods that are not in it stay as they are.
+
+    Days suit a roll-up that is refreshed all the time, months one that reaches back
+    many years: a month of it is one small file.
+    """
+    (rollup.withColumn("period", period_of(grain)).repartition("period")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("period").parquet(path))
 
 
 def weekly_table_from_rollup(rollup: DataFrame, *, weeks: int = 10, compare: str = "previous",

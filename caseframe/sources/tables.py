@@ -22,11 +22,13 @@ class Star:
 
 def read_star(spark: SparkSession, path: str) -> Star:
     """Read a star written by :func:`write_star`; the year column is found as a partition."""
+    def read(schema: T.StructType, name: str) -> DataFrame:
+        # Partition columns come last in files; the schema's order is kept.
+        return spark.read.schema(schema).parquet(f"{path}/{name}").select(schema.fieldNames())
+
     with_year = T.StructType([*FACT_EVENT.fields, T.StructField("event_year", T.IntegerType())])
-    return Star(
-        fact=spark.read.schema(with_year).parquet(f"{path}/fact_event"),
-        attributes=spark.read.schema(ENTITY_ATTR).parquet(f"{path}/entity_attr"),
-        org=spark.read.schema(DIM_ORG).parquet(f"{path}/dim_org"))
+    return Star(read(with_year, "fact_event"), read(ENTITY_ATTR, "entity_attr"),
+                read(DIM_ORG, "dim_org"))
 
 
 def write_fact(fact: DataFrame, path: str, *, files: int | None = None,

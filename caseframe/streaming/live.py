@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseframe.model import AttributeCodes, CaseDefinition
-from caseframe.plans.rollup import daily_rollup, write_rollup
+from caseframe.plans.rollup import daily_rollup, period_of, write_rollup
 from caseframe.sources.workdir import new_folder
 
 
@@ -75,36 +75,41 @@ class Snapshot:
     """A daily roll-up that follows a stream of fact rows.
 
     Each batch is landed under its number, so running it again replaces it. Then
-    the days it touches are counted anew from all landed rows, and only their
-    partitions of the roll-up are written.
+    the periods it touches are counted anew from all landed rows, and only they are
+    written. Nothing is taken from the roll-up itself, so a batch that was cut off
+    can simply be run again.
     """
 
     def __init__(self, folder: str, attributes: DataFrame, definition: CaseDefinition,
-                 codes: AttributeCodes) -> None:
+                 codes: AttributeCodes, grain: str = "day") -> None:
         self.landed = f"{folder}/fact"
         self.rollup = f"{folder}/rollup"
         self.checkpoint = f"{folder}/checkpoint"
         self.attributes = attributes
         self.definition = definition
         self.codes = codes
+        self.grain = grain
 
     def refresh(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         own = f"{self.landed}/batch={number}"
-        (batch.withColumn("event_month", F.trunc("event_date", "month"))
-         .write.mode("overwrite").partitionBy("event_month").parquet(own))
-        days = (spark.read.schema(batch.schema).parquet(own).select("event_date")
-                .filter(F.col("event_date").isNotNull()).distinct())
-        ends = days.agg(F.min("event_date"), F.max("event_date")).first()
-        if ends[0] is None:
+        # Sorted by date, so that a scan for a few periods skips files and row groups.
+        (batch.repartitionByRange("event_date", "event_id").sortWithinPartitions("event_date")
+         .write.mode("overwrite").parquet(own))
+        periods = (spark.read.schema(batch.schema).parquet(own)
+                   .filter(F.col("event_date").isNotNull())
+                   .select(period_of(self.grain).alias("period")).distinct())
+        ends = periods.agg(F.min("period").alias("first"), F.max("period").alias("last"))
+        first, after = ends.select("first", F.add_months("last", 1)).first()
+        if first is None:
             return
-        # The range lets the scan skip whole months; the join keeps the days themselves.
-        month = F.col("event_month")
+        # The range reaches the scan; the join keeps the periods themselves.
         touched = (spark.read.parquet(self.landed)
-                   .filter(month.between(ends[0].replace(day=1), ends[1]))
-                   .join(days, "event_date", "left_semi"))
-        write_rollup(daily_rollup(touched, self.attributes, self.definition, self.codes),
-                     self.rollup)
+                   .filter(F.col("event_date").between(first, after))
+                   .withColumn("period", period_of(self.grain))
+                   .join(periods, "period", "left_semi"))
+        rollup = daily_rollup(touched, self.attributes, self.definition, self.codes)
+        write_rollup(rollup, self.rollup, self.grain)
 
     def follow(self, stream: DataFrame) -> None:
         """Take in what the stream's sources hold now; call again for more."""

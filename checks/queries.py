@@ -202,7 +202,7 @@ def live_rolling_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def live_snapshot_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshot = live.Snapshot(new_folder(spark, "snapshot"), tables(spark, sf_dir).attributes,
-                             URGENT, CODES)
+                             URGENT, CODES, grain="month")
     snapshot.follow(fact_of(_stream(spark, sf_dir, "orders")))
     return rollup.weekly_table_from_rollup(spark.read.parquet(snapshot.rollup))
 

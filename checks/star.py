@@ -21,7 +21,8 @@ class Tables:
     """Two event facts, person attributes, places, map shapes and population.
 
     ``fact`` has one date and place per event. ``visits`` is unruly: its events have
-    several dates, places and persons, and some of its place keys are unknown.
+    several dates, places and persons, and some of its place keys are unknown; the
+    outcomes are those of ``fact``.
     ``contacts`` holds repeated attributes.
     """
 
@@ -141,8 +142,10 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     orders, customer, nation = read("orders"), read("customer"), read("nation")
+    fact = fact_of(orders)
+    outcomes = fact.filter(F.col("data_element_id") == "OUT")
     return Tables(
-        fact=fact_of(orders), visits=visits_of(read("lineitem")),
+        fact=fact, visits=visits_of(read("lineitem")).unionByName(outcomes),
         attributes=attributes_of(customer), contacts=contacts_of(orders),
         org=org_of(nation, read("region")), shapes=shapes_of(nation),
         population=population_of(customer))
