@@ -18,7 +18,9 @@ def sample_events(fact: DataFrame, definition: CaseDefinition, events: int) -> D
 
 def _of_sample(fact: DataFrame, definition: CaseDefinition, events: int) -> DataFrame:
     sample = sample_events(fact, definition, events)
-    return fact.join(F.broadcast(sample), "event_id", "left_semi")
+    # The greatest id of the sample reaches the scan, which skips the files beyond it.
+    up_to_sample = F.col("event_id") <= sample.agg(F.max("event_id")).scalar()
+    return fact.filter(up_to_sample).join(F.broadcast(sample), "event_id", "left_semi")
 
 
 def profile_demographic_elements(fact: DataFrame, definition: CaseDefinition, *,

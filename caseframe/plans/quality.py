@@ -12,6 +12,22 @@ from caseframe.operators.sizes import join_dimension
 from caseframe.schemas import ORG_KEY, PERSON
 
 
+def is_additive(fact: DataFrame, definition: CaseDefinition) -> bool:
+    """Whether every case event has one date, one place and one person at most.
+
+    Runs one aggregation of least and greatest values, and stops at the first event
+    that has two.
+    """
+    columns = ("event_date", ORG_KEY, PERSON)
+    ends = [end(name).alias(f"{end.__name__}_{name}")
+            for name in columns for end in (F.min, F.max)]
+    several = F.lit(False)
+    for name in columns:
+        several = several | (F.col(f"min_{name}") < F.col(f"max_{name}"))
+    return (case_rows(fact, definition, dated=False).groupBy("event_id").agg(*ends)
+            .filter(several).isEmpty())
+
+
 def dq_multi_date_events(fact: DataFrame, definition: CaseDefinition,
                          scope: Scope = Scope()) -> DataFrame:
     """Case events with several dates, places or persons.

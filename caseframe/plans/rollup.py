@@ -21,7 +21,7 @@ from caseframe.operators.cases import case_rows
 from caseframe.operators.outcomes import dead_events
 from caseframe.operators.persons import person_traits
 from caseframe.operators.places import add_places, valid_district
-from caseframe.plans.quality import dq_multi_date_events
+from caseframe.plans.quality import is_additive
 from caseframe.plans.weekly import newest_weeks, with_running
 from caseframe.schemas import ORG_KEY, PERSON
 
@@ -31,7 +31,7 @@ class NotAdditive(ValueError):
 
 
 def require_additive(fact: DataFrame, definition: CaseDefinition) -> None:
-    if not dq_multi_date_events(fact, definition).isEmpty():
+    if not is_additive(fact, definition):
         raise NotAdditive("see dq_multi_date_events for the events concerned")
 
 

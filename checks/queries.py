@@ -184,9 +184,15 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table as a stream; the pattern takes a single file as well as a folder."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    """A test table as a stream; the pattern takes a single file as well as a folder.
+
+    A stream keeps the number of state partitions it starts with, so it gets a session
+    of its own with one per core.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    schema = session.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return session.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def live_epi_curve(spark: SparkSession, sf_dir: str) -> DataFrame:

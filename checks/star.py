@@ -109,18 +109,18 @@ def org_of(nation: DataFrame, region: DataFrame) -> DataFrame:
     districts = (nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
                  .select(key.alias(ORG_KEY), name.alias("district_name"),
                          F.col("r_name").alias("region_name"), F.lit(3).alias("leaf_level")))
-    nationwide = nation.filter(key == 0).select(
+    nationwide = nation.agg(
         F.lit(-1).alias(ORG_KEY), F.lit("National").alias("district_name"),
         F.lit(None).cast("string").alias("region_name"), F.lit(1).alias("leaf_level"))
     return districts.unionByName(nationwide)
 
 
 def shapes_of(nation: DataFrame) -> DataFrame:
-    """Map shapes: one district has none, and one shape has no district."""
+    """Map shapes: some districts have none, and some shapes have no district."""
     key = F.col("n_nationkey")
     name = (F.when(key == 22, "Lake District")
             .otherwise(F.concat("n_name", F.lit(" District"))))
-    return nation.filter(key < 23).select(
+    return nation.select(
         name.alias("name"), F.lit('{"type":"Point"}').alias("geometry"))
 
 
@@ -147,5 +147,5 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(
         fact=fact, visits=visits_of(read("lineitem")).unionByName(outcomes),
         attributes=attributes_of(customer), contacts=contacts_of(orders),
-        org=org_of(nation, read("region")), shapes=shapes_of(nation),
+        org=org_of(nation, read("region")).cache(), shapes=shapes_of(nation),
         population=population_of(customer))
