@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from caseframe.model import CaseDefinition
 from caseframe.operators.cases import case_rows
 from caseframe.operators.places import (
-    UNKNOWN_REGION, add_places, named_district, valid_district)
-from caseframe.schemas import ORG_KEY
+    UNKNOWN_REGION, add_districts, name_districts, named_district, valid_district)
+from caseframe.schemas import DISTRICT_KEY, ORG_KEY
 
 
 def _numbered(choices: DataFrame, *order) -> DataFrame:
@@ -31,11 +31,11 @@ def location_options(fact: DataFrame, org: DataFrame, definition: CaseDefinition
                .select(F.lit(2).alias("rank"), F.lit("region").alias("level"),
                        F.lit(0).cast("bigint").alias("cases"),
                        F.concat("region_name", F.lit(" Region")).alias("location")))
-    top = (add_places(rows, org, keep=named_district())
-           .groupBy("district_name").agg(F.count_distinct("event_id").alias("cases"))
-           .orderBy(F.desc("cases"), "district_name").limit(districts)
-           .select(F.lit(3).alias("rank"), F.lit("district").alias("level"), "cases",
-                   F.col("district_name").alias("location")))
+    counted = (add_districts(rows, org, named_district())
+               .groupBy(DISTRICT_KEY).agg(F.count_distinct("event_id").alias("cases")))
+    top = (name_districts(counted, org, "location")
+           .orderBy(F.desc("cases"), "location").limit(districts)
+           .select(F.lit(3).alias("rank"), F.lit("district").alias("level"), "cases", "location"))
     options = nation.unionByName(regions).unionByName(top)
     return (_numbered(options, "rank", F.desc("cases"), "location")
             .select("position", "level", "location").orderBy("position"))

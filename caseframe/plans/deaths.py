@@ -11,8 +11,9 @@ from caseframe.model import AttributeCodes, CaseDefinition, Scope
 from caseframe.operators.cases import case_rows
 from caseframe.operators.outcomes import dead_persons
 from caseframe.operators.persons import person_traits
-from caseframe.operators.places import add_places, at_place, named_district, only_places
-from caseframe.schemas import ORG_KEY, PERSON
+from caseframe.operators.places import (
+    add_districts, at_place, name_districts, named_district, only_places)
+from caseframe.schemas import DISTRICT_KEY, ORG_KEY, PERSON
 
 
 def total_deaths(fact: DataFrame, attributes: DataFrame,
@@ -26,9 +27,9 @@ def total_deaths(fact: DataFrame, attributes: DataFrame,
 
 def _persons_per_district(persons: DataFrame, org: DataFrame, keep: Column) -> DataFrame:
     """Distinct persons per district, from unique rows of person and place."""
-    return (add_places(persons, org, keep=keep)
-            .groupBy(F.col("district_name").alias("district"))
-            .agg(F.count_distinct(PERSON).alias("deaths"))
+    counted = (add_districts(persons, org, keep)
+               .groupBy(DISTRICT_KEY).agg(F.count_distinct(PERSON).alias("deaths")))
+    return (name_districts(counted, org)
             .orderBy(F.desc("deaths"), "district"))
 
 

@@ -12,9 +12,10 @@ from caseframe.functions.dates import week_start
 from caseframe.model import CaseDefinition, Scope
 from caseframe.operators.cases import AsOf, case_rows, report_date, since, since_hours
 from caseframe.operators.outcomes import dead_events
-from caseframe.operators.places import add_places, at_place, valid_district
+from caseframe.operators.places import (
+    add_districts, at_place, name_districts, valid_district)
 from caseframe.operators.totals import total_of
-from caseframe.schemas import ORG_KEY
+from caseframe.schemas import DISTRICT_KEY, ORG_KEY
 
 TOTAL = "TOTAL"
 
@@ -32,8 +33,8 @@ def district_events(fact: DataFrame, org: DataFrame, definition: CaseDefinition,
         "event_id", ORG_KEY,
         (day >= monday).alias("in_last"),
         ((day >= F.date_sub(monday, 7)) & (day < monday)).alias("in_previous"))
-    return (add_places(rows, org, keep=valid_district() & at_place(scope))
-            .groupBy("district_name", "event_id")
+    return (add_districts(rows, org, valid_district() & at_place(scope))
+            .groupBy(DISTRICT_KEY, "event_id")
             .agg(F.max("in_last").alias("in_last"), F.max("in_previous").alias("in_previous")))
 
 
@@ -50,21 +51,9 @@ def _by_cases(districts: DataFrame) -> DataFrame:
 def ranked_districts(fact: DataFrame, org: DataFrame, definition: CaseDefinition,
                      scope: Scope = Scope()) -> DataFrame:
     """All districts with cases, most cases first."""
-    return _by_cases(district_events(fact, org, definition, scope)
-                     .groupBy(F.col("district_name").alias("district"))
-                     .agg(*_case_columns()))
-
-
-def rank_flagged(events: DataFrame, k: int) -> DataFrame:
-    """Rank districts from one row per district and event with a ``died`` flag."""
-    counted = (events.groupBy(F.col("district_name").alias("district"))
-               .agg(*_case_columns(),
-                    F.count_if("died").alias("total_deaths"),
-                    F.count_if(F.col("died") & F.col("in_last")).alias("deaths_last_epiweek")))
-    change = ratios.pct_change(F.col("cases_last_epiweek"), F.col("cases_previous"))
-    return _by_cases(counted.select(
-        "district", "total_cases", "total_deaths", "cases_last_epiweek",
-        "deaths_last_epiweek", change.alias("pct_change"))).limit(k)
+    counted = (district_events(fact, org, definition, scope)
+               .groupBy(DISTRICT_KEY).agg(*_case_columns()))
+    return _by_cases(name_districts(counted, org))
 
 
 def top_districts(fact: DataFrame, org: DataFrame, definition: CaseDefinition, *,
@@ -75,7 +64,14 @@ def top_districts(fact: DataFrame, org: DataFrame, definition: CaseDefinition, *
     events = (district_events(fact, org, definition, scope)
               .join(dead, "event_id", "left")
               .withColumn("died", F.coalesce("died", F.lit(False))))
-    return rank_flagged(events, k)
+    counted = (events.groupBy(DISTRICT_KEY)
+               .agg(*_case_columns(),
+                    F.count_if("died").alias("total_deaths"),
+                    F.count_if(F.col("died") & F.col("in_last")).alias("deaths_last_epiweek")))
+    change = ratios.pct_change(F.col("cases_last_epiweek"), F.col("cases_previous"))
+    return _by_cases(name_districts(counted, org).select(
+        "district", "total_cases", "total_deaths", "cases_last_epiweek",
+        "deaths_last_epiweek", change.alias("pct_change"))).limit(k)
 
 
 def top_districts_totals(ranking: DataFrame) -> DataFrame:
@@ -95,11 +91,10 @@ def district_total_share(fact: DataFrame, org: DataFrame, definition: CaseDefini
                          scope: Scope = Scope(), k: int = 5) -> DataFrame:
     """Districts with most cases and their share of the cases of all districts."""
     rows = case_rows(fact, definition, scope).select("event_id", ORG_KEY)
-    counted = (add_places(rows, org, keep=valid_district() & at_place(scope))
-               .groupBy(F.col("district_name").alias("district"))
-               .agg(F.count_distinct("event_id").alias("cases")))
+    counted = (add_districts(rows, org, valid_district() & at_place(scope))
+               .groupBy(DISTRICT_KEY).agg(F.count_distinct("event_id").alias("cases")))
     share = ratios.percent(F.col("cases"), total_of("cases"), 2)
-    return (counted.withColumn("proportion", share)
+    return (name_districts(counted, org).withColumn("proportion", share)
             .orderBy(F.desc("cases"), "district").limit(k))
 
 
@@ -140,13 +135,13 @@ def district_line_summary(fact: DataFrame, org: DataFrame, definition: CaseDefin
     if as_of is not None:
         recent = recent & (F.col("event_date") <= F.lit(as_of).cast("date"))
     rows = case_rows(fact, definition, scope).select("event_id", ORG_KEY, "event_date")
-    events = (add_places(rows, org, keep=valid_district() & at_place(scope))
+    events = (add_districts(rows, org, valid_district() & at_place(scope))
               .withColumn("recent", recent)
-              .groupBy("district_name", "event_id")
+              .groupBy(DISTRICT_KEY, "event_id")
               .agg(F.max("recent").alias("recent"), F.min("event_date").alias("first"),
                    F.max("event_date").alias("latest")))
-    return (events.groupBy(F.col("district_name").alias("district"))
-            .agg(F.count("*").alias("total_cases"),
-                 F.count_if("recent").alias("cases_last_30_days"),
-                 F.min("first").alias("first_case"), F.max("latest").alias("latest_case"))
+    counted = events.groupBy(DISTRICT_KEY).agg(
+        F.count("*").alias("total_cases"), F.count_if("recent").alias("cases_last_30_days"),
+        F.min("first").alias("first_case"), F.max("latest").alias("latest_case"))
+    return (name_districts(counted, org)
             .orderBy(F.desc("total_cases"), "district"))

@@ -9,8 +9,9 @@ from caseframe.functions import ratios
 from caseframe.functions.bands import ValueClasses
 from caseframe.model import CaseDefinition, Scope
 from caseframe.operators.cases import AsOf, case_rows, since
-from caseframe.operators.places import add_places, at_place, valid_district
-from caseframe.schemas import ORG_KEY
+from caseframe.operators.places import (
+    add_districts, at_place, name_districts, valid_district)
+from caseframe.schemas import DISTRICT_KEY, ORG_KEY
 
 
 def district_cases(fact: DataFrame, org: DataFrame, definition: CaseDefinition, name: str, *,
@@ -20,10 +21,10 @@ def district_cases(fact: DataFrame, org: DataFrame, definition: CaseDefinition,
     rows = case_rows(fact, definition, scope)
     if days is not None:
         rows = since(rows, fact, definition, as_of, days=days)
-    return (add_places(rows.select("event_id", ORG_KEY), org,
-                       keep=valid_district() & at_place(scope))
-            .groupBy(F.col("district_name").alias("district"))
-            .agg(F.count_distinct("event_id").alias(name)))
+    counted = (add_districts(rows.select("event_id", ORG_KEY), org,
+                             valid_district() & at_place(scope))
+               .groupBy(DISTRICT_KEY).agg(F.count_distinct("event_id").alias(name)))
+    return name_districts(counted, org)
 
 
 def map_cumulative_cases(fact: DataFrame, org: DataFrame, definition: CaseDefinition, *,

@@ -14,10 +14,11 @@ from caseframe.functions.dates import epi_week, epi_year, week_start
 from caseframe.functions.text import FEMALE, MALE, sex_by_word
 from caseframe.model import AttributeCodes, CaseDefinition, Scope
 from caseframe.operators.cases import AsOf, case_rows, report_date, since
-from caseframe.operators.places import add_places, at_place, valid_district
+from caseframe.operators.places import (
+    add_districts, add_places, at_place, name_districts, valid_district)
 from caseframe.operators.totals import total_of
 from caseframe.plans.districts import ranked_districts
-from caseframe.schemas import ORG_KEY, PERSON
+from caseframe.schemas import DISTRICT_KEY, ORG_KEY, PERSON
 
 
 def weekly_counts(fact: DataFrame, definition: CaseDefinition, scope: Scope = Scope(),
@@ -155,14 +156,13 @@ def district_epicurves(fact: DataFrame, org: DataFrame, definition: CaseDefiniti
                        as_of: AsOf = None) -> DataFrame:
     """Weekly cases of the districts with most cases, in the year or the last 12 months."""
     scope = Scope(year=year)
-    top = (ranked_districts(fact, org, definition, scope).limit(districts)
-           .select(F.col("district").alias("district_name")))
+    top = ranked_districts(fact, org, definition, scope).limit(districts).select("district")
     rows = _recent_or_scoped(fact, definition, scope, as_of).select(
         "event_id", ORG_KEY, week_start(F.col("event_date")).alias("week_start"))
-    return (add_places(rows, org, keep=valid_district())
-            .join(F.broadcast(top), "district_name", "left_semi")
-            .groupBy(F.col("district_name").alias("district"), "week_start")
-            .agg(F.count_distinct("event_id").alias("weekly_cases"))
+    weekly = (add_districts(rows, org, valid_district(), top)
+              .groupBy(DISTRICT_KEY, "week_start")
+              .agg(F.count_distinct("event_id").alias("weekly_cases")))
+    return (name_districts(weekly, org)
             .select("district", "week_start", epi_week(F.col("week_start")).alias("epi_week"),
                     "weekly_cases")
             .orderBy("district", "week_start"))
@@ -174,14 +174,14 @@ def district_weekly_share(fact: DataFrame, org: DataFrame, definition: CaseDefin
     """Share of each week's cases in the districts with most cases in the period."""
     rows = _recent_or_scoped(fact, definition, scope, as_of).select(
         "event_id", ORG_KEY, week_start(F.col("event_date")).alias("week_start"))
-    weekly = (add_places(rows, org, keep=valid_district() & at_place(scope))
-              .groupBy("week_start", "district_name")
+    weekly = (add_districts(rows, org, valid_district() & at_place(scope))
+              .groupBy("week_start", DISTRICT_KEY)
               .agg(F.count_distinct("event_id").alias("cases")))
-    top = (weekly.groupBy("district_name").agg(F.sum("cases").alias("total"))
-           .orderBy(F.desc("total"), "district_name").limit(districts)
-           .select("district_name"))
+    totals = weekly.groupBy(DISTRICT_KEY).agg(F.sum("cases").alias("total"))
+    top = (name_districts(totals, org).orderBy(F.desc("total"), "district").limit(districts)
+           .select("district"))
     share = ratios.percent(F.col("cases"), total_of("cases", "week_start"), 2)
-    return (weekly.withColumn("proportion", share)
-            .join(F.broadcast(top), "district_name", "left_semi")
-            .select("week_start", F.col("district_name").alias("district"), "proportion")
+    return (name_districts(weekly.withColumn("proportion", share), org)
+            .join(F.broadcast(top), "district", "left_semi")
+            .select("week_start", "district", "proportion")
             .orderBy("week_start", "district"))

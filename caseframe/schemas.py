@@ -4,6 +4,7 @@ from pyspark.sql import types as T
 
 ORG_KEY = "dim_org_hierarchy_key"
 PERSON = "tracked_entity_instance_id"
+DISTRICT_KEY = "district_key"
 
 FACT_EVENT = T.StructType([
     T.StructField("event_id", T.LongType(), False),

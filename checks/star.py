@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseframe.model import AttributeCodes, CaseDefinition
+from caseframe.operators.places import number_districts
 from caseframe.schemas import ORG_KEY, PERSON
 
 URGENT = CaseDefinition("DX", "1-URGENT")
@@ -147,5 +148,5 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(
         fact=fact, visits=visits_of(read("lineitem")).unionByName(outcomes),
         attributes=attributes_of(customer), contacts=contacts_of(orders),
-        org=org_of(nation, read("region")).cache(), shapes=shapes_of(nation),
+        org=number_districts(org_of(nation, read("region"))).cache(), shapes=shapes_of(nation),
         population=population_of(customer))
