@@ -40,16 +40,19 @@ def person_traits(attributes: DataFrame, *, sex: str | None = None, age: str | N
     Of several values the least counts; for the outcome, any that says dead.
     """
     value = F.col("attribute_value")
-    has = {code: F.col("attribute_id") == code for code in (sex, age, outcome) if code}
-    traits = []
+    code = F.col("attribute_id")
+    told, traits = [], []
     if sex:
-        sex_code = F.when(value.isNotNull(), sex_by_substring(value))
-        traits.append(F.min(F.when(has[sex], sex_code)).alias("sex_code"))
+        told.append(F.when((code == sex) & value.isNotNull(), sex_by_substring(value))
+                    .alias("sex_code"))
+        traits.append(F.min("sex_code").alias("sex_code"))
     if age:
-        traits.append(F.min(F.when(has[age], whole_number(value))).alias("age_years"))
+        told.append(F.when(code == age, whole_number(value)).alias("age_years"))
+        traits.append(F.min("age_years").alias("age_years"))
     if outcome:
-        traits.append(F.coalesce(F.max(F.when(has[outcome], coded_death(value))),
-                                 F.lit(False)).alias("dead"))
-    return (attributes.filter(F.col("attribute_id").isin(list(has)))
-            .groupBy(F.col("entity_id").alias(PERSON))
-            .agg(*traits))
+        told.append(((code == outcome) & F.coalesce(coded_death(value), F.lit(False)))
+                    .alias("dead"))
+        traits.append(F.max("dead").alias("dead"))
+    return (attributes.filter(code.isin([c for c in (sex, age, outcome) if c]))
+            .select(F.col("entity_id").alias(PERSON), *told)
+            .groupBy(PERSON).agg(*traits))

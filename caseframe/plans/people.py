@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,14 +127,15 @@ def age_sex_by_name(fact: DataFrame, attributes: DataFrame, definition: CaseDefi
     """
     name, value = F.col("display_name"), F.col("attribute_value")
     is_age, is_sex = mentions(name, age_words), mentions(name, sex_words)
-    band = F.when(is_age, scheme.index(whole_number(value)))
-    sex = F.when(is_sex, sex_by_word(value, short_codes=True))
-    flags = [F.max(band == number).alias(f"band_{number}")
+    flags = [F.max(F.col("band") == number).alias(f"band_{number}")
              for number in range(1, scheme.unknown_index)]
     persons = (attributes.filter(is_age | is_sex)
-               .groupBy(F.col("entity_id").alias(PERSON))
-               .agg(*flags, F.max(sex == MALE).alias("male"),
-                    F.max(sex == FEMALE).alias("female")))
+               .select(F.col("entity_id").alias(PERSON),
+                       F.when(is_age, scheme.index(whole_number(value))).alias("band"),
+                       F.when(is_sex, sex_by_word(value, short_codes=True)).alias("sex_code"))
+               .groupBy(PERSON)
+               .agg(*flags, F.max(F.col("sex_code") == MALE).alias("male"),
+                    F.max(F.col("sex_code") == FEMALE).alias("female")))
     affected = (case_rows(fact, definition).filter(F.col(PERSON).isNotNull())
                 .select(PERSON).distinct())
     sums = []
@@ -153,33 +156,38 @@ def age_sex_by_name(fact: DataFrame, attributes: DataFrame, definition: CaseDefi
 
 
 def event_traits(fact: DataFrame, definition: CaseDefinition, age_on: Column,
-                 scope: Scope = Scope()) -> DataFrame:
+                 scope: Scope = Scope(),
+                 elements: Sequence[str] | None = None) -> DataFrame:
     """Age and sex of each case event, from the event's own data elements.
 
     Elements are found by name: birth dates before ages, and sex before gender
     before other names that tell a sex. The case row and its traits meet in one
     aggregation on the event. Values are normalised first, so the shuffled rows
     hold integers; of several values the least counts. Events without any birth date
-    or age are left out, those with an unreadable one have a null age.
+    or age are left out, those with an unreadable one have a null age. Naming the
+    elements' ids lets the scan skip the others.
     """
     name, value = F.col("data_element_display_name"), F.col("data_value")
     unreadable = F.lit(2**31 - 1)
     age = F.coalesce(age_from_text(value, age_on), unreadable)
     sex = sex_by_substring(value)
-    given = value.isNotNull()
-
-    def of(words: tuple[str, ...], code: Column) -> Column:
-        return F.min(F.when(mentions(name, words) & given, code))
-
+    traits = {"by_birth": (BIRTH_WORDS, age), "by_age": (AGE_WORDS, age),
+              "by_sex": (("sex",), sex), "by_gender": (("gender",), sex),
+              "by_other": (("male",), sex)}
     period = in_period(scope)
     case = is_case(definition) if period is None else is_case(definition) & period
     wanted = mentions(name, AGE_WORDS + BIRTH_WORDS + SEX_NAME_WORDS + ("male",))
-    return (fact.filter(case | wanted)
-            .groupBy("event_id")
-            .agg(F.max(case).alias("is_case"),
-                 F.coalesce(of(BIRTH_WORDS, age), of(AGE_WORDS, age)).alias("age"),
-                 F.coalesce(of(("sex",), sex), of(("gender",), sex), of(("male",), sex),
-                            F.lit(UNKNOWN_SEX)).alias("sex_code"))
+    if elements:
+        wanted = F.col("data_element_id").isin(list(elements)) & wanted
+    rows = fact.filter(case | (wanted & value.isNotNull())).select(
+        "event_id", case.alias("is_case"),
+        *(F.when(mentions(name, words) & value.isNotNull(), code).alias(trait)
+          for trait, (words, code) in traits.items()))
+    return (rows.groupBy("event_id")
+            .agg(F.max("is_case").alias("is_case"), *(F.min(t).alias(t) for t in traits))
+            .select("event_id", "is_case", F.coalesce("by_birth", "by_age").alias("age"),
+                    F.coalesce("by_sex", "by_gender", "by_other", F.lit(UNKNOWN_SEX))
+                    .alias("sex_code"))
             .filter(F.col("is_case") & F.col("age").isNotNull())
             .select("event_id", F.nullif(F.col("age"), unreadable).alias("age_years"),
                     "sex_code"))
@@ -187,10 +195,11 @@ def event_traits(fact: DataFrame, definition: CaseDefinition, age_on: Column,
 
 def demographic_breakdown(fact: DataFrame, definition: CaseDefinition, *,
                           scope: Scope = Scope(), as_of: AsOf = None,
-                          scheme: AgeScheme = FIVE_BANDS) -> DataFrame:
+                          scheme: AgeScheme = FIVE_BANDS,
+                          elements: Sequence[str] | None = None) -> DataFrame:
     """Case events by age band: cases, males, females, and their shares."""
     reference = report_date(fact, definition, as_of)
-    counted = (event_traits(fact, definition, reference, scope)
+    counted = (event_traits(fact, definition, reference, scope, elements)
                .groupBy(scheme.index(F.col("age_years")).alias("band"))
                .agg(F.count("*").alias("total_cases"),
                     F.count_if(F.col("sex_code") == MALE).alias("males"),
