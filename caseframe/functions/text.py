@@ -17,6 +17,11 @@ DEATH_ATTRIBUTE_WORDS = ("death", "died", "dead")
 DEATH_OUTCOME_WORDS = ("death", "died", "fatal")
 OUTCOME_ELEMENT_WORDS = ("outcome", "status", "result")
 
+# How texts that hold a date or a plain number begin.
+ISO_DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+DAY_MONTH_YEAR = "^[0-9]{2}/[0-9]{2}/[0-9]{4}"
+DIGITS = "^[0-9]+$"
+
 # Words in element and attribute names that hint at a person's traits.
 AGE_WORDS = ("age",)
 BIRTH_WORDS = ("birth", "dob")
@@ -39,7 +44,7 @@ def mentions(text: Column, words: tuple[str, ...]) -> Column:
 
 def whole_number(text: Column) -> Column:
     """Digits-only text as an integer; anything else, or an overflow, is null."""
-    return F.when(text.rlike("^[0-9]+$"), text.try_cast("int"))
+    return F.when(text.rlike(DIGITS), text.try_cast("int"))
 
 
 def sex_by_substring(text: Column) -> Column:
@@ -87,11 +92,11 @@ def age_from_text(text: Column, reference: Column) -> Column:
     """
     first_ten = F.substring(text, 1, 10)
     return (
-        F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"),
+        F.when(text.rlike(ISO_DATE),
                age_in_years(F.try_to_date(first_ten, "yyyy-MM-dd"), reference))
-        .when(text.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}"),
+        .when(text.rlike(DAY_MONTH_YEAR),
               age_in_years(F.try_to_date(first_ten, "dd/MM/yyyy"), reference))
-        .when(text.rlike("^[0-9]+$"), text.try_cast("int"))
+        .when(text.rlike(DIGITS), text.try_cast("int"))
         .when(mentions(text, ("month", "week")), F.lit(0))
         .when(text.rlike("[0-9]"), F.regexp_extract(text, "([0-9]+)", 1).try_cast("int"))
     )

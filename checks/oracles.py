@@ -71,8 +71,8 @@ urgent AS (
 returned AS (SELECT DISTINCT event_id, person, day, org FROM visits WHERE value = 'R'),
 outcomes AS (
   SELECT DISTINCT event_id FROM fact_event
-  WHERE element_name LIKE '%outcome%'
-    AND (LOWER(value) LIKE '%death%' OR LOWER(value) LIKE '%died%' OR LOWER(value) LIKE '%fatal%'))
+  WHERE REGEXP_MATCHES(element_name, 'outcome|status|result')
+    AND REGEXP_MATCHES(LOWER(value), 'death|died|fatal'))
 """
 
 
@@ -272,8 +272,8 @@ FIVE = [("<1 year", 0), ("1-4 years", 1), ("5-14 years", 5), ("15-44 years", 15)
         ("45+ years", 45)]
 
 WHOLE = "CASE WHEN REGEXP_MATCHES({v}, '^[0-9]+$') THEN TRY_CAST({v} AS INT) END"
-SEX = """CASE WHEN LOWER({v}) LIKE '%male%' AND LOWER({v}) NOT LIKE '%female%' THEN 'Male'
-              WHEN LOWER({v}) LIKE '%female%' THEN 'Female' ELSE 'Unknown' END"""
+SEX = """CASE WHEN {v} ILIKE '%female%' THEN 'Female' WHEN {v} ILIKE '%male%' THEN 'Male'
+              ELSE 'Unknown' END"""
 
 
 def first_events(scheme: list[tuple[str, int]], where: str = "TRUE") -> str:
@@ -353,7 +353,7 @@ sexes AS (
   SELECT entity_id, CASE WHEN LOWER(value) IN ('male', 'm', '1') THEN 'Male'
                          WHEN LOWER(value) IN ('female', 'f', '2') THEN 'Female' END AS sex
   FROM entity_attr JOIN persons ON person = entity_id
-  WHERE LOWER(name) LIKE '%sex%' OR LOWER(name) LIKE '%gender%')
+  WHERE REGEXP_MATCHES(LOWER(name), 'sex|gender'))
 SELECT age_group, COUNT(DISTINCT CASE WHEN sex = 'Male' THEN entity_id END) AS male_cases,
        COUNT(DISTINCT CASE WHEN sex = 'Female' THEN entity_id END) AS female_cases
 FROM ages LEFT JOIN sexes USING (entity_id) WHERE age_group != 'Unknown' GROUP BY age_group"""
@@ -396,9 +396,7 @@ FROM counts"""
 
 
 DEAD_TEXT = """SELECT DISTINCT entity_id FROM entity_attr
-  WHERE LOWER(name) LIKE '%death%'
-    AND (LOWER(value) LIKE '%death%' OR LOWER(value) LIKE '%died%'
-         OR LOWER(value) LIKE '%dead%' OR LOWER(value) = 'yes')"""
+  WHERE name ILIKE '%death%' AND REGEXP_MATCHES(LOWER(value), 'death|died|dead|^yes$')"""
 DEATH_COUNT = f"""(SELECT COUNT(DISTINCT entity_id) FROM ({DEAD_TEXT})
    JOIN urgent ON person = entity_id WHERE day IS NOT NULL)"""
 
@@ -415,7 +413,7 @@ def deaths_by_district(where: str = "TRUE") -> str:
 
 
 def dead_rows(rows: str, where: str) -> str:
-    return f"""SELECT event_id, person, a.value AS age_text, s.value AS sex_text
+    return f"""SELECT event_id, person, a.value AS age_text, {SEX.format(v="s.value")} AS sex
   FROM {rows} LEFT JOIN dim_org USING (org)
   JOIN entity_attr a ON a.entity_id = person AND a.attribute_id = 'AGE'
   JOIN entity_attr s ON s.entity_id = person AND s.attribute_id = 'SEX'
@@ -438,9 +436,7 @@ def deaths_by_age_sex(rows: str) -> str:
 
     return f"""{STAR}, dead AS ({dead_rows(rows, "TRUE")})
 SELECT {bands("CAST(age_text AS INT)", ELEVEN)} AS age_group,
-       {of("LOWER(sex_text) LIKE '%male%' AND LOWER(sex_text) NOT LIKE '%female%'")}
-         AS male_deaths,
-       {of("LOWER(sex_text) LIKE '%female%'")} AS female_deaths
+       {of("sex = 'Male'")} AS male_deaths, {of("sex = 'Female'")} AS female_deaths
 FROM dead GROUP BY 1"""
 
 
