@@ -31,6 +31,18 @@ def read_star(spark: SparkSession, path: str) -> Star:
                 read(DIM_ORG, "dim_org"))
 
 
+def spread_by(rows: DataFrame, *keys: str, files: int | None = None) -> DataFrame:
+    """Spread rows over ranges of the keys; equal keys are split by the rows' numbers.
+
+    A key with a third of all rows thus goes to many tasks, next to one another.
+    """
+    numbered = rows.withColumn("row_number", F.monotonically_increasing_id())
+    ranges = (*keys, "row_number")
+    spread = (numbered.repartitionByRange(files, *ranges) if files
+              else numbered.repartitionByRange(*ranges))
+    return spread.drop("row_number")
+
+
 def write_fact(fact: DataFrame, path: str, *, files: int | None = None,
                mode: str = "overwrite") -> None:
     """Write the fact by data element and year.
@@ -39,22 +51,18 @@ def write_fact(fact: DataFrame, path: str, *, files: int | None = None,
     of all rows is written by many tasks, and sorted by value and date within a file,
     so that a case definition and a period skip row groups.
     """
-    order = ["data_element_id", "event_year"]
+    order = ("data_element_id", "event_year")
     rows = fact.withColumn("event_year", F.year("event_date"))
-    spread = [*order, "event_id", "data_value"]
-    rows = (rows.repartitionByRange(files, *spread) if files
-            else rows.repartitionByRange(*spread))
-    (rows.sortWithinPartitions(*order, "data_value", "event_date")
+    (spread_by(rows, *order, "event_id", files=files)
+     .sortWithinPartitions(*order, "data_value", "event_date")
      .write.mode(mode).partitionBy(*order).parquet(path))
 
 
 def write_attributes(attributes: DataFrame, path: str, *, files: int | None = None,
                      mode: str = "overwrite") -> None:
     """Write the person attributes by attribute, each spread over ranges of persons."""
-    spread = ["attribute_id", "entity_id"]
-    rows = (attributes.repartitionByRange(files, *spread) if files
-            else attributes.repartitionByRange(*spread))
-    (rows.sortWithinPartitions(*spread)
+    keys = ("attribute_id", "entity_id")
+    (spread_by(attributes, *keys, files=files).sortWithinPartitions(*keys)
      .write.mode(mode).partitionBy("attribute_id").parquet(path))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from caseframe.model import AttributeCodes, CaseDefinition
 from caseframe.plans.rollup import daily_rollup, period_of, write_rollup
+from caseframe.sources.tables import spread_by
 from caseframe.sources.workdir import new_folder
 
 
@@ -94,7 +95,7 @@ class Snapshot:
         spark = batch.sparkSession
         own = f"{self.landed}/batch={number}"
         # Sorted by date, so that a scan for a few periods skips files and row groups.
-        (batch.repartitionByRange("event_date", "event_id").sortWithinPartitions("event_date")
+        (spread_by(batch, "event_date", "event_id").sortWithinPartitions("event_date")
          .write.mode("overwrite").parquet(own))
         periods = (spark.read.schema(batch.schema).parquet(own)
                    .filter(F.col("event_date").isNotNull())
