@@ -10,6 +10,7 @@ is open the fullest closes.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,14 @@ from caseframe.llm.shared import keep, ship, slices
 LENGTH = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
+SPECIAL = "<|endoftext|>"
+#: Marks that are a pre-token of their own after letters, at the end of a chunk.
+ENDS = tuple(",.!?;:")
 #: Sequences that a shard may have open, and pieces that a shard holds on average.
 OPEN_BINS = 8192
 SHARD_PIECES = 65_536
 #: Distinct chunks whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -36,60 +40,75 @@ class Ids(dict):
     """Chunk of text to its token ids as little-endian words; unknown chunks are tokenized.
 
     Pre-tokens never reach over a space into the word before it, so a text may be cut before
-    each single space that a visible character follows. A chunk that starts with white space
-    or is empty marks a text that can not be cut this way: its value is None.
+    each single space that a visible character follows. A chunk that starts with white space, is
+    empty or holds a special token marks a text that is not cut: its value is None.
     """
 
-    def __init__(self, tokenizer, lead: str, bare: Ids | None = None):
+    def __init__(self, encoding, lead: str):
         super().__init__()
-        self.tokenizer, self.lead, self.bare = tokenizer, lead, bare or self
-        letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in letters]
-        self.visible = {b: b for b in letters} | {b: 256 + k for k, b in enumerate(rest)}
-
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        self.encode, self.lead = encoding.encode_ordinary, lead
+        self.merge = encoding._encode_single_piece
 
     def __missing__(self, chunk: str) -> bytes | None:
-        if self.lead and (not chunk or chunk[0].isspace()):
+        if SPECIAL in chunk or self.lead and (not chunk or chunk[0].isspace()):
             return None
         if len(self) > REMEMBERED:
             self.clear()
-        found = self[chunk] = self.made(chunk)
+        if chunk.isalpha():  # a single pre-token
+            ids = self.merge(self.lead + chunk)
+        elif chunk[-1:] in ENDS and chunk[:-1].isalpha():
+            ids = [*self.merge(self.lead + chunk[:-1]), *self.merge(chunk[-1])]
+        else:
+            ids = self.encode(self.lead + chunk)
+        found = self[chunk] = array("I", ids).tobytes()
         return found
 
-    def made(self, chunk: str) -> bytes:
-        if chunk.isalpha():  # one pre-token
-            shown = (self.lead + chunk).encode().decode("latin-1").translate(self.visible)
-            ids = [token.id for token in self.tokenizer.model.tokenize(shown)]
-            return np.array(ids, dtype="<u4").tobytes()
-        if chunk[:-1].isalpha() and chunk[-1] in ",.!?;:":
-            return self[chunk[:-1]] + self.bare[chunk[-1]]
-        lines = chunk.split("\n")
-        if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-            line_end = self.bare["\n"]
-            return self[lines[0]] + b"".join(line_end + self.bare[x] for x in lines[1:])
-        return self.whole(self.lead + chunk)
 
+class Encoder:
+    """Token ids of whole texts as the vocabulary of `tokenizers` defines them.
 
-_IDS: dict[str, tuple[Ids, Ids]] = {}
-
+    The merges of ordinary chunks run in tiktoken over the same vocabulary as ranks, several times
+    as fast; texts that can not be cut into chunks go to `tokenizers` as they are.
+    """
 
-def ids_of(text: str, path: str) -> bytes:
-    """The token ids of a text, four bytes each, as the vocabulary file defines them."""
-    if path not in _IDS:
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        bare = Ids(tokenizer, "")
-        _IDS[path] = Ids(tokenizer, " ", bare), bare
-    spaced, bare = _IDS[path]
-    first, *rest = text.split(" ")
-    try:
-        return (bare[first] if first else b"") + b"".join(map(spaced.__getitem__, rest))
-    except TypeError:
-        return bare.whole(text)
+        self.tokenizer = Tokenizer.from_file(path)
+        units = {shown: bytes([b]) for b, shown in _visible().items()}
+        ranks = {b"".join(units[c] for c in token): number
+                 for token, number in self.tokenizer.get_vocab(False).items() if token != SPECIAL}
+        encoding = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN,
+                                     mergeable_ranks=ranks, special_tokens={})
+        self.bare, self.spaced = Ids(encoding, ""), Ids(encoding, " ")
+
+    def __call__(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        try:
+            return (self.bare[first] if first else b"") + b"".join(
+                map(self.spaced.__getitem__, rest))
+        except TypeError:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return array("I", ids).tobytes()
+
+
+def _visible() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def ids_of(text: str, path: str) -> bytes:
+    """The token ids of a text, four little-endian bytes each."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path](text)
 
 
 def pieces_of(ids: bytes, length: int) -> Iterator[tuple[int, int, int]]:

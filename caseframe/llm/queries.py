@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseframe.llm import exact, mixing, neardup, packing, warc
+from caseframe.llm import (credentials, exact, languages, licenses, mixing, neardup, packing,
+                           private, quality, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,16 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find_secrets(_table(spark, sf_dir, "documents"))
+    return credentials.listed(found, credentials.KINDS, credentials.STRONG)
+
+
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find_private(_table(spark, sf_dir, "documents"))
+    return credentials.listed(found, private.KINDS, private.KINDS)
+
+
 def op6_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the documents, by a hash of their ids, count as history."""
     history = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
@@ -39,12 +50,33 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality.trusted_ids(_table(spark, sf_dir, "labels"))
+    return quality.judged(_table(spark, sf_dir, "documents"), trusted)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identified(_table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = licenses.document_paths(_table(spark, sf_dir, "documents"))
+    return licenses.licences(files).select(
+        F.expr("try_cast(element_at(split(path, '/'), -1) as bigint)").alias("doc_id"), "path",
+        "licence", "origin", "score", "holder")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc_round_trip": op3_warc_round_trip,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_private_data": op5_private_data,
     "op6_exact_duplicates": op6_exact_duplicates,
     "op7_source_mixing": op7_source_mixing,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
