@@ -36,12 +36,12 @@ def join_dimension(rows: DataFrame, table: DataFrame, small_from: DataFrame, key
     ``table`` holds a part of ``small_from``, the table whose size is checked. Within
     the limit it is broadcast and the rows stay where they are. Beyond it both
     sides are shuffled on the key and a salt, each dimension row once per salt, so
-    a place with a third of all rows is spread over many tasks. Equal rows are
-    merged first on that way: callers count distinct events or pass unique rows.
+    a place with a third of all rows is spread over many tasks. Either way gives the
+    same rows; equal ones are all kept.
     """
     if within_rows(small_from, limit):
         return rows.join(F.broadcast(table), key, how)
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
-    salted = rows.distinct().withColumn("salt", salt)
+    salted = rows.withColumn("salt", salt)
     copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [key, "salt"], how).drop("salt")

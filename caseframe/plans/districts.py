@@ -107,9 +107,9 @@ def district_reporting(fact: DataFrame, org: DataFrame, definition: CaseDefiniti
     one row per place and task to shuffle.
     """
     rows = case_rows(fact, definition, scope)
-    if days:
+    if days is not None:
         rows = since(rows, fact, definition, as_of, days=days)
-    elif hours:
+    elif hours is not None:
         rows = since_hours(rows, fact, definition, hours, as_of)
     reporting = rows.select(ORG_KEY).distinct().withColumn("reports", F.lit(True))
     districts = org.filter(valid_district() & at_place(scope)).select(ORG_KEY, "district_name")

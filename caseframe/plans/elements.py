@@ -16,39 +16,68 @@ def sample_events(fact: DataFrame, definition: CaseDefinition, events: int) -> D
             .orderBy("event_id").limit(events))
 
 
-def _of_sample(fact: DataFrame, definition: CaseDefinition, events: int) -> DataFrame:
+def _of_events(fact: DataFrame, definition: CaseDefinition, events: int | None) -> DataFrame:
+    """Rows of all case events, or of a sample of that many."""
+    if events is None:
+        chosen = case_rows(fact, definition, dated=False).select("event_id")
+        return fact.join(chosen, "event_id", "left_semi")
     sample = sample_events(fact, definition, events)
     # The greatest id of the sample reaches the scan, which skips the files beyond it.
     up_to_sample = F.col("event_id") <= sample.agg(F.max("event_id")).scalar()
     return fact.filter(up_to_sample).join(F.broadcast(sample), "event_id", "left_semi")
 
 
+def _demographic(fact: DataFrame, definition: CaseDefinition, events: int | None,
+                 words: tuple[str, ...]) -> DataFrame:
+    return _of_events(fact, definition, events).filter(
+        mentions(F.col("data_element_display_name"), words))
+
+
 def profile_demographic_elements(fact: DataFrame, definition: CaseDefinition, *,
-                                 events: int = 100,
-                                 words: tuple[str, ...] = DEMOGRAPHIC_WORDS,
-                                 width: int = 50, separator: str = " | ") -> DataFrame:
-    """Elements whose name hints at age or sex: events, distinct values, the values.
+                                 words: tuple[str, ...] = DEMOGRAPHIC_WORDS) -> DataFrame:
+    """Elements whose name hints at age or sex, over all case events: events, distinct values."""
+    rows = _demographic(fact, definition, None, words)
+    events = rows.groupBy("data_element_display_name").agg(
+        F.count_distinct("event_id").alias("event_count"))
+    values = (rows.select("data_element_display_name", "data_value").distinct()
+              .groupBy("data_element_display_name").agg(F.count("data_value").alias("unique_values")))
+    return (events.join(values, "data_element_display_name")
+            .orderBy(F.desc("event_count"), "data_element_display_name"))
+
+
+def profile_demographic_values(fact: DataFrame, definition: CaseDefinition, *,
+                               words: tuple[str, ...] = DEMOGRAPHIC_WORDS) -> DataFrame:
+    """The values of those elements, whole and one to a row, with their case events."""
+    return (_demographic(fact, definition, None, words)
+            .groupBy("data_element_display_name", "data_value")
+            .agg(F.count_distinct("event_id").alias("event_count")))
+
+
+def profile_demographic_sample(fact: DataFrame, definition: CaseDefinition, *,
+                               events: int = 100,
+                               words: tuple[str, ...] = DEMOGRAPHIC_WORDS,
+                               width: int | None = None, separator: str = " | ") -> DataFrame:
+    """The same over a sample of case events, with the values as one line.
 
-    Runs over a sample of case events. Values are made distinct before they are
-    listed, so the list is built from one row per value and not per event.
+    Values are made distinct before they are listed, so the list is built from one row per
+    value and not per event; ``width`` cuts them.
     """
-    name = F.col("data_element_display_name")
-    rows = _of_sample(fact, definition, events).filter(mentions(name, words))
+    rows = _demographic(fact, definition, events, words)
     counted = rows.groupBy("data_element_display_name").agg(
         F.count_distinct("event_id").alias("event_count"))
     values = rows.select("data_element_display_name", "data_value").distinct()
-    sample = F.expr(f"listagg(DISTINCT substr(data_value, 1, {int(width)}), '{separator}') "
-                    f"WITHIN GROUP (ORDER BY substr(data_value, 1, {int(width)}))")
+    value = "data_value" if width is None else f"substr(data_value, 1, {int(width)})"
+    sample = F.expr(f"listagg(DISTINCT {value}, '{separator}') WITHIN GROUP (ORDER BY {value})")
     listed = values.groupBy("data_element_display_name").agg(
         F.count("data_value").alias("unique_values"), sample.alias("sample_values"))
     return (counted.join(listed, "data_element_display_name")
             .orderBy(F.desc("event_count"), "data_element_display_name"))
 
 
-def profile_all_elements(fact: DataFrame, definition: CaseDefinition, *, events: int = 50,
-                         k: int = 20) -> DataFrame:
-    """Elements that most of the sampled case events carry."""
-    return (_of_sample(fact, definition, events)
+def profile_all_elements(fact: DataFrame, definition: CaseDefinition, *,
+                         events: int | None = None, k: int = 20) -> DataFrame:
+    """Elements that most case events carry, over all of them or a sample."""
+    return (_of_events(fact, definition, events)
             .groupBy("data_element_display_name")
             .agg(F.count_distinct("event_id").alias("event_count"))
             .orderBy(F.desc("event_count"), "data_element_display_name").limit(k))

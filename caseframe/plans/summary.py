@@ -12,7 +12,6 @@ from caseframe.operators.places import add_places, at_place
 from caseframe.operators.totals import one_row
 from caseframe.plans.deaths import total_deaths
 from caseframe.plans.districts import ranked_districts
-from caseframe.plans.weekly import weekly_counts
 from caseframe.schemas import ORG_KEY
 
 
@@ -52,13 +51,20 @@ def summary_stats(fact: DataFrame, org: DataFrame, definition: CaseDefinition, *
 
 
 def _week_trend(fact: DataFrame, definition: CaseDefinition) -> DataFrame:
-    """All cases and the direction between the two newest weeks."""
-    newest = Window.orderBy(F.desc("year"), F.desc("epi_week"))
-    weeks = (weekly_counts(fact, definition)
-             .withColumn("place", F.row_number().over(newest))
+    """All cases, and the direction from the week before to the newest week with cases.
+
+    Weeks go by their Mondays, so they run on over a new year. Without cases in the week before
+    there is nothing to compare with, and the trend is stable.
+    """
+    monday = F.date_trunc("week", "event_date").cast("date").alias("monday")
+    weeks = (case_rows(fact, definition).select("event_id", monday).distinct()
+             .groupBy("monday").agg(F.count("*").alias("weekly_cases")))
+    newest = Window.orderBy(F.desc("monday"))
+    weeks = (weeks.withColumn("place", F.row_number().over(newest))
+             .withColumn("gap", F.datediff(F.max("monday").over(newest), "monday"))
              .agg(F.coalesce(F.sum("weekly_cases"), F.lit(0)).alias("total_cases"),
                   F.max(F.when(F.col("place") == 1, F.col("weekly_cases"))).alias("current"),
-                  F.max(F.when(F.col("place") == 2, F.col("weekly_cases"))).alias("before")))
+                  F.max(F.when(F.col("gap") == 7, F.col("weekly_cases"))).alias("before")))
     trend = (F.when(F.col("current") > F.col("before"), "Increasing")
              .when(F.col("current") < F.col("before"), "Decreasing")
              .otherwise("Stable"))
@@ -66,16 +72,19 @@ def _week_trend(fact: DataFrame, definition: CaseDefinition) -> DataFrame:
 
 
 def executive_summary(fact: DataFrame, org: DataFrame, attributes: DataFrame,
-                      definition: CaseDefinition, *, districts: int = 12,
-                      as_of: AsOf = None) -> DataFrame:
+                      definition: CaseDefinition, *, as_of: AsOf = None) -> DataFrame:
     """Headline figures: cases, new cases, deaths, fatality, districts, trend.
 
-    ``affected_districts`` counts the listed districts, at most ``districts``.
+    ``affected_districts`` counts every district with cases. Nothing dated after ``as_of``
+    counts in any figure.
     """
-    top = ranked_districts(fact, org, definition).limit(districts)
+    if as_of is not None:
+        day = F.col("event_date")
+        fact = fact.filter(day.isNull() | (day <= F.lit(as_of).cast("date")))
     best = F.min(F.struct(-F.col("total_cases"), -F.col("cases_last_epiweek"),
                           F.col("district"), F.col("total_cases")))
-    ranked = top.agg(F.count("*").alias("affected_districts"), best.alias("best")).select(
+    ranked = ranked_districts(fact, org, definition).agg(
+        F.count("*").alias("affected_districts"), best.alias("best")).select(
         "affected_districts", F.col("best.district").alias("top_district"),
         F.coalesce("best.total_cases", F.lit(0)).alias("top_district_cases"))
     fatality = ratios.percent_or_zero(F.col("total_deaths"), F.col("total_cases"), 2)

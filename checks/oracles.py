@@ -481,6 +481,8 @@ SAMPLE = """sampled AS (
   SELECT f.* FROM fact_event f
   WHERE event_id IN (SELECT DISTINCT event_id FROM urgent ORDER BY event_id LIMIT {n}))"""
 
+EVERY_CASE = "fact_event WHERE event_id IN (SELECT event_id FROM urgent)"
+
 ROLLUP = f"""{STAR}
 SELECT day AS event_date, org AS dim_org_hierarchy_key,
        {bands(WHOLE.format(v="a.value"), ELEVEN)} AS age_group,
@@ -498,28 +500,39 @@ ASIA_1998 = "region ILIKE '%asia%' AND YEAR(day) = 1998"
 NATION_5 = "district ILIKE '%nation_5%'"
 LAST_YEAR = "day >= (SELECT CAST(MAX(day) - INTERVAL '12 months' AS DATE) FROM urgent)"
 
+def executive_summary(as_of: str | None = None) -> str:
+    """Figures from the urgent cases up to a day; every later row is out before anything else."""
+    star, last = STAR, last_24h()
+    if as_of is not None:
+        star = STAR.replace("FROM orders)", f"""FROM orders
+  WHERE o_orderkey % 101 = 0 OR CAST(o_orderdate AS DATE) <= DATE '{as_of}')""", 1)
+        last = f"(SELECT COUNT(DISTINCT event_id) FROM urgent WHERE day >= DATE '{as_of}' - 1)"
+    return f"""{star}, mondays AS (
+  SELECT DATE_TRUNC('week', day) AS monday, COUNT(DISTINCT event_id) AS n
+  FROM urgent WHERE day IS NOT NULL GROUP BY 1),
+trend AS (
+  SELECT CASE WHEN a.n > b.n THEN 'Increasing' WHEN a.n < b.n THEN 'Decreasing'
+              ELSE 'Stable' END AS trend
+  FROM mondays a LEFT JOIN mondays b ON b.monday = a.monday - INTERVAL 7 DAY
+  WHERE a.monday = (SELECT MAX(monday) FROM mondays)),
+{ranking("urgent")},
+counts AS (SELECT (SELECT CAST(SUM(n) AS BIGINT) FROM mondays) AS total_cases,
+                  {DEATH_COUNT} AS deaths)
+SELECT total_cases, {last} AS cases_last_24h, deaths,
+       {pct("deaths", "total_cases", 2)} AS cfr_pct,
+       (SELECT COUNT(DISTINCT district) FROM ranked) AS affected_districts,
+       (SELECT district FROM ranked LIMIT 1) AS top_district,
+       (SELECT total_cases FROM ranked LIMIT 1) AS top_district_cases,
+       (SELECT trend FROM trend) AS trend FROM counts"""
+
+
 ORACLES: dict[str, str] = {
     "cases_last_24h": f"{STAR} SELECT {last_24h()} AS cases_24h",
     "summary_stats": summary_stats("urgent"),
     "summary_stats_between": summary_stats("urgent", SPRING, "1999-05-31"),
     "summary_stats_visits": summary_stats("returned"),
-    "executive_summary": f"""{STAR}, weeks AS ({weekly_counts("urgent")}),
-newest AS (
-  SELECT weekly_cases AS now,
-         LAG(weekly_cases) OVER (ORDER BY year, epi_week) AS before, year, epi_week FROM weeks),
-trend AS (
-  SELECT CASE WHEN now > before THEN 'Increasing' WHEN now < before THEN 'Decreasing'
-              ELSE 'Stable' END AS trend
-  FROM newest ORDER BY year DESC, epi_week DESC LIMIT 1),
-{ranking("urgent")}, top AS (SELECT * FROM ranked LIMIT 12),
-counts AS (SELECT (SELECT CAST(SUM(weekly_cases) AS BIGINT) FROM weeks) AS total_cases,
-                  {DEATH_COUNT} AS deaths)
-SELECT total_cases, {last_24h()} AS cases_last_24h, deaths,
-       {pct("deaths", "total_cases", 2)} AS cfr_pct,
-       (SELECT COUNT(*) FROM top) AS affected_districts,
-       (SELECT district FROM top LIMIT 1) AS top_district,
-       (SELECT total_cases FROM top LIMIT 1) AS top_district_cases,
-       (SELECT trend FROM trend) AS trend FROM counts""",
+    "executive_summary": executive_summary(),
+    "executive_summary_as_of": executive_summary("1998-06-30"),
     "weekly_table": weekly_table(),
     "weekly_table_next": weekly_table(shift="LEAD"),
     "weekly_table_iso_year": weekly_table(weeks=400, year="ISOYEAR(day)"),
@@ -630,14 +643,26 @@ SELECT name, value, scale_max FROM scaled""",
         ("0.1-4.9", 0), ("5-10.9", 5), ("11-15.9", 11), ("16-20.9", 16), ("21+", 21)]),
     "map_bins_case_rate": binned(CURRENT_BY_PEOPLE, "rate", 11, [
         ("0.1-4.9", 0), ("5-10.9", 5), ("11+", 11)]),
-    "profile_demographic_elements": f"""{STAR}, {SAMPLE.format(n=100)}
+    "profile_demographic_elements": f"""{STAR}
+SELECT element_name AS data_element_display_name, COUNT(DISTINCT event_id) AS event_count,
+       COUNT(DISTINCT value) AS unique_values
+FROM {EVERY_CASE}
+  AND REGEXP_MATCHES(LOWER(element_name), 'age|sex|gender|male|demographic') GROUP BY 1""",
+    "profile_demographic_values": f"""{STAR}
+SELECT element_name AS data_element_display_name, value AS data_value,
+       COUNT(DISTINCT event_id) AS event_count
+FROM {EVERY_CASE}
+  AND REGEXP_MATCHES(LOWER(element_name), 'age|sex|gender|male|demographic') GROUP BY 1, 2""",
+    "profile_demographic_sample": f"""{STAR}, {SAMPLE.format(n=100)}
 SELECT element_name AS data_element_display_name, COUNT(DISTINCT event_id) AS event_count,
        COUNT(DISTINCT value) AS unique_values,
-       STRING_AGG(DISTINCT SUBSTR(value, 1, 50), ' | ' ORDER BY SUBSTR(value, 1, 50))
-         AS sample_values
+       STRING_AGG(DISTINCT value, ' | ' ORDER BY value) AS sample_values
 FROM sampled
 WHERE REGEXP_MATCHES(LOWER(element_name), 'age|sex|gender|male|demographic') GROUP BY 1""",
-    "profile_all_elements": f"""{STAR}, {SAMPLE.format(n=50)}
+    "profile_all_elements": f"""{STAR}
+SELECT element_name AS data_element_display_name, COUNT(DISTINCT event_id) AS event_count
+FROM {EVERY_CASE} GROUP BY 1 ORDER BY event_count DESC, 1 LIMIT 20""",
+    "profile_all_sample": f"""{STAR}, {SAMPLE.format(n=50)}
 SELECT element_name AS data_element_display_name, COUNT(DISTINCT event_id) AS event_count
 FROM sampled GROUP BY 1 ORDER BY event_count DESC, 1 LIMIT 20""",
     "dq_multi_date_events": f"""{STAR}

@@ -56,6 +56,8 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "summary_stats_visits": lambda t: summary.summary_stats(t.visits, t.org, RETURNED),
     "executive_summary": lambda t: summary.executive_summary(
         t.fact, t.org, t.attributes, URGENT),
+    "executive_summary_as_of": lambda t: summary.executive_summary(
+        t.fact, t.org, t.attributes, URGENT, as_of=dt.date(1998, 6, 30)),
     # weeks
     "weekly_table": lambda t: weekly.weekly_table(t.fact, URGENT),
     "weekly_table_next": lambda t: weekly.weekly_table(t.fact, URGENT, compare="next"),
@@ -167,7 +169,10 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     # data elements and data quality
     "profile_demographic_elements": lambda t: elements.profile_demographic_elements(
         t.fact, URGENT),
+    "profile_demographic_values": lambda t: elements.profile_demographic_values(t.fact, URGENT),
+    "profile_demographic_sample": lambda t: elements.profile_demographic_sample(t.fact, URGENT),
     "profile_all_elements": lambda t: elements.profile_all_elements(t.fact, URGENT),
+    "profile_all_sample": lambda t: elements.profile_all_elements(t.fact, URGENT, events=50),
     "dq_multi_date_events": lambda t: quality.dq_multi_date_events(t.visits, RETURNED),
     "dq_duplicate_attributes": lambda t: quality.dq_duplicate_attributes(
         t.contacts.unionByName(t.attributes)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseframe.model import Scope
 from caseframe.operators import sizes
+from caseframe.operators.sizes import join_dimension
 from caseframe.plans import (
     choices, deaths, districts, elements, maps, people, quality, rollup, summary, weekly)
 from tests.frames import CODES, FLU, attributes, day, fact, org, rows_of
@@ -173,6 +174,30 @@ def test_executive_summary(spark, places):
                    "top_district_cases": 2, "trend": "Increasing"}
 
 
+def test_executive_summary_counts_every_district_up_to_a_day(spark):
+    places = org(spark, [(k, f"District {k:02d}", "R") for k in range(20)])
+    cases = fact(spark, [(k, k, "2024-01-03", k) for k in range(20)]
+                 + [(100 + k, k, "2024-12-24", 1) for k in range(2)]
+                 + [(200 + k, k, "2024-12-31", 1) for k in range(5)])
+    nobody = attributes(spark, [])
+    row = summary.executive_summary(cases, places, nobody, FLU).first()
+    assert (row.affected_districts, row.total_cases, row.trend) == (20, 27, "Increasing")
+    row = summary.executive_summary(cases, places, nobody, FLU, as_of=dt.date(2024, 2, 1)).first()
+    assert (row.total_cases, row.top_district_cases, row.cases_last_24h) == (20, 1, 0)
+
+
+def test_a_large_dimension_keeps_equal_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string")
+    table = spark.createDataFrame([(1, "x"), (2, "y")], "k int, name string")
+    for limit in (0, 10):
+        assert join_dimension(rows, table, table, "k", limit=limit).count() == 3
+
+
+def test_reporting_of_zero_days_is_the_last_day(spark, places):
+    cases = fact(spark, [(1, 1, "2024-01-02", 1), (2, 2, "2024-01-09", 2)])
+    assert districts.district_reporting(cases, places, FLU, days=0).first().districts_with_cases == 1
+
+
 # Persons -------------------------------------------------------------------------------
 
 def test_incident_cases_take_the_first_date_ever(spark, places):
@@ -307,8 +332,11 @@ def test_element_profiles(spark):
                  + [(1, 1, "2024-01-01", 1, "A", "Age", "7"), (2, 1, "2024-01-01", 1, "A", "Age", "9"),
                     (1, 1, "2024-01-01", 1, "A", "Age", None), (3, 1, "2024-01-01", 1, "A", "Age", "1"),
                     (1, 1, "2024-01-01", 1, "S", "SEX", "x" * 60), (9, 1, "2024-01-01", 1, "A", "Age", "5")])
-    got = elements.profile_demographic_elements(cases, FLU, events=2)
+    got = elements.profile_demographic_sample(cases, FLU, events=2, width=50)
     assert rows_of(got) == [("Age", 2, 2, "7 | 9"), ("SEX", 1, 1, "x" * 50)]
+    assert rows_of(elements.profile_demographic_elements(cases, FLU)) == [("Age", 3, 3), ("SEX", 1, 1)]
+    assert sorted(rows_of(elements.profile_demographic_values(cases, FLU)), key=str) == [
+        ("Age", "1", 1), ("Age", "7", 1), ("Age", "9", 1), ("Age", None, 1), ("SEX", "x" * 60, 1)]
     assert rows_of(elements.profile_all_elements(cases, FLU, k=2)) == [("Age", 3), ("Diagnosis", 3)]
 
 
