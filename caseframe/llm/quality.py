@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseframe.llm.shared import SPACE_RUN, SPACES, WORD, keep, text_or_empty
@@ -99,11 +99,10 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> Data
              .groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_good").alias("good")))
     full = (docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
             .join(every, "bucket", "left").fillna(0, ["raw", "good"]))
-    totals = full.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
-    share = lambda n, total: ((F.col(n) + SMOOTHING) / (F.col(total) + SMOOTHING * buckets))
-    ratio = F.when(F.col("all_good") > 0, F.log(share("good", "all_good") / share("raw", "all_raw")))
-    return full.crossJoin(F.broadcast(totals)).select(
-        "bucket", F.coalesce(ratio, F.lit(0.0)).alias("weight"))
+    whole = Window.partitionBy(F.lit(0))  # over the buckets, whose number is fixed
+    share = lambda n: ((F.col(n) + SMOOTHING) / (F.sum(n).over(whole) + SMOOTHING * buckets))
+    ratio = F.when(F.sum("good").over(whole) > 0, F.log(share("good") / share("raw")))
+    return full.select("bucket", F.coalesce(ratio, F.lit(0.0)).alias("weight"))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
