@@ -7,17 +7,18 @@ Jaccard similarity. Bands of registers give candidates. Their similarity is firs
 jointly from the registers by maximum likelihood; those that are not far too low are compared on
 their full sets.
 
-Equal word sequences are one node from the start. In each bucket the nodes meet the bucket's
-first node, not each other. Only what is then in the same bucket but in different components is
-looked at again: in small buckets every such pair, in large ones centre after centre until every
-node has been one or a single component is left.
+Equal word sequences are one node from the start. In each bucket the nodes meet its centre, the node
+that shares most buckets, not each other. Only what is then in the same bucket but in different
+components is looked at again: in small buckets every such pair. In large ones a node outside the
+bucket's main component is looked up by its rarest shingles, so many that a partner must have one
+of them; they are few or have few holders, however large the group is.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseframe.llm import words as wd
@@ -31,11 +32,10 @@ BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: Candidates whose estimate lies this far below the threshold are not compared: with 216
-#: registers that is over six standard deviations.
-SLACK = 0.16
-#: Buckets up to this size have all pairs of different components compared at once, larger ones
-#: up to CENTRES of their nodes with all others in each round.
-SMALL, CENTRES = 64, 16
+#: registers that is four and a half standard deviations.
+SLACK = 0.11
+#: Buckets up to this size have all pairs of different components compared at once.
+SMALL = 64
 
 _FACTORS = np.random.default_rng(7).integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(11).integers(0, 2**63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -173,9 +173,8 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(likely, "u binary, v binary")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that the full sets confirm."""
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+def _sets(ends: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The full shingle sets of some nodes, from whole texts: node, shingles."""
     wanted = ends.join(nodes.select("node", "doc_id"), "node").select("doc_id").distinct()
 
     def sets(batches):
@@ -185,9 +184,16 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) ->
                 [pa.array(c, pa.binary()) for c in (zip(*rows) if rows else [[], []])],
                 names=["node", "shingles"])
 
-    full = keep(_slim(docs).join(wanted, "doc_id", "left_semi").mapInArrow(sets, SETS), "sets")
+    return keep(_slim(docs).join(wanted, "doc_id", "left_semi").mapInArrow(sets, SETS), "sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+
 
-    def confirmed(batches):
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that the full sets confirm."""
+    def compare(batches):
         for batch in batches:
             good = []
             for left, right in zip(batch["left"], batch["right"]):
@@ -196,67 +202,110 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) ->
                 good.append(100 * both >= percent * (len(left) + len(right) - both))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return (pairs.join(full.toDF("u", "left"), "u").join(full.toDF("v", "right"), "v")
-            .select("u", "v", "left", "right").mapInArrow(confirmed, "u binary, v binary"))
+    return keep(pairs.join(sets.toDF("u", "left"), "u").join(sets.toDF("v", "right"), "v")
+                .select("u", "v", "left", "right").mapInArrow(compare, "u binary, v binary"), "links")
 
 
 def _pairs(at: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """The centres with the nodes of their bucket that are in other components."""
-    return (at.select("key", "node", "n", "label")
-            .join(centres.select("key", F.col("node").alias("c"), F.col("n").alias("c_n"),
-                                 F.col("label").alias("c_label")), "key")
-            .filter("label != c_label").filter(_near_sizes("n", "c_n", percent))
-            .select(F.greatest("node", "c").alias("u"), F.least("node", "c").alias("v")).distinct())
-
+    """The centres with the nodes of their bucket that are in other components.
 
-def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    Two nodes of large buckets share no more shingles than either has in common with any node
+    there (`held`).
+    """
+    mates = (at.select("key", "node", "n", "label", "held")
+             .join(centres.select("key", *(F.col(c).alias(f"c_{c}") for c in
+                                           ("node", "n", "label", "held"))), "key")
+             .filter("label != c_label").filter(_near_sizes("n", "c_n", percent)))
+    mates = mates.filter(F.expr(
+        f"held is null or c_held is null or "
+        f"(100 + {percent}) * least(held, c_held) >= {percent} * (n + c_n)"))
+    return mates.select(F.greatest("node", "c_node").alias("u"),
+                        F.least("node", "c_node").alias("v")).distinct()
+
+
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Buckets that hold several components; `main` is the component with most nodes there."""
-    at = shared.join(labels, "node", "left").select(
-        "key", "node", "n", "size", F.coalesce("label", "node").alias("label"))
-    main = (at.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
-            .agg(F.max_by("label", F.struct("c", "label")).alias("main"),
-                 F.count("*").alias("parts")).filter("parts > 1"))
-    return keep(at.join(main.drop("parts"), "key"), "open-buckets")
-
-
-def _centres(at: DataFrame, used: DataFrame | None) -> DataFrame:
-    """Nodes outside the main component that have not been centres: all of a small bucket,
-    the least of each hash class of a large one. A pair of nodes in different components has at
-    least one end among them."""
-    outer = at.filter("label != main")
-    if used is not None:
-        outer = outer.join(used, ["key", "node"], "left_anti")
-    picked = (outer.filter(F.col("size") > SMALL)
-              .groupBy("key", F.pmod(F.xxhash64("node"), F.lit(CENTRES)).alias("class"))
-              .agg(F.min(F.struct("node", "n", "label")).alias("c")).select("key", "c.*"))
-    return keep(outer.filter(F.col("size") <= SMALL).select("key", "node", "n", "label")
-                .union(picked), "centres")
+    at = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    main = (at.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("n").alias("least"))
+            .groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"),
+                                F.min("least").alias("least"), F.count("*").alias("parts"))
+            .filter("parts > 1").drop("parts"))
+    return keep(at.join(main, "key"), "open-buckets")
+
+
+def _holders(sets: DataFrame) -> DataFrame:
+    """shingle and node: a row for each shingle of each node."""
+    def each(batches):
+        for batch in batches:
+            values = [np.frombuffer(x.as_buffer(), "<i8") for x in batch["shingles"]]
+            at = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(values) if values else np.zeros(0, "<i8")),
+                 batch["node"].take(at)], names=["shingle", "node"])
+
+    return keep(sets.dropDuplicates(["node"]).mapInArrow(each, "shingle bigint, node binary"),
+                "holders")
+
+
+def _crowd_pairs(rest: DataFrame, crowd: DataFrame, holders: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that can be linked, from the large buckets.
+
+    `rest` has the buckets that are open, `crowd` node, n, held and label of all nodes of large
+    buckets. A partner has at least the size of the smallest set around, so it may lack only so
+    many shingles of a node; of one more than that, rarest first, it must hold one.
+    """
+    outer = rest.filter("label != main").groupBy("node").agg(F.min("least").alias("least"))
+    smallest = f"greatest(least, cast(ceil({percent} * n / 100) as bigint))"
+    spare = F.expr(f"n - cast(ceil({percent} * (n + {smallest}) / {100 + percent}) as bigint)")
+    outer = outer.join(crowd, "node").withColumn(
+        "tries", spare + 1 - (F.col("n") - F.col("held"))).filter("tries > 0")
+    rarest = Window.partitionBy("node").orderBy("c", "shingle")
+    common = holders.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
+    probes = (holders.join(outer, "node").join(common, "shingle").withColumn("_r", F.row_number().over(rarest))
+              .filter(F.col("_r") <= F.col("tries"))
+              .select("shingle", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "held", "label"))))
+    mates = holders.join(probes, "shingle").join(crowd, "node").filter(
+        "label != c_label").filter(_near_sizes("n", "c_n", percent)).filter(F.expr(
+            f"(100 + {percent}) * least(held, c_held) >= {percent} * (n + c_n)"))
+    return mates.select(F.greatest("node", "c_node").alias("u"),
+                        F.least("node", "c_node").alias("v")).distinct()
 
 
 def links_of(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Labels (node, label) of the components of nodes that have links."""
     bands = _bands(nodes)
-    buckets = bands.groupBy("key").agg(
-        F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("c")).filter("size > 1")
+    buckets = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = keep(bands.join(buckets, "key"), "buckets")
-    tried = keep(shared.filter("node != c.node").filter(_near_sizes("n", "c.n", percent))
-                 .select(F.col("node").alias("u"), F.col("c.node").alias("v")).distinct(), "pairs")
-    found = keep(_links(keep(_estimated(tried, nodes, percent), "likely"), docs, nodes, percent),
-                 "links")
-    labels, used = keep(components(found), "labels"), None
-    while True:
-        shared = _labelled(shared.select("key", "node", "n", "size"), labels)
-        centres = _centres(shared, used)
-        if centres.isEmpty():
-            return labels
-        mine = centres.select("key", "node")
-        used = mine if used is None else used.union(mine)
-        fresh = _pairs(shared, centres, percent).join(tried, ["u", "v"], "left_anti")
-        likely = keep(_estimated(fresh, nodes, percent), "likely")
-        if likely.isEmpty():
-            continue
-        found = found.union(keep(_links(likely, docs, nodes, percent), "links"))
-        labels = keep(components(found), "labels")
+    degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
+    centre = shared.join(degree, "node").groupBy("key").agg(
+        F.max(F.struct("degree", "node", "n")).alias("c"))
+    tried = keep(shared.join(centre, "key").filter("node != c.node")
+                 .filter(_near_sizes("n", "c.n", percent))
+                 .select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v"))
+                 .distinct(), "pairs")
+    likely = keep(_estimated(tried, nodes, percent), "likely")
+    crowd = shared.filter(F.col("size") > SMALL).select("node").distinct()
+    sets = _sets(_ends(likely).union(crowd).distinct(), docs, nodes)
+    found = _confirmed(likely, sets, percent)
+    labels = keep(components(found), "labels")
+    holders = _holders(sets.join(crowd, "node", "left_semi"))
+    alone = (holders.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+             .filter("c = 1").groupBy("node").agg(F.count("*").alias("alone")))
+    known = nodes.join(crowd, "node", "left_semi").join(alone, "node", "left").select(
+        "node", F.col("n_shingles").alias("n"),
+        (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("held"))
+    known = keep(known, "held")
+    held = known.select("node", "held")
+
+    rest = _open(shared, labels).join(held, "node", "left")
+    few = rest.filter(F.col("size") <= SMALL)
+    many = rest.filter(F.col("size") > SMALL)
+    known = known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    fresh = _pairs(few, few.filter("label != main"), percent).union(
+        _crowd_pairs(many, known, holders, percent)).distinct().join(tried, ["u", "v"], "left_anti")
+    likely = keep(_estimated(fresh, nodes, percent), "likely")
+    found = found.union(_confirmed(likely, _sets(_ends(likely), docs, nodes), percent))
+    return keep(components(found), "labels")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
