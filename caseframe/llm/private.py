@@ -80,7 +80,8 @@ def base(text: str) -> list[tuple[str, int, int]]:
 EMBED, HIDDEN = 10, 14
 SAMPLE_ROWS, SAMPLE_CHARS, TRAIN_WINDOWS = 800, 20_000, 1000
 WINDOW, STRIDE, TRAIN_WINDOW = 128, 96, 64
-EPOCHS, BATCH, RATE = 12, 64, 0.02
+#: Updates in all, so that a small sample is gone through more often.
+UPDATES, BATCH, RATE = 190, 64, 0.02
 #: Mean posterior that an added span needs.
 SURE = 0.9
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -178,8 +179,9 @@ def fit(codes: np.ndarray, tags: np.ndarray, seed: int = 3) -> Tagger:
     first = [np.zeros(p.shape) for p in model]
     second = [np.zeros(p.shape) for p in model]
     turn = 0
-    for _ in range(EPOCHS if len(codes) else 0):
-        for part in np.array_split(random.permutation(len(codes)), max(1, len(codes) // BATCH)):
+    batches = max(1, len(codes) // BATCH)
+    for _ in range(-(-UPDATES // batches) if len(codes) else 0):
+        for part in np.array_split(random.permutation(len(codes)), batches):
             turn += 1
             for p, g, a, b in zip(model, _slopes(model, codes[part], tags[part]), first, second):
                 a += 0.1 * (g - a)
