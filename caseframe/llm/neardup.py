@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from caseframe.llm import words as wd
 from caseframe.llm.components import components
-from caseframe.llm.shared import keep, ship, slices
+from caseframe.llm.shared import keep, only_ids, ship, slices
 
 SHINGLE = 5
 #: 36 bands of 6 registers miss a pair of similarity 0.85 with probability 0.623 ** 36 < 5e-8,
@@ -175,7 +175,8 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _sets(ends: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The full shingle sets of some nodes, from whole texts: node, shingles."""
-    wanted = ends.join(nodes.select("node", "doc_id"), "node").select("doc_id").distinct()
+    wanted = keep(ends.join(nodes.select("node", "doc_id"), "node").select("doc_id").distinct(),
+                  "wanted")
 
     def sets(batches):
         for batch in batches:
@@ -184,7 +185,7 @@ def _sets(ends: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 [pa.array(c, pa.binary()) for c in (zip(*rows) if rows else [[], []])],
                 names=["node", "shingles"])
 
-    return keep(_slim(docs).join(wanted, "doc_id", "left_semi").mapInArrow(sets, SETS), "sets")
+    return keep(only_ids(_slim(docs), wanted).mapInArrow(sets, SETS), "sets")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

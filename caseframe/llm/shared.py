@@ -16,6 +16,8 @@ from caseframe.sources.workdir import new_folder
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of the bitmap that `only_ids` sends to all tasks: 16 MB, however many the ids are.
+FILTER_BITS = 2**27
 
 
 def keep(frame: DataFrame, purpose: str) -> DataFrame:
@@ -37,6 +39,25 @@ def ship(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = ":".join([root, *paths])
 
 
+def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among `ids`, a kept table with that one column.
+
+    A bitmap of hashed ids is broadcast first, so that hardly any other row is shuffled with its
+    text. It may let rows through, the more the more ids there are; the join decides.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+    bits = (ids.select(F.bitmap_bucket_number(place).alias("_bucket"),
+                       F.bitmap_bit_position(place).alias("_at"))
+            .groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits")))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10)
+    is_set = F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)").bitwiseAND(
+        byte.cast("int")) != 0
+    likely = (rows.withColumn("_bucket", F.bitmap_bucket_number(place))
+              .withColumn("_at", F.bitmap_bit_position(place))
+              .join(F.broadcast(bits), "_bucket").filter(is_set).select(rows.columns))
+    return likely.join(ids, "doc_id", "left_semi")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from caseframe.llm import (credentials, exact, languages, licenses, mixing, neardup, packing, private,
-                           quality, warc)
+                           quality, shared, warc)
 from caseframe.llm.components import components
 from tests.llm import brute
 
@@ -57,6 +57,18 @@ def test_near_duplicates_of_a_crowd(docs):
     assert {r[0]: r[1:] for r in got} == brute.near(rows, 85)
 
 
+@pytest.mark.parametrize("bits", [64, shared.FILTER_BITS])
+def test_rows_of_some_ids(spark, docs, monkeypatch, bits):
+    """With few bits ids collide, which the join corrects; a row without an id is nobody's."""
+    monkeypatch.setattr(shared, "FILTER_BITS", bits)
+    rows = docs([(k, f"t{k}") for k in range(-300, 300)] + [(None, "none"), (7, "again")])
+    ids = spark.createDataFrame([(k,) for k in (*range(-290, 300, 10), 7, 10**12)], "doc_id bigint")
+    got = table(shared.only_ids(rows.select("doc_id", "text"), ids), "doc_id", "text")
+    assert sorted(got) == sorted([(k, f"t{k}") for k in (*range(-290, 300, 10), 7)] + [(7, "again")])
+    assert shared.only_ids(rows, ids.limit(0)).columns == rows.columns
+    assert shared.only_ids(rows, ids.limit(0)).count() == 0
+
+
 def test_no_documents_no_groups(docs):
     assert neardup.near_duplicates(docs([])).count() == 0
 
