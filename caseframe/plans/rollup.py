@@ -41,12 +41,14 @@ def daily_rollup(fact: DataFrame, attributes: DataFrame, definition: CaseDefinit
                  outcome_elements: Sequence[str] | None = None) -> DataFrame:
     """Cases per event date, place, age band, sex and whether the event tells a death.
 
-    Events are reduced to one row each, counted per person and day, and only then
-    joined with the persons' traits.
+    Events are reduced to one row each, their first by date, place and person, counted per
+    person and day, and only then joined with the persons' traits.
     """
-    events = (case_rows(fact, definition, scope).groupBy("event_id")
-              .agg(F.min("event_date").alias("event_date"), F.min(ORG_KEY).alias(ORG_KEY),
-                   F.min(PERSON).alias(PERSON)))
+    first = F.min(F.struct("event_date", F.col(ORG_KEY).isNull(), ORG_KEY,
+                           F.col(PERSON).isNull(), PERSON))
+    events = (case_rows(fact, definition, scope).groupBy("event_id").agg(first.alias("first"))
+              .select("event_id", *(F.col(f"first.{c}").alias(c)
+                                    for c in ("event_date", ORG_KEY, PERSON))))
     dead = dead_events(fact, outcome_elements).withColumn("died", F.lit(True))
     per_person = (events.join(dead, "event_id", "left")
                   .groupBy(PERSON, "event_date", ORG_KEY,

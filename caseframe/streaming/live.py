@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseframe.model import AttributeCodes, CaseDefinition
+from caseframe.operators.cases import case_rows
 from caseframe.plans.rollup import daily_rollup, period_of, write_rollup
 from caseframe.sources.tables import spread_by
 from caseframe.sources.workdir import new_folder
@@ -72,19 +73,27 @@ def settled(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(table)
 
 
+def _kept(frame: DataFrame, path: str) -> DataFrame:
+    """The frame, written to a path that the same batch may write again, and read from there."""
+    frame.write.mode("overwrite").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 class Snapshot:
     """A daily roll-up that follows a stream of fact rows.
 
-    Each batch is landed under its number, so running it again replaces it. Then
-    the periods it touches are counted anew from all landed rows, and only they are
-    written. Nothing is taken from the roll-up itself, so a batch that was cut off
-    can simply be run again.
+    Each batch is landed under its number, so running it again replaces it. Then the
+    events it touches are looked up among all landed rows, dated or not, and every period
+    that holds a case row of one of them is counted anew and written. So an outcome that
+    comes late, without a date or dated elsewhere still reaches its case. Nothing is taken
+    from the roll-up itself, so a batch that was cut off can simply be run again.
     """
 
     def __init__(self, folder: str, attributes: DataFrame, definition: CaseDefinition,
                  codes: AttributeCodes, grain: str = "day") -> None:
         self.landed = f"{folder}/fact"
         self.rollup = f"{folder}/rollup"
+        self.periods = f"{folder}/periods"
         self.checkpoint = f"{folder}/checkpoint"
         self.attributes = attributes
         self.definition = definition
@@ -97,20 +106,32 @@ class Snapshot:
         # Sorted by date, so that a scan for a few periods skips files and row groups.
         (spread_by(batch, "event_date", "event_id").sortWithinPartitions("event_date")
          .write.mode("overwrite").parquet(own))
-        periods = (spark.read.schema(batch.schema).parquet(own)
-                   .filter(F.col("event_date").isNotNull())
-                   .select(period_of(self.grain).alias("period")).distinct())
+        landed = spark.read.schema(batch.schema).parquet(f"{self.landed}/batch=*")
+        touched = spark.read.schema(batch.schema).parquet(own).select("event_id").distinct()
+        dated = case_rows(landed, self.definition)
+        days = dated.join(touched, "event_id", "left_semi").select(period_of(self.grain).alias("period"))
+        periods = _kept(days.distinct(), f"{self.periods}/batch={number}")
         ends = periods.agg(F.min("period").alias("first"), F.max("period").alias("last"))
         first, after = ends.select("first", F.add_months("last", 1)).first()
         if first is None:
             return
         # The range reaches the scan; the join keeps the periods themselves.
-        touched = (spark.read.parquet(self.landed)
-                   .filter(F.col("event_date").between(first, after))
-                   .withColumn("period", period_of(self.grain))
-                   .join(periods, "period", "left_semi"))
-        rollup = daily_rollup(touched, self.attributes, self.definition, self.codes)
-        write_rollup(rollup, self.rollup, self.grain)
+        events = (dated.filter(F.col("event_date").between(first, after))
+                  .withColumn("period", period_of(self.grain))
+                  .join(periods, "period", "left_semi").select("event_id").distinct())
+        rollup = daily_rollup(landed.join(events, "event_id", "left_semi"),
+                              self.attributes, self.definition, self.codes)
+        # An event counts on one day, which a new row of it can move: every period gets
+        # a row that says 0, as a write without rows would leave its old ones.
+        counted = rollup.withColumn("period", period_of(self.grain))
+        empty = periods.select(F.col("period").alias("event_date"), F.lit(0).alias("cases"))
+        recounted = (counted.join(periods, "period", "left_semi").drop("period")
+                     .unionByName(empty, allowMissingColumns=True))
+        write_rollup(recounted, self.rollup, self.grain)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The roll-up as it stands."""
+        return spark.read.parquet(self.rollup).filter("cases > 0").drop("period")
 
     def follow(self, stream: DataFrame) -> None:
         """Take in what the stream's sources hold now; call again for more."""

@@ -696,4 +696,6 @@ SELECT DATE_TRUNC('hour', ts) + INTERVAL '1 hour' * h AS window_end,
        COUNT(DISTINCT event_id) AS cases_24h
 FROM events CROSS JOIN hours WHERE event_type = 'error' GROUP BY 1""",
     "live_snapshot_weekly": weekly_table(),
+    "live_snapshot_districts": top_districts(),
+    "live_snapshot_map": f"{STAR} {per_district('total_cases')}",
 }

@@ -211,15 +211,29 @@ def live_rolling_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("window_end").cast("timestamp_ntz").alias("window_end"), "cases_24h"))
 
 
-def live_snapshot_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshot = live.Snapshot(new_folder(spark, "snapshot"), tables(spark, sf_dir).attributes,
                              URGENT, CODES, grain="month")
     snapshot.follow(fact_of(_stream(spark, sf_dir, "orders")))
-    return rollup.weekly_table_from_rollup(spark.read.parquet(snapshot.rollup))
+    return snapshot.table(spark)
+
+
+def live_snapshot_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.weekly_table_from_rollup(_snapshot(spark, sf_dir))
+
+
+def live_snapshot_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.top_districts_from_rollup(_snapshot(spark, sf_dir), tables(spark, sf_dir).org)
+
+
+def live_snapshot_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.map_cumulative_from_rollup(_snapshot(spark, sf_dir), tables(spark, sf_dir).org)
 
 
 def queries() -> dict[str, Query]:
     named = {name: _on(build) for name, build in REPORTS.items()}
     named |= {"live_epi_curve": live_epi_curve, "live_rolling_24h": live_rolling_24h,
-              "live_snapshot_weekly": live_snapshot_weekly}
+              "live_snapshot_weekly": live_snapshot_weekly,
+              "live_snapshot_districts": live_snapshot_districts,
+              "live_snapshot_map": live_snapshot_map}
     return named

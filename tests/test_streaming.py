@@ -61,7 +61,7 @@ def test_snapshot_follows_batches_and_late_rows(spark, tmp_path):
                       (1, 1, "2024-01-30", 1, "OUT", "Case outcome", "died")],
                      [(5, 2, None, 2)]):
             snapshot.follow(arrive(rows))
-        daily = spark.read.parquet(snapshot.rollup).drop("period")
+        daily = snapshot.table(spark)
         direct = rollup.daily_rollup(whole, persons, FLU, CODES)
         assert sorted(map(str, rows_of(daily))) == sorted(map(str, rows_of(direct)))
         assert rows_of(rollup.weekly_table_from_rollup(daily)) == rows_of(
@@ -76,4 +76,32 @@ def test_a_batch_run_twice_counts_once(spark):
     batch = fact(spark, [(1, 1, "2024-01-30", 1), (2, 1, "2024-01-30", 1)])
     snapshot.refresh(batch, 0)
     snapshot.refresh(batch, 0)
-    assert [row.cases for row in spark.read.parquet(snapshot.rollup).collect()] == [2]
+    assert [row.cases for row in snapshot.table(spark).collect()] == [2]
+
+
+def test_outcomes_elsewhere_and_events_with_two_days(spark):
+    """An undated outcome, one dated elsewhere, and an event that moves to an earlier month."""
+    persons = attributes(spark, [])
+    batches = [[(1, 1, "2024-01-30", 1), (2, 1, "2024-01-30", 1), (3, 2, "2024-02-20", 2),
+                (4, 1, "2024-03-05", 1)],
+               [(1, 1, None, 1, "OUT", "Case outcome", "died")],
+               [(2, 1, "2024-02-20", 1, "OUT", "Case outcome", "died")],
+               [(3, 1, "2024-01-30", 1), (4, 1, "2024-01-02", 1)]]
+    for grain in ("day", "month"):
+        snapshot = live.Snapshot(new_folder(spark, "snapshot"), persons, FLU, CODES, grain)
+        whole = None
+        for number, rows in enumerate(batches):
+            batch = fact(spark, rows)
+            whole = batch if whole is None else whole.unionByName(batch)
+            snapshot.refresh(batch, number)
+            daily = snapshot.table(spark)
+            direct = rollup.daily_rollup(whole, persons, FLU, CODES)
+            assert sorted(map(str, rows_of(daily))) == sorted(map(str, rows_of(direct)))
+
+
+def test_an_event_counts_where_its_first_row_is(spark):
+    """Date, place and person come from one row of the event."""
+    rows = fact(spark, [(1, 2, "2024-01-30", 1), (1, 1, "2024-02-20", 2)])
+    daily = rollup.daily_rollup(rows, attributes(spark, []), FLU, CODES).collect()
+    assert [(str(r.event_date), r.cases) for r in daily] == [("2024-01-30", 1)]
+    assert daily[0][1] == rows.filter("event_date = '2024-01-30'").first()["dim_org_hierarchy_key"]
