@@ -64,6 +64,13 @@ def sex_by_word(text: Column, short_codes: bool = False) -> Column:
             .otherwise(UNKNOWN_SEX))
 
 
+def one_sex(code: Column) -> Column:
+    """Aggregate: the known sex of all values, Unknown if they contradict, NULL without any."""
+    known = F.when(code.isin(MALE, FEMALE), code)
+    return (F.when(F.min(known) == F.max(known), F.min(known))
+            .when(F.count(code) > 0, UNKNOWN_SEX))
+
+
 def sex_label(code: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SEX_LABELS)), code)
 

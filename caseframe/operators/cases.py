@@ -64,6 +64,14 @@ def case_rows(fact: DataFrame, definition: CaseDefinition, scope: Scope = Scope(
     return within(rows, scope)
 
 
+def until(fact: DataFrame, as_of: AsOf) -> DataFrame:
+    """Rows that are not dated after the day; without a day, all."""
+    if as_of is None:
+        return fact
+    day = F.col("event_date")
+    return fact.filter(day.isNull() | (day <= F.lit(as_of).cast("date")))
+
+
 def report_date(fact: DataFrame, definition: CaseDefinition, as_of: AsOf = None,
                 move: Callable[[Column], Column] = lambda day: day,
                 scope: Scope = Scope()) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseframe.functions.text import coded_death, sex_by_substring, whole_number
+from caseframe.functions.text import coded_death, one_sex, sex_by_substring, whole_number
 from caseframe.model import CaseDefinition, Scope
 from caseframe.operators.cases import case_rows, in_period
 from caseframe.operators.places import only_places
@@ -37,7 +37,8 @@ def person_traits(attributes: DataFrame, *, sex: str | None = None, age: str | N
                   outcome: str | None = None) -> DataFrame:
     """One row per person with the asked traits: ``sex_code``, ``age_years``, ``dead``.
 
-    Of several values the least counts; for the outcome, any that says dead.
+    Of several ages the least counts; sexes that contradict are Unknown; for the outcome,
+    any that says dead.
     """
     value = F.col("attribute_value")
     code = F.col("attribute_id")
@@ -45,7 +46,7 @@ def person_traits(attributes: DataFrame, *, sex: str | None = None, age: str | N
     if sex:
         told.append(F.when((code == sex) & value.isNotNull(), sex_by_substring(value))
                     .alias("sex_code"))
-        traits.append(F.min("sex_code").alias("sex_code"))
+        traits.append(one_sex(F.col("sex_code")).alias("sex_code"))
     if age:
         told.append(F.when(code == age, whole_number(value)).alias("age_years"))
         traits.append(F.min("age_years").alias("age_years"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseframe.functions import ratios
 from caseframe.functions.dates import week_start
 from caseframe.model import CaseDefinition, Scope
-from caseframe.operators.cases import AsOf, case_rows, report_date, since, since_hours
+from caseframe.operators.cases import AsOf, case_rows, report_date, since, since_hours, until
 from caseframe.operators.outcomes import dead_events
 from caseframe.operators.places import (
     add_districts, at_place, name_districts, valid_district)
@@ -129,11 +129,10 @@ def district_reporting(fact: DataFrame, org: DataFrame, definition: CaseDefiniti
 def district_line_summary(fact: DataFrame, org: DataFrame, definition: CaseDefinition, *,
                           scope: Scope = Scope(), days: int = 30,
                           as_of: AsOf = None) -> DataFrame:
-    """Per district: all cases, recent cases, first and latest case."""
+    """Per district, up to ``as_of``: all cases, recent cases, first and latest case."""
+    fact = until(fact, as_of)
     first_day = report_date(fact, definition, as_of, lambda day: F.date_sub(day, days))
     recent = F.col("event_date") >= first_day
-    if as_of is not None:
-        recent = recent & (F.col("event_date") <= F.lit(as_of).cast("date"))
     rows = case_rows(fact, definition, scope).select("event_id", ORG_KEY, "event_date")
     events = (add_districts(rows, org, valid_district() & at_place(scope))
               .withColumn("recent", recent)

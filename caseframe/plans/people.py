@@ -12,7 +12,7 @@ from caseframe.functions.bands import (
     EIGHT_BANDS, ELEVEN_BANDS, FIVE_BANDS, TEN_BANDS, AgeScheme)
 from caseframe.functions.text import (
     AGE_WORDS, BIRTH_WORDS, FEMALE, MALE, SEX_NAME_WORDS, UNKNOWN_SEX, age_from_text,
-    mentions, sex_by_substring, sex_by_word, sex_label, whole_number)
+    mentions, one_sex, sex_by_substring, sex_by_word, sex_label, whole_number)
 from caseframe.model import AttributeCodes, CaseDefinition, Scope
 from caseframe.operators.cases import AsOf, case_rows, in_period, is_case, report_date
 from caseframe.operators.persons import first_events, person_traits
@@ -184,7 +184,9 @@ def event_traits(fact: DataFrame, definition: CaseDefinition, age_on: Column,
         *(F.when(mentions(name, words) & value.isNotNull(), code).alias(trait)
           for trait, (words, code) in traits.items()))
     return (rows.groupBy("event_id")
-            .agg(F.max("is_case").alias("is_case"), *(F.min(t).alias(t) for t in traits))
+            .agg(F.max("is_case").alias("is_case"), F.min("by_birth").alias("by_birth"),
+                 F.min("by_age").alias("by_age"),
+                 *(one_sex(F.col(t)).alias(t) for t in ("by_sex", "by_gender", "by_other")))
             .select("event_id", "is_case", F.coalesce("by_birth", "by_age").alias("age"),
                     F.coalesce("by_sex", "by_gender", "by_other", F.lit(UNKNOWN_SEX))
                     .alias("sex_code"))

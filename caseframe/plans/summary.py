@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseframe.functions import ratios
 from caseframe.model import CaseDefinition, Scope
-from caseframe.operators.cases import AsOf, case_rows, report_date, since
+from caseframe.operators.cases import AsOf, case_rows, report_date, since, until
 from caseframe.operators.places import add_places, at_place
 from caseframe.operators.totals import one_row
 from caseframe.plans.deaths import total_deaths
@@ -27,13 +27,14 @@ def summary_stats(fact: DataFrame, org: DataFrame, definition: CaseDefinition, *
     """Total cases, affected districts, and cases of the last 7 and 30 days.
 
     Events are reduced to one row each before they are counted, which avoids
-    expanding every row for each distinct count. Undated cases count in the total.
+    expanding every row for each distinct count. Undated cases count in the total, cases
+    dated after ``as_of`` in no figure.
     """
-    day = F.col("event_date")
+    fact = until(fact, as_of)
 
     def recent(days: int):
-        flag = day >= report_date(fact, definition, as_of, lambda last: F.date_sub(last, days))
-        return flag if as_of is None else flag & (day <= F.lit(as_of).cast("date"))
+        return F.col("event_date") >= report_date(
+            fact, definition, as_of, lambda last: F.date_sub(last, days))
 
     rows = case_rows(fact, definition, scope, dated=False)
     placed = add_places(rows.select("event_id", ORG_KEY, recent(7).alias("week"),
@@ -78,9 +79,7 @@ def executive_summary(fact: DataFrame, org: DataFrame, attributes: DataFrame,
     ``affected_districts`` counts every district with cases. Nothing dated after ``as_of``
     counts in any figure.
     """
-    if as_of is not None:
-        day = F.col("event_date")
-        fact = fact.filter(day.isNull() | (day <= F.lit(as_of).cast("date")))
+    fact = until(fact, as_of)
     best = F.min(F.struct(-F.col("total_cases"), -F.col("cases_last_epiweek"),
                           F.col("district"), F.col("total_cases")))
     ranked = ranked_districts(fact, org, definition).agg(

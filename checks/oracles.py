@@ -104,7 +104,7 @@ def summary_stats(cases: str, where: str = "TRUE", as_of: str | None = None) ->
     return f"""{STAR}
 SELECT COUNT(DISTINCT event_id) AS total_cases, COUNT(DISTINCT district) AS affected_districts,
        {recent(7)} AS cases_last_7_days, {recent(30)} AS cases_last_30_days
-FROM {cases} JOIN dim_org USING (org) WHERE {where}"""
+FROM {cases} JOIN dim_org USING (org) WHERE {where} AND (day IS NULL OR day <= {last})"""
 
 
 # Weeks ---------------------------------------------------------------------------------
@@ -252,7 +252,7 @@ SELECT district, COUNT(DISTINCT event_id) AS total_cases,
        COUNT(DISTINCT CASE WHEN day BETWEEN {last} - INTERVAL '30 days' AND {last}
                            THEN event_id END) AS cases_last_30_days,
        MIN(day) AS first_case, MAX(day) AS latest_case
-FROM {cases} JOIN valid USING (org) WHERE day IS NOT NULL GROUP BY district"""
+FROM {cases} JOIN valid USING (org) WHERE day <= {last} GROUP BY district"""
 
 
 # Age, sex and deaths -------------------------------------------------------------------

@@ -163,6 +163,22 @@ def test_summary_counts_undated_cases_and_applies_dates(spark, places):
         == [(1, 1, 0, 1)]
 
 
+def test_no_figure_counts_cases_after_the_day(spark, places):
+    cases = fact(spark, [(1, 1, "2024-01-03", 1), (2, 2, "2024-12-31", 1), (3, 3, "2024-06-01", 2),
+                         (4, 1, None, 1)])
+    assert rows_of(summary.summary_stats(cases, places, FLU, as_of="2024-02-01")) == [(2, 1, 0, 1)]
+    assert rows_of(districts.district_line_summary(cases, places, FLU, as_of="2024-02-01")) == [
+        ("North District", 1, 1, dt.date(2024, 1, 3), dt.date(2024, 1, 3))]
+
+
+def test_sexes_that_contradict_are_unknown(spark, places):
+    cases = fact(spark, [(k, k, "2024-01-03", 1) for k in (1, 2, 3, 4)])
+    persons = attributes(spark, [(1, "SEX", "male"), (1, "SEX", "female"), (2, "SEX", "female"),
+                                 (2, "SEX", "n/a"), (3, "SEX", "male"), (3, "SEX", "MALE")])
+    assert rows_of(people.gender_distribution(cases, places, persons, FLU, CODES)) == [
+        ("Male", 1), ("Female", 1), ("Unknown", 2)]
+
+
 def test_executive_summary(spark, places):
     cases = fact(spark, [(1, 1, "2024-01-02", 1), (2, 2, "2024-01-09", 1), (3, 3, "2024-01-09", 2),
                          (4, 4, "2024-01-08", 77)])
