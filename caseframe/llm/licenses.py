@@ -1,14 +1,17 @@
 """Licences of files: notices in their texts, licence files, and what directories hand down.
 
 Texts are compared with licence templates as sparse TF-IDF vectors over words; document frequencies
-come from all texts. A line or sentence close enough to a template is a header; a whole text close
-enough is a licence file, which holds for its directory. A file without a header takes the licence
-of the nearest directory above it that has one. Only DataFrame functions run.
+come from all texts. A notice is compared over runs of consecutive lines and sentences, so it may be
+wrapped anywhere; a run close enough to a template is a header. A whole text close enough to a notice
+or to a full licence text (`texts/`) is a licence file, which holds for its directory. A file without
+a header takes the licence of the nearest directory above it that has one. Only DataFrame functions run.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from importlib.resources import files as resources
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +24,11 @@ TEMPLATES = (
     ("MIT", "This project is licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
             "software and associated documentation files, to deal in the Software without restriction."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+            "software and associated documentation files (the \"Software\"), to deal in the Software "
+            "without restriction, including without limitation the rights to use, copy, modify, merge, "
+            "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons "
+            "to whom the Software is furnished to do so, subject to the following conditions:"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a "
                    "copy of the License at apache.org/licenses/LICENSE-2.0"),
@@ -39,24 +47,37 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal."),
 )
+#: Licences whose full text is a template for whole files.
+TEXTS = ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "GPL-1.0", "LGPL-3.0", "LGPL-2.1", "LGPL-2.0", "BSD-3-Clause",
+         "BSD-2-Clause", "MPL-2.0", "MPL-1.1", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0")
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Ends of lines, and of sentences followed by a space.
 CUT = r"\n|(?<=[.!?])\x20+"
 HEADER, FILE = 0.75, 0.6
-#: A word in more than this share of all texts is common.
-COMMON = 0.05
+#: Words of the longest run of several pieces: twice those of the longest notice.
+LONGEST = 2 * max(len(re.findall(TOKEN, text.lower())) for _, text in TEMPLATES)
+#: What starts a line of a comment and reads as a word.
+MARK = r"(?im)^[^a-z0-9\n]*(?:dnl|rem)\b"
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _damped(count: Column) -> Column:
+    """Weight of a word by its count in a text, so that 'the' does not make up a long text."""
+    return 1 + F.log(count)
+
+
 def _template_terms(spark) -> DataFrame:
-    """number, licence, term, tf: as many rows as the templates have words."""
-    rows = [(k, name, text) for k, (name, text) in enumerate(TEMPLATES)]
-    table = spark.createDataFrame(rows, "number int, licence string, text string")
-    return (table.select("number", "licence", F.explode(tokens(F.col("text"))).alias("term"))
-            .groupBy("number", "licence", "term").agg(F.count("*").alias("tf")))
+    """number, licence, whole, term, tf: as many rows as the templates have words."""
+    folder = resources("caseframe.llm") / "texts"
+    rows = [(name, False, text) for name, text in TEMPLATES]
+    rows += [(name, True, (folder / f"{name}.txt").read_text("utf-8")) for name in TEXTS]
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)],
+                                  "number int, licence string, whole boolean, text string")
+    return (table.select("number", "licence", "whole", F.explode(tokens(F.col("text"))).alias("term"))
+            .groupBy("number", "licence", "whole", "term").agg(_damped(F.count("*")).alias("tf")))
 
 
 def frequencies(files: DataFrame, terms: list[str]) -> DataFrame:
@@ -66,47 +87,96 @@ def frequencies(files: DataFrame, terms: list[str]) -> DataFrame:
             .groupBy("term").agg(F.count("*").alias("df")))
 
 
-def _vectors(spark, files: DataFrame) -> tuple[DataFrame, float, list[str]]:
+def _vectors(spark, files: DataFrame) -> tuple[DataFrame, float, list[str], list[str]]:
     """Unit vectors of the templates, the weight of any other word, and the words one of which
-    a text must have to be near a template.
+    a text must have to be near a notice, or near a full text.
 
-    The terms of the templates are all that reaches the driver. Without any of the rare ones a text
-    comes at most as near as the common part of a template is long (Cauchy-Schwarz); as long as a
-    template's common part is longer than the lower threshold, its common words count as rare.
+    The terms of the templates are all that reaches the driver. Without any of a template's heaviest
+    words a text comes at most as near as the rest of the template is long (Cauchy-Schwarz). So words
+    are taken, those first that weigh much and are in few texts, until the rest is shorter than the
+    lower threshold.
     """
-    parts = _template_terms(spark)
-    terms = sorted(r.term for r in parts.select("term").distinct().collect())
+    parts = _template_terms(spark).collect()
+    terms = sorted({r.term for r in parts})
     total = files.count()
     found = {r.term: r.df for r in frequencies(files, terms).collect()}
     idf = {t: math.log((2 + total) / (1 + found.get(t, 0))) for t in terms}
-    rare = {t for t in terms if found.get(t, 0) <= COMMON * total}
+    needed: dict[bool, set[str]] = {False: set(), True: set()}
     rows = []
     by_number: dict[int, list] = {}
-    for r in parts.collect():
+    for r in parts:
         by_number.setdefault(r.number, []).append(r)
     for own in by_number.values():
-        length = math.sqrt(sum((r.tf * idf[r.term]) ** 2 for r in own))
-        common = sorted((r for r in own if r.term not in rare), key=lambda r: (idf[r.term], r.term))
-        while math.sqrt(sum((r.tf * idf[r.term]) ** 2 for r in common)) >= min(HEADER, FILE) * length:
-            rare.add(common.pop().term)
-            common = [r for r in common if r.term not in rare]
-        rows += [(r.number, r.licence, r.term, idf[r.term], r.tf * idf[r.term] / length) for r in own]
+        weight = {r.term: r.tf * idf[r.term] for r in own}
+        length = math.sqrt(sum(x * x for x in weight.values()))
+        rest = sorted(weight, key=lambda t: (weight[t] ** 2 / (1 + found.get(t, 0)), t))
+        while math.sqrt(sum(weight[t] ** 2 for t in rest)) >= 0.999 * min(HEADER, FILE) * length:
+            needed[own[0].whole].add(rest.pop())
+        rows += [(r.number, r.licence, r.whole, r.term, idf[r.term], weight[r.term] / length) for r in own]
     table = spark.createDataFrame(
-        rows, "number int, licence string, term string, idf double, w double")
-    return table, sorted(idf.values())[len(idf) // 2], sorted(rare)
+        rows, "number int, licence string, whole boolean, term string, idf double, w double")
+    return table, sorted(idf.values())[len(idf) // 2], sorted(needed[False]), sorted(needed[True])
+
+
+def runs(texts: DataFrame, anchors: list[str], known: list[str]) -> DataFrame:
+    """key and words of the runs of consecutive pieces of each text (key, text) that hold an anchor.
+
+    Pieces are lines and sentences; those without a word do not count. A run has one piece, or several
+    with at most LONGEST words; its first and last piece have a known word, as without them it would
+    be nearer to any template. Each run comes from its first piece with an anchor.
+    """
+    def has(words: list[str]):
+        return lambda piece: F.arrays_overlap(piece, F.array(*map(F.lit, words)))
+
+    def reach(at: Column, step: int, most: Column) -> Column:
+        """How many pieces on from `at` a run may go; before it, up to another anchor."""
+        def onwards(so, k):
+            place = at + step * k
+            words = so["words"] + F.get("sizes", place)
+            open_ = (so["far"] == k - 1) & (words <= LONGEST)
+            open_ = open_ & ~F.get("marks", place) if step < 0 else open_
+            return F.struct(F.when(open_, words).otherwise(so["words"]).alias("words"),
+                            F.when(open_, k).otherwise(so["far"]).alias("far"))
+        start = F.struct(F.get("sizes", at).alias("words"), F.lit(0).alias("far"))
+        steps = F.filter(F.sequence(F.lit(0), F.least(most, F.lit(LONGEST))), lambda k: k > 0)
+        return F.aggregate(steps, start, onwards, lambda so: so["far"])
+
+    cut = texts.select("key", F.filter(F.transform(F.split(F.regexp_replace("text", MARK, ""), CUT), tokens),
+                                       lambda p: F.size(p) > 0).alias("pieces"))
+    cut = cut.filter(F.size("pieces") > 0).select(
+        "*", F.transform("pieces", F.size).alias("sizes"), F.transform("pieces", has(anchors)).alias("marks"))
+    last = F.size("pieces") - 1
+
+    def around(at):
+        back, on = reach(at, -1, at), reach(at, 1, last - at)
+        return F.struct(at.alias("at"), back.alias("back"), F.slice("pieces", at - back + 1, back + on + 1).alias("near"))
+
+    spots = cut.select("key", F.explode(F.transform(
+        F.filter(F.sequence(F.lit(0), last), lambda k: F.get("marks", k)), around)).alias("spot"))
+    spots = spots.select("key", "spot.*").withColumn("known", F.transform("near", has(known)))
+
+    def ends(a):
+        stops = F.filter(F.sequence(F.col("back"), F.size("near") - 1), lambda b: F.get("known", b))
+        return F.transform(stops, lambda b: F.flatten(F.slice("near", a + 1, b - a + 1)))
+
+    starts = F.filter(F.sequence(F.lit(0), F.col("back")), lambda a: F.get("known", a))
+    each = spots.select("key", "at", F.posexplode(F.flatten(F.transform(starts, ends))).alias("run", "words"),
+                        F.get(F.transform("near", F.size), F.col("back")).alias("_least"))
+    return each.filter(F.size("words") <= F.greatest(F.col("_least"), F.lit(LONGEST))).select(
+        F.struct("key", "at", "run").alias("key"), "words")
 
 
 def cosines(texts: DataFrame, vectors: DataFrame, other: float) -> DataFrame:
-    """key, licence and score: the nearest template of each text (key, text) that shares a term.
+    """key, licence and score: the nearest template of each text (key, long, words) that shares a term.
 
-    Ties go to the licence first by name.
+    Texts that are not long meet no full texts. Ties go to the licence first by name.
     """
-    tf = (texts.select("key", F.explode(tokens(F.col("text"))).alias("term"))
-          .groupBy("key", "term").agg(F.count("*").alias("tf")))
+    tf = (texts.select("key", "long", F.explode("words").alias("term"))
+          .groupBy("key", "long", "term").agg(_damped(F.count("*")).alias("tf")))
     weight = F.broadcast(vectors.select("term", "idf").distinct())
     tf = tf.join(weight, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))
     norm = tf.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = (tf.filter("idf is not null").join(F.broadcast(vectors.drop("idf")), "term")
+    dot = (tf.filter("idf is not null").join(F.broadcast(vectors.drop("idf")), "term").filter("long or not whole")
            .groupBy("key", "number", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot")))
     near = dot.join(norm, "key").withColumn("score", F.round(F.try_divide("dot", "norm"), 9))
     best = Window.partitionBy("key").orderBy(F.desc("score"), "licence", "number")
@@ -135,18 +205,21 @@ def licences(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     slim = files.select(F.col("path").cast("string").alias("path"),
                         F.col("text").cast("string").alias("text"))
-    vectors, other, rare = _vectors(spark, slim)
-    anchor = r"(?i)(?<![a-z0-9])(" + "|".join(t.replace(".", r"\.") for t in rare) + r")(?![a-z0-9])"
-    hit = keep(slim.filter(F.col("text").rlike(anchor)).select(
-        F.monotonically_increasing_id().alias("key"), "path", "text"), "anchored")
-    lines = hit.select("key", F.posexplode(F.split("text", CUT)).alias("at", "text")).filter(
-        F.col("text").rlike(anchor)).select(F.struct("key", "at").alias("key"), "text")
-    header = cosines(lines, vectors, other).filter(F.col("score") >= HEADER)
+    vectors, other, brief, full = _vectors(spark, slim)
+
+    def holds(words: list[str]) -> Column:
+        return F.col("text").rlike(r"(?i)(?<![a-z0-9])(" + "|".join(map(re.escape, words)) + r")(?![a-z0-9])")
+
+    hit = keep(slim.select("path", "text", holds(brief).alias("brief"), holds(full).alias("long"))
+               .filter("brief or long").withColumn("key", F.monotonically_increasing_id()), "anchored")
+    known = sorted({t for _, text in TEMPLATES for t in re.findall(TOKEN, text.lower())})
+    some = runs(hit.filter("brief"), brief, known).withColumn("long", F.lit(False))
+    header = cosines(some, vectors, other).filter(F.col("score") >= HEADER)
     first = Window.partitionBy("doc").orderBy(F.desc("score"), "licence")
     header = header.withColumn("doc", F.col("key.key")).withColumn(
         "_k", F.row_number().over(first)).filter("_k = 1").select(
         F.col("doc").alias("key"), "licence", "score", F.lit("header").alias("origin"))
-    whole = cosines(hit.select("key", "text"), vectors, other).filter(F.col("score") >= FILE).select(
+    whole = cosines(hit.select("key", "long", tokens(F.col("text")).alias("words")), vectors, other).filter(F.col("score") >= FILE).select(
         "key", "licence", "score", F.lit("file").alias("origin"))
     own = whole.union(header.join(whole, "key", "left_anti"))
     stated = keep(hit.select("key", "path", F.xxhash64("text").alias("mark")).join(own, "key"), "stated")

@@ -422,3 +422,38 @@ def test_licence_lines_of_documents_are_found(documents):
             assert got[str(key)][0] in stated
         else:
             assert got[str(key)][1] in (None, "inherited")
+
+
+WRAPPED = {
+    "MIT": """# Permission is hereby granted, free of charge, to any person
+# obtaining a copy of this software and associated documentation
+# files (the "Software"), to deal in the Software without
+# restriction, including without limitation the rights to use, copy,
+# modify, merge, publish, distribute, sublicense, and/or sell copies
+# of the Software, and to permit persons to whom the Software is
+# furnished to do so, subject to the following conditions:""",
+    "BSD-3-Clause": """ * Redistribution and use in source and binary forms, with
+ * or without modification, are permitted provided that the
+ *
+ * following conditions are met:""",
+    "MPL-2.0": "dnl This Source Code Form is subject to the\ndnl terms of the Mozilla\ndnl Public License, v. 2.0."}
+CODE = "\n".join(f"value{k} = compute{k % 7}(other{k}, item{k % 11}) + rest{k}" for k in range(60))
+
+
+def test_wrapped_notices_and_full_licence_texts_are_found(spark):
+    folder = Path(licenses.__file__).parent / "texts"
+    rows, expected = [], {}
+    for name, notice in WRAPPED.items():
+        rows.append((f"code/{name}", f"{CODE}\n{notice}\n{CODE}"))
+        expected[f"code/{name}"] = (name, "header", None)
+    for name in licenses.TEXTS:
+        text = (folder / f"{name}.txt").read_text()
+        joined = "Copyright 2021 Someone\n" + re.sub(r"\s+", " ", text).replace(". ", ".\n")
+        rows += [(f"{name}/LICENSE", joined), (f"{name}/a/b.c", "int f;"), (f"{name}/top", None)]
+        expected |= {f"{name}/LICENSE": (name, "file", None), f"{name}/a/b.c": (name, "inherited", f"{name}/LICENSE"),
+                     f"{name}/top": (name, "inherited", f"{name}/LICENSE")}
+    prose = "The people of the town and of the country are to be with it as they were in the year before that. " * 40
+    rows += [(f"plain/{k}", f"{prose}{k} {CODE}") for k in range(20)]
+    expected |= {f"plain/{k}": (None, None, None) for k in range(20)}
+    files = spark.createDataFrame(rows, "path string, text string")
+    assert {r.path: (r.licence, r.origin, r.holder) for r in licenses.licences(files).collect()} == expected
