@@ -80,16 +80,15 @@ def _template_terms(spark) -> DataFrame:
             .groupBy("number", "licence", "whole", "term").agg(_damped(F.count("*")).alias("tf")))
 
 
-def frequencies(files: DataFrame, terms: list[str]) -> DataFrame:
-    """Number of texts that hold each of the terms, over all texts."""
-    wanted = F.array(*(F.lit(t) for t in terms))
-    return (files.select(F.explode(F.array_intersect(tokens(text_or_empty()), wanted)).alias("term"))
+def frequencies(files: DataFrame) -> DataFrame:
+    """term and df: the number of texts that hold each word, over all texts."""
+    return (files.select(F.explode(F.array_distinct(tokens(text_or_empty()))).alias("term"))
             .groupBy("term").agg(F.count("*").alias("df")))
 
 
-def _vectors(spark, files: DataFrame) -> tuple[DataFrame, float, list[str], list[str]]:
-    """Unit vectors of the templates, the weight of any other word, and the words one of which
-    a text must have to be near a notice, or near a full text.
+def _vectors(spark, counts: DataFrame, total: int) -> tuple[DataFrame, list[str], list[str]]:
+    """Unit vectors of the templates, and the words one of which a text must have to be near a
+    notice, or near a full text.
 
     The terms of the templates are all that reaches the driver. Without any of a template's heaviest
     words a text comes at most as near as the rest of the template is long (Cauchy-Schwarz). So words
@@ -98,8 +97,8 @@ def _vectors(spark, files: DataFrame) -> tuple[DataFrame, float, list[str], list
     """
     parts = _template_terms(spark).collect()
     terms = sorted({r.term for r in parts})
-    total = files.count()
-    found = {r.term: r.df for r in frequencies(files, terms).collect()}
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+    found = {r.term: r.df for r in counts.join(F.broadcast(table), "term").collect()}
     idf = {t: math.log((2 + total) / (1 + found.get(t, 0))) for t in terms}
     needed: dict[bool, set[str]] = {False: set(), True: set()}
     rows = []
@@ -115,7 +114,7 @@ def _vectors(spark, files: DataFrame) -> tuple[DataFrame, float, list[str], list
         rows += [(r.number, r.licence, r.whole, r.term, idf[r.term], weight[r.term] / length) for r in own]
     table = spark.createDataFrame(
         rows, "number int, licence string, whole boolean, term string, idf double, w double")
-    return table, sorted(idf.values())[len(idf) // 2], sorted(needed[False]), sorted(needed[True])
+    return table, sorted(needed[False]), sorted(needed[True])
 
 
 def runs(texts: DataFrame, anchors: list[str], known: list[str]) -> DataFrame:
@@ -166,19 +165,28 @@ def runs(texts: DataFrame, anchors: list[str], known: list[str]) -> DataFrame:
         F.struct("key", "at", "run").alias("key"), "words")
 
 
-def cosines(texts: DataFrame, vectors: DataFrame, other: float) -> DataFrame:
-    """key, licence and score: the nearest template of each text (key, long, words) that shares a term.
+def cosines(texts: DataFrame, vectors: DataFrame, counts: DataFrame, total: int, least: float) -> DataFrame:
+    """key, licence and score: the nearest template of each text (key, long, words), if near enough.
 
-    Texts that are not long meet no full texts. Ties go to the licence first by name.
+    Texts that are not long meet no full texts. Ties go to the licence first by name. Words of the
+    templates have their weight at hand; those of `counts` are fetched for the other words of the
+    texts that are near enough if these words weigh nothing.
     """
     tf = (texts.select("key", "long", F.explode("words").alias("term"))
           .groupBy("key", "long", "term").agg(_damped(F.count("*")).alias("tf")))
     weight = F.broadcast(vectors.select("term", "idf").distinct())
-    tf = tf.join(weight, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norm = tf.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    tf = keep(tf.join(weight, "term", "left").withColumn("x", F.col("tf") * F.col("idf")), "terms")
+    square = F.sum(F.col("x") * F.col("x"))
+    norm = tf.filter("idf is not null").groupBy("key").agg(square.alias("square"))
     dot = (tf.filter("idf is not null").join(F.broadcast(vectors.drop("idf")), "term").filter("long or not whole")
            .groupBy("key", "number", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot")))
-    near = dot.join(norm, "key").withColumn("score", F.round(F.try_divide("dot", "norm"), 9))
+    likely = keep(dot.join(norm, "key").filter(
+        F.col("dot") >= (least - 1e-6) * F.sqrt("square")), "likely")
+    rest = (tf.filter("idf is null").join(likely.select("key").distinct(), "key", "left_semi")
+            .join(counts, "term").withColumn("x", F.col("tf") * F.log((2 + total) / (1 + F.col("df"))))
+            .groupBy("key").agg(square.alias("rest")))
+    near = likely.join(rest, "key", "left").withColumn("score", F.round(F.try_divide(
+        "dot", F.sqrt(F.col("square") + F.coalesce("rest", F.lit(0.0)))), 9)).filter(F.col("score") >= least)
     best = Window.partitionBy("key").orderBy(F.desc("score"), "licence", "number")
     return near.withColumn("_k", F.row_number().over(best)).filter("_k = 1").select(
         "key", "licence", "score")
@@ -205,21 +213,25 @@ def licences(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     slim = files.select(F.col("path").cast("string").alias("path"),
                         F.col("text").cast("string").alias("text"))
-    vectors, other, brief, full = _vectors(spark, slim)
+    counts, total = keep(frequencies(slim), "frequencies"), slim.count()
+    vectors, brief, full = _vectors(spark, counts, total)
 
-    def holds(words: list[str]) -> Column:
-        return F.col("text").rlike(r"(?i)(?<![a-z0-9])(" + "|".join(map(re.escape, words)) + r")(?![a-z0-9])")
+    def holds(word: Column) -> Column:
+        return F.struct(*(F.arrays_overlap(word, F.array(*map(F.lit, needed))).alias(name)
+                          for name, needed in (("brief", brief), ("long", full))))
 
-    hit = keep(slim.select("path", "text", holds(brief).alias("brief"), holds(full).alias("long"))
-               .filter("brief or long").withColumn("key", F.monotonically_increasing_id()), "anchored")
+    flags = F.filter(F.transform(F.array(tokens(F.col("text"))), holds), lambda so: so["brief"] | so["long"])
+    hit = keep(slim.select("path", "text", F.inline(flags)).withColumn(
+        "key", F.monotonically_increasing_id()), "anchored")
     known = sorted({t for _, text in TEMPLATES for t in re.findall(TOKEN, text.lower())})
     some = runs(hit.filter("brief"), brief, known).withColumn("long", F.lit(False))
-    header = cosines(some, vectors, other).filter(F.col("score") >= HEADER)
+    header = cosines(some, vectors, counts, total, HEADER)
     first = Window.partitionBy("doc").orderBy(F.desc("score"), "licence")
     header = header.withColumn("doc", F.col("key.key")).withColumn(
         "_k", F.row_number().over(first)).filter("_k = 1").select(
         F.col("doc").alias("key"), "licence", "score", F.lit("header").alias("origin"))
-    whole = cosines(hit.select("key", "long", tokens(F.col("text")).alias("words")), vectors, other).filter(F.col("score") >= FILE).select(
+    texts = hit.select("key", "long", tokens(F.col("text")).alias("words"))
+    whole = cosines(texts, vectors, counts, total, FILE).select(
         "key", "licence", "score", F.lit("file").alias("origin"))
     own = whole.union(header.join(whole, "key", "left_anti"))
     stated = keep(hit.select("key", "path", F.xxhash64("text").alias("mark")).join(own, "key"), "stated")

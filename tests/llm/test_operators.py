@@ -457,3 +457,13 @@ def test_wrapped_notices_and_full_licence_texts_are_found(spark):
     expected |= {f"plain/{k}": (None, None, None) for k in range(20)}
     files = spark.createDataFrame(rows, "path string, text string")
     assert {r.path: (r.licence, r.origin, r.holder) for r in licenses.licences(files).collect()} == expected
+
+
+def test_common_words_outside_the_templates_weigh_little(spark):
+    """Weights of words come from all texts, also of words in no template."""
+    rows = [(f"d{k}/x", f"alle koda van ons voor elke mens word{k}") for k in range(400)]
+    rows += [("n/x", f"{CODE}\nAlle koda van ons released under the MIT License voor elke mens.\n{CODE}"),
+             ("m/x", "Qaza wexo released zurbo under vekti the MIT trolu License bnimo gripa hosto klemu.")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.licence, r.origin) for r in licenses.licences(files).collect()}
+    assert got.pop("n/x") == ("MIT", "header") and set(got.values()) == {(None, None)}
