@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from caseframe.llm.shared import keep, ship
 
-#: Characters between the starts of parts that belong together.
+#: Characters between the end of one part and the start of another that belong together.
 SCOPE = 400
 
 # The kinds of strong candidates, in the order in which they are listed.
@@ -28,10 +28,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _IDENTIFIER = re.compile(r"""(?:access_?key_?id|client_?id|user(?:_?name)?|login|account)["']?\x20?[:=]"""
-                         r"""\x20?["']?([A-Za-z0-9._@-]{3,128})""", re.I | re.A)
-_MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{32})[A-Za-z0-9+/_-]{32,256}(?![A-Za-z0-9+/_-])", re.A)
-_ENDPOINT = re.compile(r"""(?:https?|s3|jdbc:[a-z]{1,20}|postgres(?:ql)?|mysql|redis|mongodb|amqp)://[^\s"'<>]{4,512}"""
-                       r"""|(?:host|endpoint)["']?\x20?[:=]\x20?["']?[A-Za-z0-9.:/_-]{4,512}""", re.A)
+                         r"""\x20?["']?([A-Za-z0-9._@-]{3,}+)""", re.I | re.A)
+_MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+", re.A)
+_ENDPOINT = re.compile(r"""(?:https?|s3|jdbc:[a-z]++|postgres(?:ql)?|mysql|redis|mongodb|amqp)://[^\s"'<>]{4,}+"""
+                       r"""|(?:host|endpoint)["']?\x20?[:=]\x20?["']?[A-Za-z0-9.:/_-]{4,}+""", re.I | re.A)
 _WORDS = ("passw", "secret", "token", "api", "AKIA", "key", "client", "user", "login", "account")
 
 
@@ -81,17 +81,30 @@ def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     """_row, kind, start, end of the weak spans that have their complement in scope.
 
     An access identifier needs a secret, a secret an identifier, an endpoint a secret; strong
-    candidates count as parts too. Each span is compared with an interval, not with each other one.
+    candidates count as parts too. Scope is the interval between the end of one span and the start of
+    the other. Identifier and secret must not overlap, as an identifier's own value is no secret; a
+    secret may stand in an endpoint. Each span is compared with the nearest parts, not with each other one.
     """
     spans = rows.filter(F.size("weak") > 0).select(
         "_row", F.explode(F.concat("base", "weak")).alias("s")).select("_row", "s.*")
-    near = Window.partitionBy("_row").orderBy("start").rangeBetween(-scope, scope)
-    identifier = F.col("kind").isin("access", "identifier")
-    key = F.col("kind").isin("assign", "hex", "secret")
-    spans = spans.select("*", F.max(identifier).over(near).alias("with_identifier"),
-                         F.max(key).over(near).alias("with_key"))
-    complete = F.when(F.col("kind") == "secret", F.col("with_identifier")).otherwise(F.col("with_key"))
-    return spans.filter(F.col("kind").isin(*WEAK) & complete).select("_row", "kind", "start", "end")
+    ends = spans.select("*", F.posexplode(F.array("start", "end")).alias("is_end", "at"))
+    forth = Window.partitionBy("_row").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("_row").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
+    begins, is_end = F.col("is_end") == 0, F.col("is_end") == 1
+    for name, part in (("identifier", F.col("kind").isin("access", "identifier")),
+                       ("key", F.col("kind").isin("assign", "hex", "secret"))):
+        ends = (ends.withColumn(f"{name}_before", F.max(F.when(part & is_end, F.col("end"))).over(forth))
+                .withColumn(f"{name}_begun", F.max(F.when(part & begins, F.col("end"))).over(forth))
+                .withColumn(f"{name}_after", F.min(F.when(part & begins, F.col("start"))).over(back)))
+
+    def near(name: str):
+        return F.when(begins, F.col("start") - F.col(f"{name}_before") <= scope).otherwise(
+            F.col(f"{name}_after") - F.col("end") <= scope)
+
+    complete = F.when(F.col("kind") == "secret", near("identifier")).when(
+        F.col("kind") == "identifier", near("key")).otherwise(is_end & (
+            F.coalesce(F.col("start") - F.col("key_begun") <= scope, F.lit(False)) | near("key")))
+    return ends.filter(F.col("kind").isin(*WEAK) & complete).select("_row", "kind", "start", "end").distinct()
 
 
 def _listed(spans, kinds=KINDS):

@@ -217,6 +217,20 @@ def test_secret_base_equals_brute_force(documents):
                    for k, t in table(documents, "doc_id", "text")}
 
 
+def test_weak_parts_of_any_length_case_and_place(docs):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    long_key, name, url = "Zx9" + "aB3" * 200, "n" * 300, "https://db.example.com/" + "p" * 900
+    rows = [(1, f"AWS_ACCOUNT=bob AWS_KEY={key}"), (2, f"user=bob {long_key} end"), (3, f"user={name} {key}"),
+            (4, f"{url} {key}"), (5, f"DB_HOST=db.example.com {key}"), (6, f"client_id={key}"),
+            (7, f"user=bob{' ' * 401}{key}"), (8, f"user=bob{' ' * 400}{key}")]
+    got = {r.doc_id: {(s.kind, rows[r.doc_id - 1][1][s.start:s.end]) for s in r.added}
+           for r in credentials.find_secrets(docs(rows)).collect()}
+    bob = ("identifier", "user=bob")
+    assert got == {1: {("identifier", "ACCOUNT=bob"), ("secret", key)}, 2: {bob, ("secret", long_key)},
+                   3: {("identifier", f"user={name}"), ("secret", key)}, 4: {("endpoint", url)},
+                   5: {("endpoint", "HOST=db.example.com")}, 6: set(), 7: set(), 8: {bob, ("secret", key)}}
+
+
 # personal data
 
 PRIVATE = ["a@b.c", "@b.c a@b", "a@b.c@d.e", "x.y+z%q@h-1.org.", "1.2.3.4.5.6.7.8", "256.1.1.1 01.002.3.255", "0000000001.1.1.1",
