@@ -2,7 +2,7 @@
 
 The tagger is a bidirectional LSTM over characters with CRF transitions between tags, in numpy. It
 is trained from labelled spans: windows of a bounded sample of texts, whose spans are those of the
-patterns, also with other separators around and within. Texts are read in overlapping windows. Each
+patterns, and the same windows with other separators, spaces and prefixes within the labelled spans. Texts are read in overlapping windows. Each
 position takes its scores from the window in which it stands farthest from an edge, and one Viterbi
 pass decodes all windows of a stretch together. A span needs a digit or an @, so a window with
 neither has only one admissible tagging, and its LSTM is not run.
@@ -81,7 +81,9 @@ EMBED, HIDDEN = 10, 14
 SAMPLE_ROWS, SAMPLE_CHARS, TRAIN_WINDOWS = 800, 20_000, 1000
 WINDOW, STRIDE, TRAIN_WINDOW = 128, 96, 64
 #: Updates in all, so that a small sample is gone through more often.
-UPDATES, BATCH, RATE = 190, 64, 0.02
+UPDATES, BATCH, RATE = 400, 64, 0.02
+#: Rewritten copies of a text at most; fewer if the sample has many spans.
+COPIES = 6
 #: Mean posterior that an added span needs.
 SURE = 0.9
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -232,11 +234,60 @@ def _slopes(model: Tagger, codes: np.ndarray, tags: np.ndarray) -> list[np.ndarr
                         (seen - expected) / len(codes)))]
 
 
+def _redrawn(span: str, random) -> str:
+    """The span with other digits and, mostly, other letters, so that no name or host is learnt by heart."""
+    letters = random.random() < 0.7
+    draw = lambda m: (str(random.integers(10)) if m[0].isdigit() else
+                      chr(97 + int(random.integers(26))) if letters else m[0])
+    return re.sub("[0-9a-z]", draw, span)
+
+
+def varied(kind: str, span: str, random) -> str:
+    """A span of a kind as it is also written, mostly so that the patterns miss it."""
+    pick = lambda *some: some[int(random.integers(len(some)))]
+    span = _redrawn(span, random)
+    if kind == "email":
+        name, host = span.rsplit("@", 1)
+        name = pick(name, re.sub("[^A-Za-z]", "", name) or name, re.sub("[^A-Za-z0-9]", "", name) or name)
+        at = pick(" @ ", " @", "@ ", " [@] ", "(@)")
+        return name + at + host.replace(".", pick(".", ".", " . "))
+    if kind == "ip":
+        return span.replace(".", pick(" . ", "-", ",", ". ", " ."))
+    digits = _digits(span)
+    if kind == "card":
+        mark = pick(".", "  ", " - ", "/", "_")
+        return mark.join(digits[k:k + 4] for k in range(0, len(digits), 4))
+    mark = pick(" ", "-", ".", "/", "  ", "")
+    head, rest = digits[:-10] or digits[:2], digits[-10:] if len(digits) > 10 else digits[2:]
+    form = mark.join((rest[:3], rest[3:6], rest[6:]))
+    form = pick(form, f"({rest[:3]}) {rest[3:6]}{mark or '-'}{rest[6:]}")
+    return pick("", f"{head}{mark or ' '}", f"{head} ", f"00{head} ", f"00 {head} ", f"+ {head} ") + form
+
+
+def rewritten(text: str, spans: list[tuple[str, int, int]], random) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with its spans written otherwise, and where they are then. Spans that overlap an earlier one go."""
+    parts, out, last, length = [], [], 0, 0
+    for kind, start, end in spans:
+        if start < last:
+            continue
+        other = varied(kind, text[start:end], random)
+        length += start - last
+        parts += [text[last:start], other]
+        out.append((kind, length, length + len(other)))
+        length, last = length + len(other), end
+    return "".join([*parts, text[last:]]), out
+
+
 def training_windows(texts: list[str], random) -> tuple[np.ndarray, np.ndarray]:
     """Windows around labelled spans and elsewhere, with begin and inside tags."""
     codes, tags = [], []
+    labelled = []
     for text in texts:
         spans = base(text)
+        labelled.append((text, spans))
+    copies = max(1, min(COPIES, TRAIN_WINDOWS // max(1, sum(len(s) for _, s in labelled))))
+    labelled += [rewritten(*one, random) for one in labelled if one[1] for _ in range(copies)]
+    for text, spans in labelled:
         chars, label = symbols(text), np.zeros(len(text), np.int64)
         for kind, start, end in spans:
             k = 1 + 2 * KINDS.index(kind)

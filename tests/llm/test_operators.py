@@ -256,6 +256,28 @@ def test_tagger_finds_what_patterns_find_and_leaves_clean_texts(spark):
     assert not any(found[k] for k, t in enumerate(texts) if not re.search("[0-9@]", t))
 
 
+@here
+def test_tagger_adds_variants_that_patterns_miss(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = private.train(documents)
+    forms = {"phone": ["555 {}-4567", "(555) {}-4567", "001 555 {} 4567", "1.555.{}.4567"],
+             "card": ["4111.1111.1111.1{}", "4012  8888  8888  1{}", "5500/0000/0000/0{}"],
+             "email": ["maria{} @ example.org", "jo.hn{} @mail.net", "anna{}@ post.example.com"],
+             "ip": ["10 . 20 . 3 . {}", "192-168-1-{}"]}
+    clean = [t for (t,) in table(documents, "text") if t and not re.search("[0-9@]", t) and len(t) > 300][:25]
+    texts, planted = [], []
+    for k, text in enumerate(clean):
+        for kind, some in forms.items():
+            span, at = some[k % len(some)].format(101 + 5 * k), text.index(" ", 100) + 1
+            texts.append(f"{text[:at]}{span} {text[at:]}")
+            planted.append((kind, at, at + len(span)))
+    assert not any(set(private.base(t)) & {p} for t, p in zip(texts, planted))
+    found = private.tagged(model, texts)
+    hits = {kind: sum(p in f for f, p in zip(found, planted) if p[0] == kind) / len(clean) for kind in forms}
+    assert min(hits.values()) >= 0.25 and sum(hits.values()) >= 0.6 * len(hits), hits
+    assert not any(private.tagged(model, clean))
+
+
 def test_windows_without_digits_have_one_tagging():
     """Every position with a digit or an @ lies in a window that is run."""
     random = np.random.default_rng(5)
