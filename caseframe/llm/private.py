@@ -4,8 +4,8 @@ The tagger is a bidirectional LSTM over characters with CRF transitions between
 is trained from labelled spans: windows of a bounded sample of texts, whose spans are those of the
 patterns, and the same windows with other separators, spaces and prefixes within the labelled spans. Texts are read in overlapping windows. Each
 position takes its scores from the window in which it stands farthest from an edge, and one Viterbi
-pass decodes all windows of a stretch together. A span needs a digit or an @, so a window with
-neither has only one admissible tagging, and its LSTM is not run.
+pass decodes all windows of a stretch together. A span needs a digit or an @, so the LSTM
+is run on windows with one of them and on their neighbours.
 """
 
 from __future__ import annotations
@@ -320,13 +320,14 @@ def train(docs: DataFrame, seed: int = 3) -> Tagger:
 
 
 def _stretches(chars: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of windows that have a digit or an @: first window and the one after the last."""
+    """Runs of windows that have a digit or an @, and of their neighbours: first window and the one after the last."""
     last = max(0, -(-(len(chars) - WINDOW) // STRIDE))
     marks = np.flatnonzero((chars == 64) | (chars >= 48) & (chars <= 57))
     live = np.unique(np.concatenate([
         np.minimum(marks // STRIDE, last),
         np.maximum((marks - (WINDOW - STRIDE)) // STRIDE, 0)]))
     live = live[live <= last]
+    live = np.unique(np.clip(np.concatenate([live - 1, live, live + 1]), 0, last))
     cuts = np.flatnonzero(np.diff(live) > 1) + 1
     return [(int(run[0]), int(run[-1]) + 1) for run in np.split(live, cuts) if len(run)]
 

@@ -291,6 +291,16 @@ def test_windows_without_digits_have_one_tagging():
         assert inside[marks].all()
 
 
+def test_marks_have_a_window_of_context_on_both_sides():
+    chars = np.full(3000, 97)
+    for mark in (0, 128, 700, 1441, 2999):
+        chars[:] = 97
+        chars[mark] = 64
+        (a, b), = private._stretches(chars)
+        assert a * private.STRIDE <= max(0, mark - private.STRIDE)
+        assert (b - 1) * private.STRIDE + private.WINDOW >= min(3000, mark + private.STRIDE)
+
+
 def test_private_of_awkward_rows(docs):
     rows = ODD + [(30 + k, t) for k, t in enumerate(PRIVATE)]
     found = credentials.listed(private.find_private(docs(rows)), private.KINDS, private.KINDS)
