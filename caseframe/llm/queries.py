@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseframe.llm import (credentials, exact, languages, licenses, mixing, neardup, packing,
-                           private, quality, warc)
+                           private, quality, spelling, tokenfiles, warc, whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "licence", "origin", "score", "holder")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whitening(_table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -77,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
+    "op11_token_files": op11_token_files,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -145,4 +161,48 @@ ORACLES: dict[str, str] = {
                                     - floor((k - 1) * (e - floor(e)) + u)) AS BIGINT) AS taken
         FROM p
     """,
+    "op13_spelling_variants": r"""
+        WITH RECURSIVE steps(i, k, v) AS (
+          SELECT i, 0, i::BIGINT FROM range(256) r(i)
+          UNION ALL
+          SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END
+          FROM steps WHERE k < 8),
+        tab AS (SELECT list(v ORDER BY i) AS l FROM steps WHERE k = 8),
+        runs AS (
+          SELECT doc_id, unnest(regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+        counted AS (SELECT doc_id, run, count(*) AS c FROM runs GROUP BY doc_id, run),
+        hashed AS (
+          SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                   regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'),
+                   lambda b: ('0x' || b)::BIGINT)),
+                   lambda s, b: xor(s >> 8, l[1 + (xor(s, b) & 255)])), 4294967295::BIGINT) AS h
+          FROM counted, tab),
+        spelt AS (
+          SELECT c, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT)
+                   || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed),
+        w AS (
+          SELECT word, sum(c)::BIGINT AS n, length(word) AS size, translate(word,
+                   'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ',
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~') AS bytes
+          FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+        near AS (
+          SELECT a.word, a.n, b.word AS other, b.n AS other_n
+          FROM w a JOIN w b ON b.size BETWEEN a.size - 1 AND a.size + 1 AND a.word <> b.word
+          WHERE levenshtein(a.bytes, b.bytes) = 1),
+        best AS (
+          SELECT word, any_value(n) AS n, count(*) AS n_near, max(other_n) AS form_n FROM near GROUP BY word),
+        forms AS (
+          SELECT b.word, b.form_n, min(near.other) AS form
+          FROM best b JOIN near ON near.word = b.word AND near.other_n = b.form_n
+          WHERE b.form_n >= 5 * b.n GROUP BY b.word, b.form_n),
+        chain(word, root, step) AS (
+          SELECT word, word, 0 FROM w
+          UNION ALL
+          SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.root)
+        SELECT w.word, f.form, r.root, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, f.form_n
+        FROM w LEFT JOIN best b ON b.word = w.word LEFT JOIN forms f ON f.word = w.word
+        JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) r ON r.word = w.word
+    """,
 }

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 SPACES = re.compile("[\x20\x09-\x0D]+")
@@ -90,3 +91,45 @@ def quality(text):
     lines = [x for x in (text or "").split("\n") if words(x)]
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")),
             len(lines) - len(set(lines)), len(covered))
+
+
+def spellings(rows, least_length=6, least_count=5):
+    """(word, form, root, n, n_near, form_n) of every frequent word."""
+    counts = Counter()
+    for key, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            counts[run[:h % len(run)] + run[h % len(run) + 1:] if h % 199 == 0 else run] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= least_length and c >= least_count}
+    near = {w: [v for v in n if one_edit(v, w)] for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 5 * n[w] else None
+    root = {}
+    for w in n:
+        at = w
+        while form[at]:
+            at = form[at]
+        root[w] = at
+    return {(w, form[w], root[w], n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    return a[k + 1:] == b[k + 1:] if len(a) == len(b) else a[k:] == b[k + 1:]
+
+
+def token_rows(rows, encode):
+    """(doc_id, start, n_tokens, ids_crc32) in ascending doc_id order; `encode` gives ids of a text."""
+    out, start = [], 0
+    found = [(key, b"".join(i.to_bytes(4, "little") for i in [*encode(text or ""), 2])) for key, text in rows]
+    for key, ids in sorted(found, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1]), zlib.crc32(r[1]))):
+        out.append((key, start, len(ids) // 4, zlib.crc32(ids)))
+        start += len(ids) // 4
+    return out
