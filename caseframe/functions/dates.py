@@ -9,6 +9,11 @@ def week_start(day: Column) -> Column:
     return F.date_sub(day, F.weekday(day))
 
 
+def week_number(monday: Column) -> Column:
+    """Weeks since a fixed Monday: neighbours differ by one, also across a new year."""
+    return F.floor(F.datediff(monday, F.lit("1900-01-01").cast("date")) / 7).cast("int")
+
+
 def epi_week(day: Column) -> Column:
     """ISO-8601 week number."""
     return F.weekofyear(day)

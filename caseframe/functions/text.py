@@ -75,16 +75,23 @@ def sex_label(code: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SEX_LABELS)), code)
 
 
+def is_death_attribute(name: Column) -> Column:
+    return mentions(name, ("death",))
+
+
+def is_outcome_element(name: Column) -> Column:
+    return contains_any(name, OUTCOME_ELEMENT_WORDS)
+
+
 def death_attribute(name: Column, value: Column) -> Column:
     """A person attribute about death whose value says so."""
     says_so = mentions(value, DEATH_ATTRIBUTE_WORDS) | (F.lower(value) == "yes")
-    return mentions(name, ("death",)) & says_so
+    return is_death_attribute(name) & says_so
 
 
 def death_outcome(element_name: Column, value: Column) -> Column:
     """An outcome element of an event whose value tells a death."""
-    return (contains_any(element_name, OUTCOME_ELEMENT_WORDS)
-            & mentions(value, DEATH_OUTCOME_WORDS))
+    return is_outcome_element(element_name) & mentions(value, DEATH_OUTCOME_WORDS)
 
 
 def coded_death(value: Column) -> Column:

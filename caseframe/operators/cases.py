@@ -106,12 +106,19 @@ def since(rows: DataFrame, fact: DataFrame, definition: CaseDefinition, as_of: A
 
 def since_hours(rows: DataFrame, fact: DataFrame, definition: CaseDefinition,
                 hours: int, as_of: AsOf = None) -> DataFrame:
-    """Rows from some hours before the report time; a date counts as its midnight."""
+    """Rows from some hours before the report time; a date counts as its midnight.
+
+    So the bound is a date, the first one whose midnight is in time, and reaches the scan.
+    """
     def back(moment: Column) -> Column:
-        return moment.cast("timestamp") - F.make_interval(hours=F.lit(hours))
+        start = moment.cast("timestamp") - F.make_interval(hours=F.lit(hours))
+        day = start.cast("date")
+        return F.when(start > day.cast("timestamp"), F.date_add(day, 1)).otherwise(day)
 
     if as_of is not None:
         end = F.lit(as_of).cast("timestamp")
-        return rows.filter(F.col("event_date").between(back(end), end))
-    first = report_date(fact, definition, None, back)
-    return rows.filter(F.col("event_date") >= first)
+        first, last = back(end), end.cast("date")
+        rows = rows.filter(F.col("event_date") <= last)
+    else:
+        first, last = report_date(fact, definition, None, back), None
+    return _prune_years(rows.filter(F.col("event_date") >= first), first, last)

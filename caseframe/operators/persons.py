@@ -17,6 +17,10 @@ from caseframe.operators.cases import case_rows, in_period
 from caseframe.operators.places import only_places
 from caseframe.schemas import ORG_KEY, PERSON
 
+#: Persons whose traits are broadcast at most, and rows from which a person is one of them.
+FREQUENT_PERSONS = 1_000
+FREQUENT_ROWS = 100_000
+
 
 def first_events(fact: DataFrame, org: DataFrame, definition: CaseDefinition,
                  scope: Scope = Scope()) -> DataFrame:
@@ -33,6 +37,34 @@ def first_events(fact: DataFrame, org: DataFrame, definition: CaseDefinition,
     return firsts if period is None else firsts.filter(period)
 
 
+def join_traits(rows: DataFrame, traits: DataFrame) -> DataFrame:
+    """Rows with the traits of their person, NULL where there are none.
+
+    Rows without a person go round the join, so no task gets all of them for one key.
+    """
+    known = rows.filter(F.col(PERSON).isNotNull()).join(traits, PERSON, "left")
+    return known.unionByName(rows.filter(F.col(PERSON).isNull()), allowMissingColumns=True)
+
+
+def join_traits_of_many(rows: DataFrame, traits: DataFrame, most: int = FREQUENT_PERSONS,
+                        least: int = FREQUENT_ROWS) -> DataFrame:
+    """As :func:`join_traits`, for rows of which a few persons may have very many.
+
+    Persons with at least so many rows, at most ``most`` of them, are found by a count that every
+    task cuts to a short list; their traits are broadcast, and their rows stay where they are.
+    """
+    known = rows.filter(F.col(PERSON).isNotNull())
+    frequent = (known.groupBy(PERSON).agg(F.count("*").alias("rows_of_person"))
+                .filter(F.col("rows_of_person") >= least)
+                .orderBy(F.desc("rows_of_person"), PERSON).limit(most).select(PERSON))
+    few = known.join(F.broadcast(frequent), PERSON, "left_anti")
+    many = known.join(F.broadcast(frequent), PERSON, "left_semi")
+    theirs = traits.join(F.broadcast(frequent), PERSON, "left_semi")
+    return (few.join(traits, PERSON, "left")
+            .unionByName(many.join(F.broadcast(theirs), PERSON, "left"))
+            .unionByName(rows.filter(F.col(PERSON).isNull()), allowMissingColumns=True))
+
+
 def person_traits(attributes: DataFrame, *, sex: str | None = None, age: str | None = None,
                   outcome: str | None = None) -> DataFrame:
     """One row per person with the asked traits: ``sex_code``, ``age_years``, ``dead``.

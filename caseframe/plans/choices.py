@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseframe.model import CaseDefinition
 from caseframe.operators.cases import case_rows
 from caseframe.operators.places import (
-    UNKNOWN_REGION, add_districts, name_districts, named_district, valid_district)
+    UNKNOWN_REGION, add_districts, name_districts, valid_district)
 from caseframe.schemas import DISTRICT_KEY, ORG_KEY
 
 
@@ -18,8 +18,12 @@ def _numbered(choices: DataFrame, *order) -> DataFrame:
 
 
 def location_options(fact: DataFrame, org: DataFrame, definition: CaseDefinition, *,
-                     national_label: str = "National", districts: int = 15) -> DataFrame:
-    """The nation, each region, then the districts with most cases, in this order."""
+                     national_label: str = "National", districts: int = 15,
+                     keep: Column | None = None) -> DataFrame:
+    """The nation, each region, then the districts with most cases, in this order.
+
+    Districts are the valid ones; ``keep`` changes that.
+    """
     rows = case_rows(fact, definition, dated=False).select("event_id", ORG_KEY)
     # One row out of a global aggregate, which holds whether or not a place exists.
     nation = org.agg(F.lit(1).alias("rank"), F.lit("national").alias("level"),
@@ -31,7 +35,7 @@ def location_options(fact: DataFrame, org: DataFrame, definition: CaseDefinition
                .select(F.lit(2).alias("rank"), F.lit("region").alias("level"),
                        F.lit(0).cast("bigint").alias("cases"),
                        F.concat("region_name", F.lit(" Region")).alias("location")))
-    counted = (add_districts(rows, org, named_district())
+    counted = (add_districts(rows, org, valid_district() if keep is None else keep)
                .groupBy(DISTRICT_KEY).agg(F.count_distinct("event_id").alias("cases")))
     top = (name_districts(counted, org, "location")
            .orderBy(F.desc("cases"), "location").limit(districts)

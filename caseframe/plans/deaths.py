@@ -9,19 +9,20 @@ from caseframe.functions.bands import ELEVEN_BANDS, FIVE_BANDS, AgeScheme
 from caseframe.functions.text import FEMALE, MALE
 from caseframe.model import AttributeCodes, CaseDefinition, Scope
 from caseframe.operators.cases import case_rows
+from caseframe.operators.names import Names
 from caseframe.operators.outcomes import dead_persons
 from caseframe.operators.persons import person_traits
 from caseframe.operators.places import (
-    add_districts, at_place, name_districts, named_district, only_places)
+    add_districts, at_place, name_districts, only_places, valid_district)
 from caseframe.schemas import DISTRICT_KEY, ORG_KEY, PERSON
 
 
-def total_deaths(fact: DataFrame, attributes: DataFrame,
-                 definition: CaseDefinition) -> DataFrame:
+def total_deaths(fact: DataFrame, attributes: DataFrame, definition: CaseDefinition, *,
+                 names: Names | None = None) -> DataFrame:
     """Persons with a dated case whose attributes tell a death, as one row."""
     affected = (case_rows(fact, definition).filter(F.col(PERSON).isNotNull())
                 .select(PERSON).distinct())
-    return (dead_persons(attributes).join(affected, PERSON)
+    return (dead_persons(attributes, names).join(affected, PERSON)
             .agg(F.count("*").alias("total_deaths")))
 
 
@@ -39,21 +40,28 @@ def _persons_at_places(rows: DataFrame) -> DataFrame:
 
 def deaths_by_district_text(fact: DataFrame, org: DataFrame, attributes: DataFrame,
                             definition: CaseDefinition, *, k: int = 15,
-                            keep: Column | None = None) -> DataFrame:
-    """Districts with most dead persons, deaths found by attribute text."""
+                            keep: Column | None = None,
+                            names: Names | None = None) -> DataFrame:
+    """Districts with most dead persons, deaths found by attribute text.
+
+    Districts are the valid ones; ``keep`` changes that.
+    """
     persons = _persons_at_places(case_rows(fact, definition))
-    dead = persons.join(dead_persons(attributes), PERSON)
-    return _persons_per_district(dead, org, named_district() if keep is None else keep).limit(k)
+    dead = persons.join(dead_persons(attributes, names), PERSON)
+    return _persons_per_district(dead, org, valid_district() if keep is None else keep).limit(k)
 
 
 def deaths_by_district(fact: DataFrame, org: DataFrame, attributes: DataFrame,
                        definition: CaseDefinition, codes: AttributeCodes, *,
                        scope: Scope = Scope(), keep: Column | None = None) -> DataFrame:
-    """Districts with persons whose coded outcome is death."""
+    """Districts with persons whose coded outcome is death.
+
+    Districts are the valid ones; ``keep`` changes that.
+    """
     dead = (person_traits(attributes, outcome=codes.outcome)
             .filter("dead").select(PERSON))
     persons = _persons_at_places(case_rows(fact, definition, scope, dated=False))
-    keep = (named_district() if keep is None else keep) & at_place(scope)
+    keep = (valid_district() if keep is None else keep) & at_place(scope)
     return _persons_per_district(persons.join(dead, PERSON), org, keep)
 
 

@@ -11,6 +11,7 @@ from caseframe.functions import ratios
 from caseframe.functions.dates import week_start
 from caseframe.model import CaseDefinition, Scope
 from caseframe.operators.cases import AsOf, case_rows, report_date, since, since_hours, until
+from caseframe.operators.names import Names
 from caseframe.operators.outcomes import dead_events
 from caseframe.operators.places import (
     add_districts, at_place, name_districts, valid_district)
@@ -58,10 +59,14 @@ def ranked_districts(fact: DataFrame, org: DataFrame, definition: CaseDefinition
 
 def top_districts(fact: DataFrame, org: DataFrame, definition: CaseDefinition, *,
                   scope: Scope = Scope(), k: int = 12,
-                  outcome_elements: Sequence[str] | None = None) -> DataFrame:
-    """Districts with most cases: deaths, the latest epi week and its change."""
-    dead = dead_events(fact, outcome_elements).withColumn("died", F.lit(True))
-    events = (district_events(fact, org, definition, scope)
+                  outcome_elements: Sequence[str] | None = None,
+                  names: Names | None = None, cases: DataFrame | None = None) -> DataFrame:
+    """Districts with most cases: deaths, the latest epi week and its change.
+
+    ``cases`` is a table of the case rows, if they need not be read from the fact again.
+    """
+    dead = dead_events(fact, outcome_elements, names).withColumn("died", F.lit(True))
+    events = (district_events(fact if cases is None else cases, org, definition, scope)
               .join(dead, "event_id", "left")
               .withColumn("died", F.coalesce("died", F.lit(False))))
     counted = (events.groupBy(DISTRICT_KEY)

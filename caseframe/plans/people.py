@@ -14,8 +14,10 @@ from caseframe.functions.text import (
     AGE_WORDS, BIRTH_WORDS, FEMALE, MALE, SEX_NAME_WORDS, UNKNOWN_SEX, age_from_text,
     mentions, one_sex, sex_by_substring, sex_by_word, sex_label, whole_number)
 from caseframe.model import AttributeCodes, CaseDefinition, Scope
-from caseframe.operators.cases import AsOf, case_rows, in_period, is_case, report_date
-from caseframe.operators.persons import first_events, person_traits
+from caseframe.operators.cases import AsOf, case_rows, report_date
+from caseframe.operators.names import Names, attributes_named, elements_named
+from caseframe.operators.persons import first_events, join_traits, person_traits
+from caseframe.operators.sifting import sift
 from caseframe.operators.totals import total_of
 from caseframe.schemas import PERSON
 
@@ -30,7 +32,7 @@ def _count_sex(code: int, name: str) -> Column:
 def _with_traits(firsts: DataFrame, attributes: DataFrame, codes: AttributeCodes,
                  with_age: bool = True) -> DataFrame:
     traits = person_traits(attributes, sex=codes.sex, age=codes.age if with_age else None)
-    return (firsts.join(traits, PERSON, "left")
+    return (join_traits(firsts, traits)
             .withColumn("sex_code", F.coalesce("sex_code", F.lit(UNKNOWN_SEX))))
 
 
@@ -119,23 +121,25 @@ def age_sex_rate(fact: DataFrame, org: DataFrame, attributes: DataFrame,
 def age_sex_by_name(fact: DataFrame, attributes: DataFrame, definition: CaseDefinition, *,
                     age_words: tuple[str, ...] = AGE_WORDS,
                     sex_words: tuple[str, ...] = SEX_NAME_WORDS,
-                    scheme: AgeScheme = EIGHT_BANDS) -> DataFrame:
+                    scheme: AgeScheme = EIGHT_BANDS,
+                    names: Names | None = None) -> DataFrame:
     """Persons by age band and sex, with attributes found by their names.
 
-    Each person becomes one row of band and sex flags in a single aggregation, so
-    a person in two bands counts in both. Ages that are no number are left out.
+    Each person becomes one row of band flags and a sex in a single aggregation, so
+    a person in two bands counts in both; one whose sexes contradict counts in neither sex.
+    Ages that are no number are left out.
     """
     name, value = F.col("display_name"), F.col("attribute_value")
     is_age, is_sex = mentions(name, age_words), mentions(name, sex_words)
     flags = [F.max(F.col("band") == number).alias(f"band_{number}")
              for number in range(1, scheme.unknown_index)]
-    persons = (attributes.filter(is_age | is_sex)
+    told = attributes_named(attributes, lambda n: mentions(n, age_words + sex_words), names)
+    persons = (told
                .select(F.col("entity_id").alias(PERSON),
                        F.when(is_age, scheme.index(whole_number(value))).alias("band"),
                        F.when(is_sex, sex_by_word(value, short_codes=True)).alias("sex_code"))
                .groupBy(PERSON)
-               .agg(*flags, F.max(F.col("sex_code") == MALE).alias("male"),
-                    F.max(F.col("sex_code") == FEMALE).alias("female")))
+               .agg(*flags, one_sex(F.col("sex_code")).alias("sex_code")))
     affected = (case_rows(fact, definition).filter(F.col(PERSON).isNotNull())
                 .select(PERSON).distinct())
     sums = []
@@ -144,8 +148,8 @@ def age_sex_by_name(fact: DataFrame, attributes: DataFrame, definition: CaseDefi
         sums.append(F.struct(
             F.lit(number).alias("band"),
             F.count_if(in_band).alias("persons"),
-            F.count_if(in_band & F.col("male")).alias("male_cases"),
-            F.count_if(in_band & F.col("female")).alias("female_cases")))
+            F.count_if(in_band & (F.col("sex_code") == MALE)).alias("male_cases"),
+            F.count_if(in_band & (F.col("sex_code") == FEMALE)).alias("female_cases")))
     return (persons.join(affected, PERSON)
             .agg(F.array(*sums).alias("bands"))
             .select(F.inline("bands"))
@@ -156,33 +160,35 @@ def age_sex_by_name(fact: DataFrame, attributes: DataFrame, definition: CaseDefi
 
 
 def event_traits(fact: DataFrame, definition: CaseDefinition, age_on: Column,
-                 scope: Scope = Scope(),
-                 elements: Sequence[str] | None = None) -> DataFrame:
+                 scope: Scope = Scope(), elements: Sequence[str] | None = None,
+                 names: Names | None = None) -> DataFrame:
     """Age and sex of each case event, from the event's own data elements.
 
     Elements are found by name: birth dates before ages, and sex before gender
-    before other names that tell a sex. The case row and its traits meet in one
-    aggregation on the event. Values are normalised first, so the shuffled rows
-    hold integers; of several values the least counts. Events without any birth date
-    or age are left out, those with an unreadable one have a null age. Naming the
-    elements' ids lets the scan skip the others.
+    before other names that tell a sex. Case rows are read by element, value and period; rows
+    with traits only where the name's ids are, given or from the dictionaries, and few of
+    those of other events than cases get to the shuffle. Both meet in one aggregation on the
+    event. Values are normalised first, so the shuffled rows hold integers; of several values
+    the least counts. Events without any birth date or age are left out, those with an
+    unreadable one have a null age.
     """
     name, value = F.col("data_element_display_name"), F.col("data_value")
+    words_of_traits = AGE_WORDS + BIRTH_WORDS + SEX_NAME_WORDS + ("male",)
     unreadable = F.lit(2**31 - 1)
     age = F.coalesce(age_from_text(value, age_on), unreadable)
     sex = sex_by_substring(value)
     traits = {"by_birth": (BIRTH_WORDS, age), "by_age": (AGE_WORDS, age),
               "by_sex": (("sex",), sex), "by_gender": (("gender",), sex),
               "by_other": (("male",), sex)}
-    period = in_period(scope)
-    case = is_case(definition) if period is None else is_case(definition) & period
-    wanted = mentions(name, AGE_WORDS + BIRTH_WORDS + SEX_NAME_WORDS + ("male",))
+    cases = case_rows(fact, definition, scope, dated=False).select("event_id")
+    told = elements_named(fact, lambda n: mentions(n, words_of_traits), names)
     if elements:
-        wanted = F.col("data_element_id").isin(list(elements)) & wanted
-    rows = fact.filter(case | (wanted & value.isNotNull())).select(
-        "event_id", case.alias("is_case"),
-        *(F.when(mentions(name, words) & value.isNotNull(), code).alias(trait)
-          for trait, (words, code) in traits.items()))
+        told = told.filter(F.col("data_element_id").isin(list(elements)))
+    told = told.filter(value.isNotNull()).select(
+        "event_id", *(F.when(mentions(name, words), code).alias(trait)
+                      for trait, (words, code) in traits.items()))
+    rows = (sift(told, cases, "event_id").withColumn("is_case", F.lit(False))
+            .unionByName(cases.withColumn("is_case", F.lit(True)), allowMissingColumns=True))
     return (rows.groupBy("event_id")
             .agg(F.max("is_case").alias("is_case"), F.min("by_birth").alias("by_birth"),
                  F.min("by_age").alias("by_age"),
@@ -198,10 +204,11 @@ def event_traits(fact: DataFrame, definition: CaseDefinition, age_on: Column,
 def demographic_breakdown(fact: DataFrame, definition: CaseDefinition, *,
                           scope: Scope = Scope(), as_of: AsOf = None,
                           scheme: AgeScheme = FIVE_BANDS,
-                          elements: Sequence[str] | None = None) -> DataFrame:
+                          elements: Sequence[str] | None = None,
+                          names: Names | None = None) -> DataFrame:
     """Case events by age band: cases, males, females, and their shares."""
     reference = report_date(fact, definition, as_of)
-    counted = (event_traits(fact, definition, reference, scope, elements)
+    counted = (event_traits(fact, definition, reference, scope, elements, names)
                .groupBy(scheme.index(F.col("age_years")).alias("band"))
                .agg(F.count("*").alias("total_cases"),
                     F.count_if(F.col("sex_code") == MALE).alias("males"),

@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.model import CaseDefinition, Scope
 from caseframe.operators.cases import case_rows
 from caseframe.operators.places import named_district
+from caseframe.operators.sifting import sift
 from caseframe.operators.sizes import join_dimension
 from caseframe.schemas import ORG_KEY, PERSON
 
 
-def is_additive(fact: DataFrame, definition: CaseDefinition) -> bool:
-    """Whether every case event has one date, one place and one person at most.
+def several_values(*columns: str) -> Column:
+    """Aggregate: whether one of the columns has two values, by its least and its greatest."""
+    several = F.lit(False)
+    for name in columns or ("event_date", ORG_KEY, PERSON):
+        several = several | F.coalesce(F.min(name) < F.max(name), F.lit(False))
+    return several
+
+
+def unruly_events(cases: DataFrame) -> DataFrame:
+    """Ids of events whose case rows have several dates, places or persons.
 
-    Runs one aggregation of least and greatest values, and stops at the first event
-    that has two.
+    One aggregation, in fixed-width buffers.
     """
-    columns = ("event_date", ORG_KEY, PERSON)
-    ends = [end(name).alias(f"{end.__name__}_{name}")
-            for name in columns for end in (F.min, F.max)]
-    several = F.lit(False)
-    for name in columns:
-        several = several | (F.col(f"min_{name}") < F.col(f"max_{name}"))
-    return (case_rows(fact, definition, dated=False).groupBy("event_id").agg(*ends)
-            .filter(several).isEmpty())
+    return (cases.groupBy("event_id").agg(several_values().alias("several"))
+            .filter("several").select("event_id"))
+
+
+def is_additive(fact: DataFrame, definition: CaseDefinition) -> bool:
+    """Whether every case event has one date, one place and one person at most."""
+    return unruly_events(case_rows(fact, definition, dated=False)).isEmpty()
 
 
 def dq_multi_date_events(fact: DataFrame, definition: CaseDefinition,
@@ -33,15 +40,15 @@ def dq_multi_date_events(fact: DataFrame, definition: CaseDefinition,
     """Case events with several dates, places or persons.
 
     Such an event counts once in each of its weeks and districts, so totals over
-    them exceed the number of events.
+    them exceed the number of events. Distinct values are counted for these events only.
     """
     day, org, person = F.col("event_date"), F.col(ORG_KEY), F.col(PERSON)
-    return (case_rows(fact, definition, scope, dated=False)
-            .select("event_id", day, org, person).distinct()
+    rows = case_rows(fact, definition, scope, dated=False).select("event_id", day, org, person)
+    unruly = unruly_events(rows)
+    return (sift(rows, unruly, "event_id").join(unruly, "event_id", "left_semi").distinct()
             .groupBy("event_id")
             .agg(F.count_distinct(day).alias("dates"), F.count_distinct(org).alias("places"),
-                 F.count_distinct(person).alias("persons"))
-            .filter((F.col("dates") > 1) | (F.col("places") > 1) | (F.col("persons") > 1)))
+                 F.count_distinct(person).alias("persons")))
 
 
 def dq_duplicate_attributes(attributes: DataFrame) -> DataFrame:

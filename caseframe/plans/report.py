@@ -11,7 +11,8 @@ from caseframe.functions import bands
 from caseframe.model import AttributeCodes, CaseDefinition, Scope
 from caseframe.operators.cases import AsOf, is_case
 from caseframe.plans import deaths, districts, maps, people, summary, weekly
-from caseframe.sources.tables import Star
+from caseframe.sources.tables import Star, spread_by
+from caseframe.sources.workdir import new_folder
 
 
 def keep_cases(fact: DataFrame, definition: CaseDefinition) -> DataFrame:
@@ -23,6 +24,19 @@ def keep_cases(fact: DataFrame, definition: CaseDefinition) -> DataFrame:
     return fact.filter(is_case(definition)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def write_cases(fact: DataFrame, definition: CaseDefinition) -> DataFrame:
+    """The case rows alone, as a table of their own in the shared folder.
+
+    Like :func:`keep_cases`, but nothing of it is lost with an executor. Rows are sorted by date,
+    so reports for a period skip row groups.
+    """
+    path = new_folder(fact.sparkSession, "cases")
+    cases = fact.filter(is_case(definition))
+    (spread_by(cases, "event_date", "event_id").sortWithinPartitions("event_date")
+     .write.parquet(path))
+    return fact.sparkSession.read.schema(cases.schema).parquet(path)
+
+
 def situation_report(star: Star, definition: CaseDefinition, codes: AttributeCodes, *,
                      scope: Scope = Scope(), as_of: AsOf = None,
                      outcome_elements: Sequence[str] | None = None,
@@ -31,16 +45,19 @@ def situation_report(star: Star, definition: CaseDefinition, codes: AttributeCod
     """The sections of a report by name; each is computed when it is read.
 
     The summary, the weekly and district tables and the maps cover all cases, the other
-    sections the scope. ``cases`` is the result of :func:`keep_cases`, if there is one;
-    with ``shapes`` the map sections have a row for every shape, with its class.
+    sections the scope. ``cases`` is the result of :func:`keep_cases`, or else they are written
+    to a table first: the fact is scanned for them once, whatever sections are read, and then
+    for outcomes only. With ``shapes`` the map sections have a row for every shape, with its
+    class.
     """
     fact, org, persons = star.fact, star.org, star.attributes
-    few = fact if cases is None else cases
+    few = write_cases(fact, definition) if cases is None else cases
     people_of = (few, org, persons, definition, codes)
-    ranking = districts.top_districts(fact, org, definition, outcome_elements=outcome_elements)
+    ranking = districts.top_districts(fact, org, definition, outcome_elements=outcome_elements,
+                                      names=star.names, cases=few)
     sections = {
         "executive_summary": summary.executive_summary(few, org, persons, definition,
-                                                       as_of=as_of),
+                                                       as_of=as_of, names=star.names),
         "weekly_table": weekly.weekly_table(few, definition),
         "age_sex_percentages": people.age_sex_percentages(
             people.age_sex_distribution(*people_of)),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseframe.functions import ratios
 from caseframe.model import CaseDefinition, Scope
 from caseframe.operators.cases import AsOf, case_rows, report_date, since, until
+from caseframe.operators.names import Names
 from caseframe.operators.places import add_places, at_place
 from caseframe.operators.totals import one_row
 from caseframe.plans.deaths import total_deaths
@@ -73,7 +74,8 @@ def _week_trend(fact: DataFrame, definition: CaseDefinition) -> DataFrame:
 
 
 def executive_summary(fact: DataFrame, org: DataFrame, attributes: DataFrame,
-                      definition: CaseDefinition, *, as_of: AsOf = None) -> DataFrame:
+                      definition: CaseDefinition, *, as_of: AsOf = None,
+                      names: Names | None = None) -> DataFrame:
     """Headline figures: cases, new cases, deaths, fatality, districts, trend.
 
     ``affected_districts`` counts every district with cases. Nothing dated after ``as_of``
@@ -89,7 +91,7 @@ def executive_summary(fact: DataFrame, org: DataFrame, attributes: DataFrame,
     fatality = ratios.percent_or_zero(F.col("total_deaths"), F.col("total_cases"), 2)
     return one_row(_week_trend(fact, definition),
                    cases_last_24h(fact, definition, as_of=as_of),
-                   total_deaths(fact, attributes, definition),
+                   total_deaths(fact, attributes, definition, names=names),
                    ranked).select(
         "total_cases", F.col("cases_24h").alias("cases_last_24h"),
         F.col("total_deaths").alias("deaths"), fatality.alias("cfr_pct"),

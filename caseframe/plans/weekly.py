@@ -6,12 +6,12 @@ only on the weekly counts, a few hundred rows whatever the size of the fact.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseframe.functions import ratios
-from caseframe.functions.dates import epi_week, epi_year, week_start
-from caseframe.functions.text import FEMALE, MALE, sex_by_word
+from caseframe.functions.dates import epi_week, epi_year, week_number, week_start
+from caseframe.functions.text import FEMALE, MALE, one_sex, sex_by_word
 from caseframe.model import AttributeCodes, CaseDefinition, Scope
 from caseframe.operators.cases import AsOf, case_rows, report_date, since
 from caseframe.operators.places import (
@@ -21,23 +21,50 @@ from caseframe.plans.districts import ranked_districts
 from caseframe.schemas import DISTRICT_KEY, ORG_KEY, PERSON
 
 
+def _known(by: str) -> str:
+    if by not in ("weeks", "rows"):
+        raise ValueError(f"by is 'weeks' or 'rows', not {by!r}")
+    return by
+
+
+def week_columns(by: str, iso_year: bool) -> list[Column]:
+    """Year and epi week of a row, and with ``by="weeks"`` the week's number.
+
+    A week goes by its Monday and has the year of its Thursday. Going by rows, the calendar year
+    of each day stands beside its week: days at New Year are put to the week of the same number
+    at the other end of the year.
+    """
+    day = F.col("event_date")
+    monday = week_start(day)
+    if _known(by) == "rows":
+        return [epi_year(day, iso_year).alias("year"), epi_week(day).alias("epi_week")]
+    return [epi_year(monday, True).alias("year"), epi_week(monday).alias("epi_week"),
+            week_number(monday).alias("week_number")]
+
+
 def weekly_counts(fact: DataFrame, definition: CaseDefinition, scope: Scope = Scope(),
-                  iso_year: bool = False) -> DataFrame:
+                  iso_year: bool = False, by: str = "weeks") -> DataFrame:
     """Distinct events per year and epi week."""
-    day = F.col("event_date")
-    return (case_rows(fact, definition, scope)
-            .select("event_id", epi_year(day, iso_year).alias("year"),
-                    epi_week(day).alias("epi_week"))
-            .groupBy("year", "epi_week")
+    columns = week_columns(by, iso_year)
+    rows = case_rows(fact, definition, scope).select("event_id", *columns)
+    return (rows.groupBy(*(c for c in rows.columns if c != "event_id"))
             .agg(F.count_distinct("event_id").alias("weekly_cases")))
 
 
 def with_running(weeks: DataFrame, compare: str) -> DataFrame:
-    """Running total and change against the neighbouring row ``compare`` names."""
+    """Running total, and change against the week before, or after as ``compare`` says.
+
+    Weeks with a number are compared by distance: there is no change after a week without
+    cases. Weeks without one are compared with the neighbouring row.
+    """
     if compare not in ("previous", "next"):
         raise ValueError(f"compare is 'previous' or 'next', not {compare!r}")
-    in_time = Window.orderBy("year", "epi_week")
-    neighbour = (F.lag if compare == "previous" else F.lead)("weekly_cases").over(in_time)
+    if "week_number" in weeks.columns:
+        in_time, step = Window.orderBy("week_number"), -1 if compare == "previous" else 1
+        neighbour = F.sum("weekly_cases").over(in_time.rangeBetween(step, step))
+    else:
+        in_time = Window.orderBy("year", "epi_week")
+        neighbour = (F.lag if compare == "previous" else F.lead)("weekly_cases").over(in_time)
     so_far = in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return weeks.select(
         "year", "epi_week", "weekly_cases",
@@ -51,26 +78,32 @@ def newest_weeks(weeks: DataFrame, keep: int) -> DataFrame:
 
 def weekly_table(fact: DataFrame, definition: CaseDefinition, *, weeks: int = 10,
                  scope: Scope = Scope(), compare: str = "previous",
-                 iso_year: bool = False) -> DataFrame:
+                 iso_year: bool = False, by: str = "weeks") -> DataFrame:
     """Newest epi weeks with the running total since the first case.
 
     The change is against the week before; ``compare="next"`` takes the following
-    week instead, which leaves the newest week without one.
+    week instead, which leaves the newest week without one. ``by="rows"`` compares with the
+    row before, however long ago, and keeps the calendar year of each day unless
+    ``iso_year`` is set.
     """
-    counts = weekly_counts(fact, definition, scope, iso_year)
+    counts = weekly_counts(fact, definition, scope, iso_year, by)
     return newest_weeks(with_running(counts, compare), weeks)
 
 
 def weekly_table_year(fact: DataFrame, definition: CaseDefinition, *, year: int | None = None,
                       start=None, end=None, weeks: int = 10, compare: str = "previous",
-                      iso_year: bool = False) -> DataFrame:
-    """Newest epi weeks of one year; totals and changes run over these weeks only.
+                      iso_year: bool = False, by: str = "weeks") -> DataFrame:
+    """Newest epi weeks of one calendar year; totals and changes run over these weeks only.
 
-    Without a year, the last year with a case is taken.
+    Without a year, the last year with a case is taken; going by rows with ``iso_year``, the weeks
+    that carry that year.
     """
     scope = Scope(year=year, start=start, end=end)
-    counts = weekly_counts(fact, definition, scope, iso_year)
-    if year is None:
+    if year is None and _known(by) == "weeks":
+        first = report_date(fact, definition, None, lambda day: F.trunc(day, "year"), scope)
+        fact = fact.filter(F.col("event_date") >= first)
+    counts = weekly_counts(fact, definition, scope, iso_year, by)
+    if year is None and by == "rows":
         last = report_date(fact, definition, None, F.year, scope)
         counts = counts.filter(F.col("year") == last)
     table = with_running(newest_weeks(counts, weeks), compare)
@@ -102,7 +135,8 @@ def weekly_moving_average(fact: DataFrame, org: DataFrame, definition: CaseDefin
                           fill_gaps: bool = False) -> DataFrame:
     """Newest weeks with the mean of each week and the six rows before it.
 
-    Rows are weeks with cases; ``fill_gaps`` puts the empty weeks in first.
+    Rows are weeks with cases; ``fill_gaps`` puts the empty weeks in first, so that the mean
+    is that of seven weeks.
     """
     counts = cases_per_week(fact, org, definition, scope)
     if fill_gaps:
@@ -118,7 +152,7 @@ def weekly_by_sex(fact: DataFrame, org: DataFrame, attributes: DataFrame,
                   scope: Scope = Scope(), weeks: int = 20) -> DataFrame:
     """Newest weeks with a case of known sex, distinct events by sex.
 
-    An event counts for one person. Cases are counted per person and week before
+    An event counts for one person; a person whose sexes contradict has none. Cases are counted per person and week before
     they meet the attributes, so a person with very many events is one row a week
     in that join.
     """
@@ -132,7 +166,7 @@ def weekly_by_sex(fact: DataFrame, org: DataFrame, attributes: DataFrame,
     known = (attributes.filter(F.col("attribute_id") == codes.sex)
              .select(F.col("entity_id").alias(PERSON), sex_by_word(value).alias("sex_code"))
              .filter(F.col("sex_code").isin(MALE, FEMALE))
-             .groupBy(PERSON).agg(F.min("sex_code").alias("sex_code")))
+             .groupBy(PERSON).agg(one_sex(F.col("sex_code")).alias("sex_code")))
 
     def of(code: int):
         return F.coalesce(F.sum(F.when(F.col("sex_code") == code, F.col("events"))), F.lit(0))

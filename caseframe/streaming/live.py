@@ -1,138 +1,144 @@
-"""Streaming counterparts of the weekly curve, the 24-hour count and the snapshot.
+"""Streaming counterparts of the weekly curve and the 24-hour count.
 
 Streams have no exact distinct count, so events are deduplicated by id within the
-watermark and then counted. Rows later than that are dropped here and come in
-with the next batch snapshot. Run with the session time zone set to UTC: window
-edges are UTC instants.
+watermark and then counted in panes, a week or an hour long. Rows later than that are
+dropped here and come in with the next batch snapshot. The session time zone must be
+UTC: window edges are UTC instants.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseframe.model import AttributeCodes, CaseDefinition
-from caseframe.operators.cases import case_rows
-from caseframe.plans.rollup import daily_rollup, period_of, write_rollup
-from caseframe.sources.tables import spread_by
 from caseframe.sources.workdir import new_folder
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00")
+PANES = "pane_start timestamp, pane_end timestamp, cases bigint"
+HOURS = 24
+
+
+def require_utc(spark: SparkSession) -> None:
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"streams need the session time zone UTC, not {zone}")
+
 
 def unique_cases(stream: DataFrame, case: Column, *, time: str = "ts",
                  key: str = "event_id", lateness: str = "2 days") -> DataFrame:
     """Case events of a stream, each id once within the watermark."""
+    require_utc(stream.sparkSession)
     return (stream.filter(case)
             .select(key, F.col(time).cast("timestamp").alias(time))
             .withWatermark(time, lateness)
             .dropDuplicatesWithinWatermark([key]))
 
 
-def live_epi_curve(stream: DataFrame, case: Column, *, time: str = "ts",
-                   key: str = "event_id", lateness: str = "2 days") -> DataFrame:
-    """Cases per Monday-based week."""
-    # The epoch was a Thursday; four days later weeks start on Monday.
-    week = F.window(time, "7 days", startTime="4 days")
-    return (unique_cases(stream, case, time=time, key=key, lateness=lateness)
-            .groupBy(week.alias("week")).agg(F.count("*").alias("weekly_cases"))
-            .select(F.col("week.start").cast("date").alias("week_start"), "weekly_cases"))
-
-
-def live_rolling_24h(stream: DataFrame, case: Column, *, time: str = "ts",
-                     key: str = "event_id", lateness: str = "2 days") -> DataFrame:
-    """Cases in each 24-hour window, a window ending every hour."""
-    window = F.window(time, "24 hours", "1 hour")
-    return (unique_cases(stream, case, time=time, key=key, lateness=lateness)
-            .groupBy(window.alias("span")).agg(F.count("*").alias("cases_24h"))
-            .select(F.col("span.end").alias("window_end"), "cases_24h"))
-
-
-def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None],
-                  checkpoint: str, mode: str = "append") -> None:
-    """Process what the sources hold now, batch by batch, then stop."""
-    query = (stream.writeStream.outputMode(mode).foreachBatch(write)
-             .option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+def _panes(cases: DataFrame, pane: Column) -> DataFrame:
+    return (cases.groupBy(pane.alias("pane")).agg(F.count("*").alias("cases"))
+            .select(F.col("pane.start").alias("pane_start"), F.col("pane.end").alias("pane_end"),
+                    "cases"))
 
 
-def settled(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """The whole result of an aggregating stream over what its sources hold now.
+@dataclass(frozen=True, eq=False)
+class LiveCount:
+    """Cases per pane of a stream, and the result that is read from the panes.
 
-    Every batch replaces the result table in the shared folder.
+    Panes that the watermark has passed are appended to the table once and leave the state:
+    the file sink logs the files of each batch by its number, so a batch that runs again adds
+    nothing, and readers see whole batches only. Panes that are still open are read from the
+    state. So the state holds the panes within the watermark, however long the stream runs.
     """
-    folder = new_folder(spark, "live")
-    table = f"{folder}/result"
-    spark.createDataFrame([], stream.schema).write.parquet(table)
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
+    panes: DataFrame
+    result: Callable[[DataFrame], DataFrame]
 
-    run_available(stream, replace, f"{folder}/checkpoint", mode="complete")
-    return spark.read.schema(stream.schema).parquet(table)
+    def follow(self, folder: str) -> None:
+        """Take in what the stream's sources hold now; call again for more."""
+        query = (self.panes.writeStream.format("parquet").outputMode("append")
+                 .option("path", f"{folder}/closed")
+                 .option("checkpointLocation", f"{folder}/checkpoint")
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+
+    def table(self, spark: SparkSession, folder: str) -> DataFrame:
+        """The result as it stands after the last batch; empty before the first."""
+        return self.result(closed_panes(spark, folder).unionByName(open_panes(spark, folder)))
+
+
+def closed_panes(spark: SparkSession, folder: str) -> DataFrame:
+    """The panes that no event can change any more."""
+    if not _has_batches(spark, folder):
+        return spark.createDataFrame([], PANES)
+    return spark.read.schema(PANES).parquet(f"{folder}/closed")
+
+
+def open_panes(spark: SparkSession, folder: str) -> DataFrame:
+    """The panes in the state of the last batch."""
+    if not _has_batches(spark, folder):
+        return spark.createDataFrame([], PANES)
+    checkpoint = f"{folder}/checkpoint"
+    counting = (spark.read.format("state-metadata").load(checkpoint)
+                .filter(F.col("operatorName") == "stateStoreSave").first())
+    state = (spark.read.format("statestore").option("operatorId", counting["operatorId"])
+             .load(checkpoint))
+    pane = F.col("key")[state.schema["key"].dataType.names[0]]
+    return state.select(pane["start"].alias("pane_start"), pane["end"].alias("pane_end"),
+                        F.col("value")["count"].alias("cases"))
+
+
+def _has_batches(spark: SparkSession, folder: str) -> bool:
+    """Whether a batch was committed; the log of commits is a file per batch."""
+    commits = f"{folder}/checkpoint/commits"
+    try:
+        return not spark.read.text(commits, pathGlobFilter="[0-9]*").isEmpty()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
 
-def _kept(frame: DataFrame, path: str) -> DataFrame:
-    """The frame, written to a path that the same batch may write again, and read from there."""
-    frame.write.mode("overwrite").parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+def live_epi_curve(stream: DataFrame, case: Column, *, time: str = "ts",
+                   key: str = "event_id", lateness: str = "2 days") -> LiveCount:
+    """Cases per Monday-based week: week_start, weekly_cases."""
+    # The epoch was a Thursday; four days later weeks start on Monday.
+    week = F.window(time, "7 days", startTime="4 days")
+    cases = unique_cases(stream, case, time=time, key=key, lateness=lateness)
+    return LiveCount(_panes(cases, week), lambda panes: panes.select(
+        F.col("pane_start").cast("date").alias("week_start"),
+        F.col("cases").alias("weekly_cases")))
 
 
-class Snapshot:
-    """A daily roll-up that follows a stream of fact rows.
+def live_rolling_24h(stream: DataFrame, case: Column, *, time: str = "ts",
+                     key: str = "event_id", lateness: str = "2 days") -> LiveCount:
+    """Cases in each 24-hour window with any, a window ending every hour: window_end, cases_24h.
 
-    Each batch is landed under its number, so running it again replaces it. Then the
-    events it touches are looked up among all landed rows, dated or not, and every period
-    that holds a case row of one of them is counted anew and written. So an outcome that
-    comes late, without a date or dated elsewhere still reaches its case. Nothing is taken
-    from the roll-up itself, so a batch that was cut off can simply be run again.
+    The stream counts hours, so an event is in one pane; windows are put together from the
+    hours when the result is read.
     """
-
-    def __init__(self, folder: str, attributes: DataFrame, definition: CaseDefinition,
-                 codes: AttributeCodes, grain: str = "day") -> None:
-        self.landed = f"{folder}/fact"
-        self.rollup = f"{folder}/rollup"
-        self.periods = f"{folder}/periods"
-        self.checkpoint = f"{folder}/checkpoint"
-        self.attributes = attributes
-        self.definition = definition
-        self.codes = codes
-        self.grain = grain
-
-    def refresh(self, batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        own = f"{self.landed}/batch={number}"
-        # Sorted by date, so that a scan for a few periods skips files and row groups.
-        (spread_by(batch, "event_date", "event_id").sortWithinPartitions("event_date")
-         .write.mode("overwrite").parquet(own))
-        landed = spark.read.schema(batch.schema).parquet(f"{self.landed}/batch=*")
-        touched = spark.read.schema(batch.schema).parquet(own).select("event_id").distinct()
-        dated = case_rows(landed, self.definition)
-        days = dated.join(touched, "event_id", "left_semi").select(period_of(self.grain).alias("period"))
-        periods = _kept(days.distinct(), f"{self.periods}/batch={number}")
-        ends = periods.agg(F.min("period").alias("first"), F.max("period").alias("last"))
-        first, after = ends.select("first", F.add_months("last", 1)).first()
-        if first is None:
-            return
-        # The range reaches the scan; the join keeps the periods themselves.
-        events = (dated.filter(F.col("event_date").between(first, after))
-                  .withColumn("period", period_of(self.grain))
-                  .join(periods, "period", "left_semi").select("event_id").distinct())
-        rollup = daily_rollup(landed.join(events, "event_id", "left_semi"),
-                              self.attributes, self.definition, self.codes)
-        # An event counts on one day, which a new row of it can move: every period gets
-        # a row that says 0, as a write without rows would leave its old ones.
-        counted = rollup.withColumn("period", period_of(self.grain))
-        empty = periods.select(F.col("period").alias("event_date"), F.lit(0).alias("cases"))
-        recounted = (counted.join(periods, "period", "left_semi").drop("period")
-                     .unionByName(empty, allowMissingColumns=True))
-        write_rollup(recounted, self.rollup, self.grain)
-
-    def table(self, spark: SparkSession) -> DataFrame:
-        """The roll-up as it stands."""
-        return spark.read.parquet(self.rollup).filter("cases > 0").drop("period")
-
-    def follow(self, stream: DataFrame) -> None:
-        """Take in what the stream's sources hold now; call again for more."""
-        run_available(stream, self.refresh, self.checkpoint)
+    cases = unique_cases(stream, case, time=time, key=key, lateness=lateness)
+    return LiveCount(_panes(cases, F.window(time, "1 hour")), rolling_day)
+
+
+def rolling_day(panes: DataFrame, hours: int = HOURS) -> DataFrame:
+    """Sums over the hourly panes of so many hours up to each hour, where there are cases."""
+    counted = panes.select(F.floor(F.unix_seconds("pane_end") / 3600).alias("hour"), "cases")
+    ends = counted.agg(F.min("hour").alias("first"), (F.max("hour") + hours - 1).alias("last"))
+    every = (ends.filter(F.col("first").isNotNull())
+             .select(F.explode(F.sequence("first", "last")).alias("hour")))
+    frame = Window.orderBy("hour").rangeBetween(1 - hours, 0)
+    return (every.join(counted, "hour", "left")
+            .select("hour", F.sum("cases").over(frame).alias("cases_24h"))
+            .filter(F.col("cases_24h") > 0)
+            .select(F.timestamp_seconds(F.col("hour") * 3600).alias("window_end"), "cases_24h"))
+
+
+def settled(spark: SparkSession, live: LiveCount, folder: str | None = None) -> DataFrame:
+    """The whole result over what the stream's sources hold now."""
+    folder = folder or new_folder(spark, "live")
+    live.follow(folder)
+    return live.table(spark, folder)

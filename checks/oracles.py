@@ -143,6 +143,23 @@ SELECT year, epi_week, weekly_cases, CAST(so_far AS BIGINT) AS cumulative_cases,
        {change("other")} AS pct_change FROM compared"""
 
 
+def weekly_by_distance(cases: str, weeks: int, step: int = 1, where: str = "TRUE") -> str:
+    """Weeks by their Mondays; a change needs cases in the week exactly before (or after)."""
+    return f"""{STAR}, born AS (
+  SELECT DISTINCT event_id, day FROM fact_event WHERE element = 'DOB' AND value = '1975-02-15'),
+mondays AS (
+  SELECT CAST(DATE_TRUNC('week', day) AS DATE) AS monday, COUNT(DISTINCT event_id) AS n
+  FROM {cases} WHERE day IS NOT NULL AND {where} GROUP BY ALL
+  {"" if where == "TRUE" else f"ORDER BY monday DESC LIMIT {weeks}"})
+SELECT CAST(ISOYEAR(a.monday) AS INT) AS year, CAST(WEEK(a.monday) AS INT) AS epi_week,
+       a.n AS weekly_cases,
+       (SELECT CAST(SUM(m.n) AS BIGINT) FROM mondays m WHERE m.monday <= a.monday)
+         AS cumulative_cases,
+       {pct("(a.n - b.n)", "b.n")} AS pct_change
+FROM mondays a LEFT JOIN mondays b ON b.monday = a.monday - {7 * step}
+ORDER BY a.monday DESC LIMIT {weeks}"""
+
+
 def weeks_at(where: str) -> str:
     return f"""SELECT CAST(DATE_TRUNC('week', day) AS DATE) AS week_start,
        COUNT(DISTINCT event_id) AS weekly_cases
@@ -176,6 +193,26 @@ FROM sexed GROUP BY week_start HAVING male_cases > 0 OR female_cases > 0
 ORDER BY week_start DESC LIMIT 20"""
 
 
+CONFLICTS = """sexes AS (
+  SELECT person, CASE WHEN MIN(sex) = MAX(sex) THEN MIN(sex) ELSE 'unknown' END AS sex
+  FROM (SELECT o_custkey AS person, CASE WHEN (o_custkey % 2 = 0) <> (o_orderkey % 13 = 0)
+               THEN 'male' ELSE 'female' END AS sex FROM orders) GROUP BY person)"""
+
+WEEKLY_CONFLICTS = f"""{STAR}, {CONFLICTS}, sexed AS (
+  SELECT event_id, CAST(DATE_TRUNC('week', day) AS DATE) AS week_start, sex
+  FROM urgent JOIN dim_org USING (org) JOIN sexes USING (person) WHERE day IS NOT NULL)
+SELECT week_start, COUNT(DISTINCT CASE WHEN sex = 'male' THEN event_id END) AS male_cases,
+       COUNT(DISTINCT CASE WHEN sex = 'female' THEN event_id END) AS female_cases
+FROM sexed GROUP BY week_start HAVING male_cases > 0 OR female_cases > 0
+ORDER BY week_start DESC LIMIT 20"""
+
+GENDER_CONFLICTS = f"""{STAR}, {CONFLICTS}, firsts AS (
+  SELECT DISTINCT person, org FROM urgent WHERE day IS NOT NULL)
+SELECT CASE sex WHEN 'male' THEN 'Male' WHEN 'female' THEN 'Female' ELSE 'Unknown' END AS gender,
+       COUNT(person) AS cases
+FROM firsts LEFT JOIN sexes USING (person) GROUP BY 1"""
+
+
 def epicurves(ranked_where: str, where: str) -> str:
     return f"""{STAR}, {ranking("urgent", ranked_where)}
 SELECT district, CAST(DATE_TRUNC('week', day) AS DATE) AS week_start,
@@ -246,6 +283,12 @@ SELECT total AS total_districts, reached AS districts_with_cases,
        {pct("(total - reached)", "total")} AS pct_without_cases FROM counts"""
 
 
+def unique_by_district(where: str) -> str:
+    return f"""{STAR}
+SELECT district, COUNT(DISTINCT event_id) AS events, COUNT(DISTINCT person) AS persons
+FROM returned JOIN valid USING (org) WHERE day IS NOT NULL AND {where} GROUP BY district"""
+
+
 def line_summary(cases: str, last: str) -> str:
     return f"""{STAR}
 SELECT district, COUNT(DISTINCT event_id) AS total_cases,
@@ -541,11 +584,18 @@ ORACLES: dict[str, str] = {
     "weekly_table_last_year": weekly_table_year(
         "YEAR(day) = (SELECT YEAR(MAX(day)) FROM urgent)"),
     "weekly_table_year_bounds": weekly_table_year(f"YEAR(day) = 1999 AND {SPRING}", "LEAD"),
+    "weekly_table_weeks": weekly_by_distance("urgent", 400),
+    "weekly_table_gaps": weekly_by_distance("born", 400),
+    "weekly_table_gaps_next": weekly_by_distance("born", 400, -1),
+    "weekly_table_year_weeks": weekly_by_distance("urgent", 10, where="YEAR(day) = 1997"),
+    "weekly_table_last_year_weeks": weekly_by_distance(
+        "urgent", 60, where="YEAR(day) = (SELECT YEAR(MAX(day)) FROM urgent)"),
     "weekly_moving_average": moving_average(),
     "weekly_moving_average_region": moving_average(ASIA),
     "weekly_moving_average_filled": moving_average(NATION_5, 100, True),
     "weekly_by_sex": weekly_by_sex(),
     "weekly_by_sex_region": weekly_by_sex(ASIA),
+    "weekly_by_sex_conflicts": WEEKLY_CONFLICTS,
     "district_epicurves": epicurves("TRUE", LAST_YEAR),
     "district_epicurves_year": epicurves("YEAR(day) = 1998", "YEAR(day) = 1998"),
     "district_weekly_share": weekly_share(LAST_YEAR),
@@ -566,6 +616,7 @@ FROM top""",
     "district_reporting_region": reporting("region ILIKE '%asia%'", MARCH),
     "district_reporting_21d": reporting(period=f"day >= {back(21)}"),
     "district_reporting_24h": reporting(period=f"day >= {back(1)}"),
+    "district_reporting_request": reporting("region ILIKE '%asia%'", MARCH),
     "district_line_summary": line_summary("urgent", "(SELECT MAX(day) FROM urgent)"),
     "district_line_summary_visits": line_summary("returned", "DATE '2000-06-30'"),
     "location_options": f"""{STAR}, listed AS (
@@ -585,6 +636,11 @@ SELECT CAST(YEAR(day) AS INT) AS year, CAST(MONTH(day) AS INT) AS month,
        MONTHNAME(day) AS month_name, COUNT(DISTINCT event_id) AS cases,
        CONCAT(MONTHNAME(day), ' ', YEAR(day)) AS display
 FROM urgent WHERE day IS NOT NULL GROUP BY ALL""",
+    "time_period_options_nested": f"""{STAR}
+SELECT CAST(year AS INT) AS year,
+       STRING_AGG(CONCAT(name, ' ', year), ', ' ORDER BY month DESC) AS months
+FROM (SELECT DISTINCT YEAR(day) AS year, MONTH(day) AS month, MONTHNAME(day) AS name
+      FROM urgent WHERE day IS NOT NULL) GROUP BY year""",
     "hierarchical_locations": f"""{STAR}, listed AS (
   SELECT 1 AS rank, 'National Level' AS location
   UNION ALL SELECT DISTINCT 2, district FROM valid WHERE leaf_level = 3)
@@ -595,6 +651,7 @@ FROM listed""",
     "demographic_breakdown_between": demographics(SPRING, "DATE '2000-02-29'"),
     "gender_distribution": gender(),
     "gender_distribution_region": gender(ASIA),
+    "gender_distribution_conflicts": GENDER_CONFLICTS,
     "age_sex_distribution": age_sex(),
     "age_sex_distribution_district": age_sex(NATION_5),
     "age_sex_percentages": AGE_SEX_PERCENTAGES,
@@ -686,6 +743,11 @@ WHERE district NOT IN (SELECT name FROM shapes)""",
     "weekly_table_from_rollup": weekly_table(),
     "map_cumulative_from_rollup": f"{STAR} {per_district('total_cases')}",
     "top_districts_from_rollup": top_districts(),
+    "weekly_table_visits_from_rollup": weekly_table("returned", 60),
+    "map_cumulative_visits_from_rollup": f"{STAR} {per_district('total_cases', cases='returned')}",
+    "top_districts_visits_from_rollup": top_districts("returned"),
+    "unique_by_district": unique_by_district("TRUE"),
+    "unique_by_district_month": unique_by_district(MARCH),
     "live_epi_curve": """
 SELECT CAST(DATE_TRUNC('week', ts) AS DATE) AS week_start,
        COUNT(DISTINCT event_id) AS weekly_cases
@@ -698,4 +760,20 @@ FROM events CROSS JOIN hours WHERE event_type = 'error' GROUP BY 1""",
     "live_snapshot_weekly": weekly_table(),
     "live_snapshot_districts": top_districts(),
     "live_snapshot_map": f"{STAR} {per_district('total_cases')}",
+    "shapes_from_geojson": """
+SELECT CONCAT(n_name, ' District') AS name, CASE WHEN n_nationkey % 5 <> 0 THEN
+       CONCAT('{"type":"Point","coordinates":[', n_nationkey, ',', n_nationkey + 1, ']}') END
+       AS geometry FROM nation""",
+    "report_weekly_moving_average": moving_average(ASIA),
+    "report_weekly_by_sex": weekly_by_sex(ASIA),
+    "report_gender_distribution": gender(ASIA),
 }
+for name, districts in {"location_options": "dim_org", "deaths_by_district": "dim_org",
+                        "mortality_summary": "dim_org"}.items():
+    ORACLES[f"{name}_valid"] = ORACLES[name].replace(
+        f"JOIN {districts} USING (org)", "JOIN valid USING (org)")
+ORACLES["report_top_districts"] = ORACLES["top_districts_totals"]
+ORACLES |= {f"{name}_star": ORACLES[name] for name in (
+    "total_deaths", "deaths_by_district_text", "age_sex_by_name", "top_districts",
+    "top_districts_totals", "executive_summary", "daily_rollup")}
+ORACLES["demographic_breakdown_star"] = ORACLES["demographic_breakdown_between"]

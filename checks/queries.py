@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseframe.functions.bands import (
     ATTACK_RATE, CUMULATIVE_CASES, CURRENT_RATE, RECENT_CASES)
-from caseframe.model import Scope
+from caseframe.model import ReportParams, Scope
 from caseframe.plans import (
     choices, deaths, districts, elements, maps, people, quality, rollup, summary, weekly)
+from caseframe.operators.places import named_district
+from caseframe.plans.report import situation_report
+from caseframe.sources.geojson import read_shapes
+from caseframe.sources.tables import Star
 from caseframe.sources.workdir import new_folder
 from caseframe.streaming import live
-from checks.star import CODES, RETURNED, URGENT, Tables, fact_of, tables
+from caseframe.streaming.snapshot import Snapshot
+from checks.star import (
+    BORN, CODES, RETURNED, URGENT, Tables, fact_of, geojson_of, tables, written_star)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +32,8 @@ MARCH_1996 = Scope(year=1996, month=3)
 ASIA_1998 = Scope("region", "Asia", year=1998)
 SPRING = Scope(start=dt.date(1999, 3, 1), end=dt.date(1999, 6, 15))
 BACK_THEN = dt.date(1998, 6, 30)
+MARCH_REQUEST = ReportParams(year="1996", month="mar", location="Asia Region")
+ASIA_REQUEST = ReportParams(year="1997", month="all", location="Asia Region")
 
 
 def _on(build: Callable[[Tables], DataFrame]) -> Query:
@@ -47,6 +56,10 @@ def _rollup(t: Tables) -> DataFrame:
     return rollup.daily_rollup(t.fact, t.attributes, URGENT, CODES)
 
 
+def _exact_rollup(t: Tables) -> rollup.Rollup:
+    return rollup.exact_rollup(t.visits, t.attributes, RETURNED, CODES)
+
+
 REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     # one-row summaries
     "cases_last_24h": lambda t: summary.cases_last_24h(t.fact, URGENT),
@@ -59,15 +72,25 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "executive_summary_as_of": lambda t: summary.executive_summary(
         t.fact, t.org, t.attributes, URGENT, as_of=dt.date(1998, 6, 30)),
     # weeks
-    "weekly_table": lambda t: weekly.weekly_table(t.fact, URGENT),
-    "weekly_table_next": lambda t: weekly.weekly_table(t.fact, URGENT, compare="next"),
+    "weekly_table": lambda t: weekly.weekly_table(t.fact, URGENT, by="rows"),
+    "weekly_table_next": lambda t: weekly.weekly_table(
+        t.fact, URGENT, compare="next", by="rows"),
     "weekly_table_iso_year": lambda t: weekly.weekly_table(
-        t.fact, URGENT, weeks=400, iso_year=True),
-    "weekly_table_visits": lambda t: weekly.weekly_table(t.visits, RETURNED, weeks=60),
-    "weekly_table_year": lambda t: weekly.weekly_table_year(t.fact, URGENT, year=1997),
-    "weekly_table_last_year": lambda t: weekly.weekly_table_year(t.fact, URGENT),
+        t.fact, URGENT, weeks=400, iso_year=True, by="rows"),
+    "weekly_table_visits": lambda t: weekly.weekly_table(
+        t.visits, RETURNED, weeks=60, by="rows"),
+    "weekly_table_year": lambda t: weekly.weekly_table_year(
+        t.fact, URGENT, year=1997, by="rows"),
+    "weekly_table_last_year": lambda t: weekly.weekly_table_year(t.fact, URGENT, by="rows"),
     "weekly_table_year_bounds": lambda t: weekly.weekly_table_year(
-        t.fact, URGENT, year=1999, start=SPRING.start, end=SPRING.end, compare="next"),
+        t.fact, URGENT, year=1999, start=SPRING.start, end=SPRING.end, compare="next",
+        by="rows"),
+    "weekly_table_weeks": lambda t: weekly.weekly_table(t.fact, URGENT, weeks=400),
+    "weekly_table_gaps": lambda t: weekly.weekly_table(t.fact, BORN, weeks=400),
+    "weekly_table_gaps_next": lambda t: weekly.weekly_table(
+        t.fact, BORN, weeks=400, compare="next"),
+    "weekly_table_year_weeks": lambda t: weekly.weekly_table_year(t.fact, URGENT, year=1997),
+    "weekly_table_last_year_weeks": lambda t: weekly.weekly_table_year(t.fact, URGENT, weeks=60),
     "weekly_moving_average": lambda t: weekly.weekly_moving_average(t.fact, t.org, URGENT),
     "weekly_moving_average_region": lambda t: weekly.weekly_moving_average(
         t.fact, t.org, URGENT, scope=ASIA),
@@ -77,6 +100,8 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
         t.fact, t.org, t.attributes, URGENT, CODES),
     "weekly_by_sex_region": lambda t: weekly.weekly_by_sex(
         t.fact, t.org, t.attributes, URGENT, CODES, scope=ASIA),
+    "weekly_by_sex_conflicts": lambda t: weekly.weekly_by_sex(
+        t.fact, t.org, t.conflicts, URGENT, CODES),
     "district_epicurves": lambda t: weekly.district_epicurves(t.fact, t.org, URGENT),
     "district_epicurves_year": lambda t: weekly.district_epicurves(
         t.fact, t.org, URGENT, year=1998),
@@ -98,12 +123,19 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
         t.fact, t.org, URGENT, days=21),
     "district_reporting_24h": lambda t: districts.district_reporting(
         t.fact, t.org, URGENT, hours=24),
+    "district_reporting_request": lambda t: districts.district_reporting(
+        t.fact, t.org, URGENT, scope=MARCH_REQUEST.scope()),
     "district_line_summary": lambda t: districts.district_line_summary(t.fact, t.org, URGENT),
     "district_line_summary_visits": lambda t: districts.district_line_summary(
         t.visits, t.org, RETURNED, as_of=dt.date(2000, 6, 30)),
     # places and periods to choose from
-    "location_options": lambda t: choices.location_options(t.fact, t.org, URGENT),
+    "location_options": lambda t: choices.location_options(
+        t.fact, t.org, URGENT, keep=named_district()),
+    "location_options_valid": lambda t: choices.location_options(t.fact, t.org, URGENT),
     "time_period_options": lambda t: choices.time_period_options(t.fact, URGENT),
+    "time_period_options_nested": lambda t: choices.time_period_options(
+        t.fact, URGENT, nested=True).select("year", F.concat_ws(
+            ", ", F.transform("months", lambda m: m["display"])).alias("months")),
     "hierarchical_locations": lambda t: choices.hierarchical_locations(t.org),
     # age and sex
     "age_sex_by_name": lambda t: people.age_sex_by_name(t.fact, t.attributes, URGENT),
@@ -114,6 +146,8 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
         t.fact, t.org, t.attributes, URGENT, CODES),
     "gender_distribution_region": lambda t: people.gender_distribution(
         t.fact, t.org, t.attributes, URGENT, CODES, scope=ASIA),
+    "gender_distribution_conflicts": lambda t: people.gender_distribution(
+        t.fact, t.org, t.conflicts, URGENT, CODES),
     "age_sex_distribution": _ages,
     "age_sex_distribution_district": lambda t: _ages(t, scope=NATION_5),
     "age_sex_percentages": lambda t: people.age_sex_percentages(_ages(t)),
@@ -125,11 +159,13 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     # deaths
     "total_deaths": lambda t: deaths.total_deaths(t.fact, t.attributes, URGENT),
     "deaths_by_district_text": lambda t: deaths.deaths_by_district_text(
-        t.fact, t.org, t.attributes, URGENT),
+        t.fact, t.org, t.attributes, URGENT, keep=named_district()),
     "deaths_by_district": lambda t: deaths.deaths_by_district(
+        t.fact, t.org, t.attributes, URGENT, CODES, keep=named_district()),
+    "deaths_by_district_valid": lambda t: deaths.deaths_by_district(
         t.fact, t.org, t.attributes, URGENT, CODES),
     "deaths_by_district_region": lambda t: deaths.deaths_by_district(
-        t.fact, t.org, t.attributes, URGENT, CODES, scope=ASIA_1998),
+        t.fact, t.org, t.attributes, URGENT, CODES, scope=ASIA_1998, keep=named_district()),
     "deaths_by_age": lambda t: deaths.deaths_by_age(
         t.fact, t.org, t.attributes, URGENT, CODES),
     "deaths_by_age_region": lambda t: deaths.deaths_by_age(
@@ -141,6 +177,8 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "deaths_by_age_sex_visits": lambda t: deaths.deaths_by_age_sex(
         t.visits, t.org, t.attributes, RETURNED, CODES, unit="events"),
     "mortality_summary": lambda t: deaths.mortality_summary(deaths.deaths_by_district(
+        t.fact, t.org, t.attributes, URGENT, CODES, keep=named_district())),
+    "mortality_summary_valid": lambda t: deaths.mortality_summary(deaths.deaths_by_district(
         t.fact, t.org, t.attributes, URGENT, CODES)),
     # maps
     "map_cumulative_cases": lambda t: maps.map_cumulative_cases(t.fact, t.org, URGENT),
@@ -180,14 +218,66 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "dq_unmatched_geo": lambda t: quality.dq_unmatched_geo(t.shapes, t.org),
     # the roll-up
     "daily_rollup": _rollup,
-    "weekly_table_from_rollup": lambda t: rollup.weekly_table_from_rollup(_rollup(t)),
+    "weekly_table_from_rollup": lambda t: rollup.weekly_table_from_rollup(
+        _rollup(t), by="rows"),
     "map_cumulative_from_rollup": lambda t: rollup.map_cumulative_from_rollup(
         _rollup(t), t.org),
     "top_districts_from_rollup": lambda t: rollup.top_districts_from_rollup(
         _rollup(t), t.org),
+    "weekly_table_visits_from_rollup": lambda t: rollup.weekly_table_from_rollup(
+        _exact_rollup(t), weeks=60, by="rows"),
+    "map_cumulative_visits_from_rollup": lambda t: rollup.map_cumulative_from_rollup(
+        _exact_rollup(t), t.org),
+    "top_districts_visits_from_rollup": lambda t: rollup.top_districts_from_rollup(
+        _exact_rollup(t), t.org),
+    "unique_by_district": lambda t: rollup.unique_by_district(t.visits, t.org, RETURNED),
+    "unique_by_district_month": lambda t: rollup.unique_by_district(
+        t.visits, t.org, RETURNED, scope=MARCH_1996),
 }
 
 
+#: Reports that find elements or attributes by name, over a star with dictionaries.
+STAR_REPORTS: dict[str, Callable[[Star], DataFrame]] = {
+    "total_deaths_star": lambda s: deaths.total_deaths(
+        s.fact, s.attributes, URGENT, names=s.names),
+    "deaths_by_district_text_star": lambda s: deaths.deaths_by_district_text(
+        s.fact, s.org, s.attributes, URGENT, names=s.names, keep=named_district()),
+    "age_sex_by_name_star": lambda s: people.age_sex_by_name(
+        s.fact, s.attributes, URGENT, names=s.names),
+    "top_districts_star": lambda s: districts.top_districts(
+        s.fact, s.org, URGENT, names=s.names),
+    "top_districts_totals_star": lambda s: districts.top_districts_totals(
+        districts.top_districts(s.fact, s.org, URGENT, names=s.names)),
+    "demographic_breakdown_star": lambda s: people.demographic_breakdown(
+        s.fact, URGENT, scope=SPRING, as_of=dt.date(2000, 2, 29), names=s.names),
+    "executive_summary_star": lambda s: summary.executive_summary(
+        s.fact, s.org, s.attributes, URGENT, names=s.names),
+    "daily_rollup_star": lambda s: rollup.daily_rollup(
+        s.fact, s.attributes, URGENT, CODES, names=s.names),
+}
+
+
+def _on_star(build: Callable[[Star], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(written_star(spark, sf_dir))
+
+
+@lru_cache(maxsize=8)
+def _report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All sections of the report for a request, over the written star."""
+    return situation_report(written_star(spark, sf_dir), URGENT, CODES,
+                            scope=ASIA_REQUEST.scope())
+
+
+def _section(name: str) -> Query:
+    return lambda spark, sf_dir: _report(spark, sf_dir)[name]
+
+
+def shapes_from_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "geojson")
+    geojson_of(spark.read.parquet(f"{sf_dir}/nation.parquet"), path)
+    return read_shapes(spark, path)
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table as a stream; the pattern takes a single file as well as a folder.
 
@@ -196,6 +286,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     session = spark.newSession()
     session.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    session.conf.set("spark.sql.session.timeZone", "UTC")
     schema = session.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return session.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
@@ -212,14 +303,14 @@ def live_rolling_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snapshot = live.Snapshot(new_folder(spark, "snapshot"), tables(spark, sf_dir).attributes,
-                             URGENT, CODES, grain="month")
+    snapshot = Snapshot(new_folder(spark, "snapshot"), tables(spark, sf_dir).attributes,
+                        URGENT, CODES, grain="month")
     snapshot.follow(fact_of(_stream(spark, sf_dir, "orders")))
     return snapshot.table(spark)
 
 
 def live_snapshot_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.weekly_table_from_rollup(_snapshot(spark, sf_dir))
+    return rollup.weekly_table_from_rollup(_snapshot(spark, sf_dir), by="rows")
 
 
 def live_snapshot_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,6 +323,10 @@ def live_snapshot_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = {name: _on(build) for name, build in REPORTS.items()}
+    named |= {name: _on_star(build) for name, build in STAR_REPORTS.items()}
+    named |= {f"report_{name}": _section(name) for name in (
+        "weekly_moving_average", "weekly_by_sex", "gender_distribution", "top_districts")}
+    named["shapes_from_geojson"] = shapes_from_geojson
     named |= {"live_epi_curve": live_epi_curve, "live_rolling_24h": live_rolling_24h,
               "live_snapshot_weekly": live_snapshot_weekly,
               "live_snapshot_districts": live_snapshot_districts,

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from caseframe.model import AttributeCodes, CaseDefinition
 from caseframe.operators.places import number_districts
-from caseframe.schemas import ORG_KEY, PERSON
+from caseframe.schemas import DISTRICT_KEY, ORG_KEY, PERSON
+from caseframe.sources.tables import Star, read_star, write_star
+from caseframe.sources.workdir import new_folder
 
 URGENT = CaseDefinition("DX", "1-URGENT")
 RETURNED = CaseDefinition("DX", "R")
+BORN = CaseDefinition("DOB", "1975-02-15")
 CODES = AttributeCodes(sex="SEX", age="AGE", outcome="OUTCOME")
 
 
@@ -24,13 +27,14 @@ class Tables:
     ``fact`` has one date and place per event. ``visits`` is unruly: its events have
     several dates, places and persons, and some of its place keys are unknown; the
     outcomes are those of ``fact``.
-    ``contacts`` holds repeated attributes.
+    ``contacts`` holds repeated attributes, ``conflicts`` sexes that contradict for some persons.
     """
 
     fact: DataFrame
     visits: DataFrame
     attributes: DataFrame
     contacts: DataFrame
+    conflicts: DataFrame
     org: DataFrame
     shapes: DataFrame
     population: DataFrame
@@ -103,6 +107,15 @@ def contacts_of(orders: DataFrame) -> DataFrame:
         F.col("o_orderstatus").alias("attribute_value"))
 
 
+def conflicts_of(orders: DataFrame) -> DataFrame:
+    """A sex per order: some orders of a customer tell another one."""
+    male = (F.col("o_custkey") % 2 == 0) != (F.col("o_orderkey") % 13 == 0)
+    return orders.select(
+        F.col("o_custkey").alias("entity_id"), F.lit("SEX").alias("attribute_id"),
+        F.lit("Sex").alias("display_name"),
+        F.when(male, "Male").otherwise("female").alias("attribute_value"))
+
+
 def org_of(nation: DataFrame, region: DataFrame) -> DataFrame:
     key = F.col("n_nationkey")
     name = (F.when(key == 24, "Unknown").when(key == 23, "1 Test District")
@@ -137,6 +150,29 @@ def population_of(customer: DataFrame) -> DataFrame:
         .agg((F.count("*") * 1000).alias("population")))
 
 
+def geojson_of(nation: DataFrame, path: str) -> None:
+    """The districts as one GeoJSON text, a point for each."""
+    key = F.col("n_nationkey")
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.concat("n_name", F.lit(" District")).alias("name")).alias("properties"),
+        F.when(key % 5 != 0, F.struct(F.lit("Point").alias("type"), F.array(key, key + 1)
+                                      .alias("coordinates"))).alias("geometry"))
+    features = F.sort_array(F.collect_list(feature)).alias("features")
+    (nation.agg(features).select(F.to_json(F.struct(
+        F.lit("FeatureCollection").alias("type"), "features"), {"ignoreNullFields": "false"}))
+     .write.text(path))
+
+
+@lru_cache(maxsize=8)
+def written_star(spark: SparkSession, sf_dir: str) -> Star:
+    """The fact, attributes and places of :func:`tables`, written as a star and read back."""
+    given = tables(spark, sf_dir)
+    path = new_folder(spark, "star")
+    write_star(Star(given.fact, given.attributes, given.org.drop(DISTRICT_KEY)), path)
+    return read_star(spark, path)
+
+
 @lru_cache(maxsize=8)
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     def read(name: str) -> DataFrame:
@@ -148,5 +184,6 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(
         fact=fact, visits=visits_of(read("lineitem")).unionByName(outcomes),
         attributes=attributes_of(customer), contacts=contacts_of(orders),
+        conflicts=conflicts_of(orders),
         org=number_districts(org_of(nation, read("region"))).cache(), shapes=shapes_of(nation),
         population=population_of(customer))

@@ -52,9 +52,35 @@ def test_one_year_restarts_the_running_total(spark):
 
 def test_last_days_of_a_year_may_belong_to_week_one(spark):
     cases = fact(spark, [(1, 1, "2024-12-30", 1), (2, 1, "2024-12-22", 1)])
-    assert [r[:2] for r in rows_of(weekly.weekly_table(cases, FLU))] == [(2024, 51), (2024, 1)]
-    assert [r[:2] for r in rows_of(weekly.weekly_table(cases, FLU, iso_year=True))] == [
+    assert [r[:2] for r in rows_of(weekly.weekly_table(cases, FLU, by="rows"))] == [
+        (2024, 51), (2024, 1)]
+    assert [r[:2] for r in rows_of(weekly.weekly_table(cases, FLU, iso_year=True, by="rows"))] == [
         (2025, 1), (2024, 51)]
+    assert [r[:2] for r in rows_of(weekly.weekly_table(cases, FLU))] == [(2025, 1), (2024, 51)]
+
+
+def test_weeks_are_compared_by_distance(spark):
+    """No change after a gap, and both ends of a year stay apart."""
+    cases = fact(spark, [(i, 1, d, 1) for i, d in enumerate(
+        ["2024-01-03"] * 2 + ["2024-01-15"] * 4 + ["2024-12-23"] * 2 + ["2024-12-31"] * 3)])
+    assert rows_of(weekly.weekly_table(cases, FLU)) == [
+        (2025, 1, 3, 11, 50.0), (2024, 52, 2, 8, None), (2024, 3, 4, 6, None), (2024, 1, 2, 2, None)]
+    assert rows_of(weekly.weekly_table(cases, FLU, compare="next", weeks=2)) == [
+        (2025, 1, 3, 11, None), (2024, 52, 2, 8, -33.3)]
+    assert rows_of(weekly.weekly_table(cases, FLU, by="rows")) == [
+        (2024, 52, 2, 11, -50.0), (2024, 3, 4, 9, -20.0), (2024, 1, 5, 5, None)]
+    assert rows_of(weekly.weekly_table_year(cases, FLU, weeks=1)) == [(2025, 1, 3, 3, None)]
+    with pytest.raises(ValueError):
+        weekly.weekly_table(cases, FLU, by="months")
+
+
+def test_contradicting_sexes_count_for_none(spark, places):
+    cases = fact(spark, [(i, i, "2024-01-03", 1) for i in range(1, 4)])
+    persons = attributes(spark, [(1, "SEX", "male"), (1, "SEX", "female"), (2, "SEX", "male"), (2, "SEX", "?"),
+                                 (3, "SEX", "female"), *((i, "AGE", "7") for i in range(1, 4))])
+    assert rows_of(weekly.weekly_by_sex(cases, places, persons, FLU, CODES)) == [(dt.date(2024, 1, 1), 1, 1)]
+    assert rows_of(people.age_sex_by_name(
+        cases, persons, FLU, age_words=("age",), sex_words=("sex",)))[0][1:] == (1, 1)
 
 
 def test_moving_average_over_rows_or_weeks(spark, places):
@@ -301,7 +327,10 @@ def test_death_reports(spark, places):
         (2, "OUT", "dead"), (2, "AGE", "n/a"), (2, "SEX2", "male"),
         (3, "OUT", "Alive"), (3, "AGE", "9"), (4, "OUT", "dead"), (4, "AGE", "50"),
         (1, "D", "found dead", "Death details"), (3, "D", "yes", "death")])
-    by_district = deaths.deaths_by_district(cases, places, persons, FLU, CODES)
+    assert rows_of(deaths.deaths_by_district(cases, places, persons, FLU, CODES)) == [
+        ("North District", 2), ("South District", 1)]
+    by_district = deaths.deaths_by_district(
+        cases, places, persons, FLU, CODES, keep=named_district())
     assert rows_of(by_district) == [("North District", 2), ("South District", 1), ("Unknown", 1)]
     assert rows_of(deaths.mortality_summary(by_district)) == [(4, "North District", 3)]
     assert rows_of(deaths.deaths_by_district(
