@@ -22,7 +22,7 @@ from caseframe.llm.shared import ship, slices
 UNKNOWN = "und"
 #: Bounds of the training sample: labelled rows of a language, their characters, languages in all,
 #: and words of a language that training uses.
-ROWS_PER_LANGUAGE, ROW_CHARS, LANGUAGES, WORDS_PER_LANGUAGE = 150, 20_000, 200, 16_000
+ROWS_PER_LANGUAGE, ROW_CHARS, SAMPLE_ROWS, WORDS_PER_LANGUAGE = 150, 20_000, 30_000, 16_000
 BUCKETS = 1 << 16
 AFFIXES = (2, 3, 4)
 LEXICON_COUNT = 3
@@ -142,22 +142,28 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     return (out, expected) if pairs else out
 
 
-def sample(docs: DataFrame, allowed: Column, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """text and lang of a bounded sample of labelled rows, the same on every run."""
-    usable = allowed & F.col("lang").isNotNull() & (F.length("text") <= ROW_CHARS) & (F.length("text") > 0)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    names = docs.filter(usable).select("doc_id", "lang").withColumn(
-        "_r", F.row_number().over(order)).filter(F.col("_r") <= rows)
-    some = names.groupBy("lang").agg(F.min("_r")).select("lang").orderBy("lang").limit(LANGUAGES)
-    names = names.join(F.broadcast(some), "lang", "left_semi").select("doc_id").distinct()
-    return (docs.filter(usable).join(F.broadcast(names), "doc_id", "left_semi")
-            .select("doc_id", "lang", "text"))
+def sample(docs: DataFrame, allowed: Column, rows: int = ROWS_PER_LANGUAGE,
+           most: int = SAMPLE_ROWS) -> DataFrame:
+    """text and lang of a bounded sample of labelled rows, the same on every run.
+
+    Each language has an equal number of rows, however many languages there are: `most` rows are
+    shared out, one at least. Of long rows a stretch is learned from. Rows that repeat an id, a
+    text and a language are one.
+    """
+    usable = docs.filter(allowed & F.col("lang").isNotNull() & (F.length("text") > 0)).select(
+        "lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    each = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(most / F.col("languages"))))
+    names = usable.agg(F.count_distinct("lang").alias("languages")).select(each.alias("each")).scalar()
+    order = Window.partitionBy("lang").orderBy("h")
+    some = (usable.select("lang", "h").distinct().withColumn("_r", F.row_number().over(order))
+            .filter(F.col("_r") <= rows).filter(F.col("_r") <= names).select("lang", "h"))
+    return (usable.join(F.broadcast(some), ["lang", "h"], "left_semi")
+            .groupBy("lang", "h").agg(F.max(F.substring("text", 1, ROW_CHARS)).alias("text")))
 
 
 def train(docs: DataFrame, allowed: Column, seed: int = 1) -> Model:
     """A model from the sample; the sample is all that reaches the driver."""
-    rows = sorted(((r.lang, r.doc_id or 0, r.text) for r in sample(docs, allowed).collect()),
-                  key=lambda r: r)
+    rows = sorted((r.lang, r.h, r.text) for r in sample(docs, allowed).collect())
     names = sorted({r[0] for r in rows})
     return fit([r[2] for r in rows], [names.index(r[0]) for r in rows], names, seed)
 
@@ -290,26 +296,27 @@ def _spoken(model: Model, column: pa.Array) -> tuple[list[str], list[float]]:
     return names, scores
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score, from the texts alone.
+def predict(docs: DataFrame, model: Model, into: tuple[str, str] = ("lang_pred", "score")
+            ) -> DataFrame:
+    """docs with lang_pred and score, or other names, from the texts alone.
 
     A null text or one without a letter is `und` with score 0, as is any text if no language
     was learned. The score is the mean posterior of the language over the words with letters.
-    Columns of docs are passed through; a lang_pred or score among them is replaced. Rows that
+    Columns of docs are passed through; those of these names are replaced. Rows that
     repeat, and texts that tie, are decided row by row; a tie goes to the language first by name.
     """
     ship(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*into)
 
     def label(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 names, scores = _spoken(model, part.column("text"))
-                part = part.append_column("lang_pred", pa.array(names, pa.string()))
-                yield part.append_column("score", pa.array(scores, pa.float64()))
+                part = part.append_column(into[0], pa.array(names, pa.string()))
+                yield part.append_column(into[1], pa.array(scores, pa.float64()))
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()),
-                         StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(into[0], StringType()),
+                         StructField(into[1], DoubleType())])
     return docs.mapInArrow(label, schema)
 
 

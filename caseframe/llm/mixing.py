@@ -23,16 +23,19 @@ WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SEED = 17
 #: Documents of a source that are sampled together, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: Parts into which rows are dealt where they meet the figures of their source.
 SALTS = 32
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and number of words of every row."""
+def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, source, number of words and own hash of every row, and its column `row`."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.col("source").cast("string").alias("source"),
-                       F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint").alias("size"))
+                       F.regexp_count(text_or_empty(), F.lit(WORD)).cast("bigint").alias("size"),
+                       F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
+                                   F.md5(text_or_empty())).alias("own"),
+                       (F.col(row) if row else F.lit(None).cast("bigint")).alias("row"))
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS,
@@ -78,36 +81,38 @@ def _uniform(*parts: Column, seed: int) -> Column:
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS,
-          seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+          seed: int = SEED, bucket_rows: int = BUCKET_ROWS,
+          row: str | None = None) -> DataFrame:
     """doc_id, size, source, source_size, target, copies and taken of every row of docs.
 
-    `docs` has doc_id, text and source; other columns are ignored. A null text has size 0, a null
-    source is a source of its own, the last. Documents without words add nothing but are sampled
-    like others. Rows that repeat an id are documents of their own, of equal order in the sample.
-    All sources empty, or an empty table: all targets 0, or no rows.
+    `docs` has doc_id, text and source; other columns are ignored, but for the one that `row`
+    names, which comes back as `row`. A null text has size 0, a null source is a source of its
+    own, the last. Documents without words add nothing but are sampled like others. Rows that
+    repeat an id are documents of their own, dealt by id and text; those that repeat both are
+    of equal order in the sample. All sources empty, or an empty table: all targets 0, or no
+    rows.
     """
-    rows = keep(sizes(docs), "sizes")
+    rows = keep(sizes(docs, row), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"),
                                         F.count("*").alias("rows"))
     figures = keep(targets(totals, weights, epochs), "targets")
     salted = figures.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     name = F.coalesce("source", F.lit(""))
-    salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("own"), F.lit(SALTS)).cast("int")
     rows = rows.withColumn("_salt", salt).alias("r").join(
         salted.alias("f"), F.expr("r._salt = f._salt and r.source <=> f.source")).select(
-        "r.doc_id", "r.source", "r.size", "f.source_size", "f.rows", "f.target", "f.epochs")
+        "r.doc_id", "r.source", "r.size", "r.own", "r.row", "f.source_size", "f.rows", "f.target", "f.epochs")
     buckets = F.expr(f"cast(1 + (rows - 1) div {bucket_rows} as bigint)")
-    own = F.floor(_uniform(F.lit("bucket"), doc, seed=seed) * buckets)
+    own = F.floor(_uniform(F.lit("bucket"), F.col("own"), seed=seed) * buckets)
     rows = rows.withColumn("bucket", own)
     order = Window.partitionBy("source", "bucket").orderBy(
-        "size", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), doc)), "doc_id")
+        "size", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col("own"))), "own")
     begin = _uniform(F.lit("start"), name, F.col("bucket").cast("string"), seed=seed)
     whole = F.floor("epochs")
     part = F.col("epochs") - whole
     place = F.row_number().over(order)
     extra = F.floor(place * part + begin) - F.floor((place - 1) * part + begin)
     return rows.select(
-        "doc_id", "size", "source", "source_size", "target",
+        "doc_id", "size", "source", "source_size", "target", "row",
         F.least(whole + extra, F.lit(epochs)).cast("bigint").alias("copies")).withColumn(
         "taken", F.col("size") * F.col("copies"))

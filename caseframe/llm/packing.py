@@ -1,10 +1,10 @@
 """Pack documents into sequences of a fixed number of tokens.
 
 Token ids come from a public byte-level vocabulary. Documents are cut only if they are longer than
-a sequence. Pieces are dealt to shards of bounded size by a hash; in a shard they arrive in hash
-order and go to the fullest open sequence that has room (best fit). The number of open sequences is
-fixed; a bitset with a bit for each amount of free space finds the best one, and when one too many
-is open the fullest closes.
+a sequence. Pieces are dealt to shards of bounded size by a hash of their ids; in a shard the longest
+arrive first, and each goes to the fullest open sequence that has room (best fit). The number of
+open sequences is fixed; a bitset with a bit for each amount of free space finds the best one, and
+when one too many is open the fullest closes.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ SPECIAL = "<|endoftext|>"
 #: Marks that are a pre-token of their own after letters, at the end of a chunk.
 ENDS = tuple(",.!?;:")
 #: Sequences that a shard may have open, and pieces that a shard holds on average.
-OPEN_BINS = 8192
+OPEN_BINS = 32_768
 SHARD_PIECES = 65_536
 #: Distinct chunks whose ids a worker remembers.
 REMEMBERED = 1_000_000
@@ -181,14 +181,16 @@ def pack(pieces: DataFrame, length: int = LENGTH, bins: int = OPEN_BINS,
     columns = pieces.columns
 
     def place(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(name, "ascending") for name in ("_h", "doc_id", "piece")])
+        table = table.sort_by([("length", "descending"), *((name, "ascending") for name in (
+            "_h", "doc_id", "piece"))])
         numbers, offsets = best_fit(table["length"].to_numpy(), length, bins)
         shard = table["_shard"][0].as_py()
         return table.select(columns).append_column(
             "sequence_id", pa.array(numbers * shards + shard, pa.int64())).append_column(
             "offset", pa.array(offsets, pa.int64()))
 
-    hashed = F.xxhash64("doc_id", "piece")
+    # Rows without an id, or with one id, are told apart by what is in them.
+    hashed = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
     return (pieces.withColumn("_h", hashed).withColumn("_shard", F.pmod("_h", F.lit(shards)))
             .groupBy("_shard").applyInArrow(place, PACKED))
 

@@ -117,6 +117,18 @@ ORACLES: dict[str, str] = {
                s.doc_id = m.c AS kept
         FROM sets s JOIN (SELECT u, min(v) AS c FROM reach GROUP BY u) m ON m.u = s.doc_id
     """,
+    "op3_warc_round_trip": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x,
+                     max(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 8), lambda i:
+                 array_to_string(list_transform(range(0, 4), lambda k:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, (1 + 5 * i)::INT, 5))::BIGINT
+                          >> (15 - 5 * k)) & 31)::INT, 1)), '')), '') AS payload_digest,
+               CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < first THEN first END AS refers_to
+        FROM d
+    """,
     "op6_exact_duplicates": r"""
         WITH d AS (
           SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'))
@@ -127,7 +139,8 @@ ORACLES: dict[str, str] = {
     """,
     "op7_source_mixing": r"""
         WITH RECURSIVE d AS (
-          SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''),
+          SELECT doc_id, source, coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce(text, '')) AS own,
+                 CAST(len(regexp_extract_all(coalesce(text, ''),
                  '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
         s AS (
           SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n,
@@ -147,12 +160,13 @@ ORACLES: dict[str, str] = {
         t AS (SELECT s.*, f.target, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size::DOUBLE END AS e
               FROM s JOIN fill f ON f.step = 40 AND f.source IS NOT DISTINCT FROM s.source),
         b AS (
-          SELECT d.doc_id, d.size, t.*, CAST(floor(('0x' || substr(md5('17:bucket:' || d.doc_id), 1, 8))::BIGINT
-                   / 4294967296.0::DOUBLE * (1 + (t.n - 1) // 20000)) AS BIGINT) AS bucket
+          SELECT d.doc_id, d.size, d.own, t.*,
+                 CAST(floor(('0x' || substr(md5('17:bucket:' || d.own), 1, 8))::BIGINT
+                   / 4294967296.0::DOUBLE * (1 + (t.n - 1) // 4000)) AS BIGINT) AS bucket
           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
         p AS (
           SELECT *, row_number() OVER (PARTITION BY source, bucket
-                   ORDER BY size, md5('17:order:' || doc_id), doc_id) AS k,
+                   ORDER BY size, md5('17:order:' || own), own) AS k,
                  ('0x' || substr(md5('17:start:' || coalesce(source, '') || ':' || bucket), 1, 8))::BIGINT
                    / 4294967296.0::DOUBLE AS u
           FROM b)

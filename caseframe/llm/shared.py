@@ -39,23 +39,40 @@ def ship(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = ":".join([root, *paths])
 
 
-def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def only_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose doc_id is among `ids`, a kept table with that one column.
 
     A bitmap of hashed ids is broadcast first, so that hardly any other row is shuffled with its
     text. It may let rows through, the more the more ids there are; the join decides.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+    return split_ids(rows, ids, key)[0].join(ids, key, "left_semi")
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is not among `ids`, a kept table with that one column.
+
+    Only rows that the bitmap of `only_ids` lets through are shuffled; the others stay where
+    they are. `rows` should be a table, as it is read twice. Rows without a key stay.
+    """
+    likely, others = split_ids(rows, ids, key)
+    return others.union(likely.join(ids, key, "left_anti"))
+
+
+def split_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is in the bitmap of the ids, and the others, none of which is an id's."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
     bits = (ids.select(F.bitmap_bucket_number(place).alias("_bucket"),
                        F.bitmap_bit_position(place).alias("_at"))
             .groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits")))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10)
     is_set = F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)").bitwiseAND(
         byte.cast("int")) != 0
-    likely = (rows.withColumn("_bucket", F.bitmap_bucket_number(place))
-              .withColumn("_at", F.bitmap_bit_position(place))
-              .join(F.broadcast(bits), "_bucket").filter(is_set).select(rows.columns))
-    return likely.join(ids, "doc_id", "left_semi")
+    placed = (rows.withColumn("_bucket", F.bitmap_bucket_number(place))
+              .withColumn("_at", F.bitmap_bit_position(place)))
+    likely = placed.join(F.broadcast(bits), "_bucket").filter(is_set).select(rows.columns)
+    others = (placed.join(F.broadcast(bits), "_bucket", "left")
+              .filter(~F.coalesce(is_set, F.lit(False))).select(rows.columns))
+    return likely, others
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -36,8 +36,9 @@ RATIO = 5
 SHORTEST, LONGEST = 2, 6
 #: A gram in this share of all places of words is frequent, if it is also in so many words.
 FREQUENT_SHARE, FREQUENT_WORDS = 50_000, 64
-#: Words of a list that are compared with one another.
+#: Words of a list that are compared with one another, and words that a task cuts at once.
 LIST = 64
+TOGETHER = 1_000
 
 POSTED = "band int, side string, context string, rest string, word string, n bigint"
 
@@ -136,9 +137,9 @@ def _posted(frequent: dict[int, dict[str, int]]):
     inner = {band: endings(band, grams) for band, grams in frequent.items()}
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER)):
             rows = []
-            for word, n, band in zip(*(batch[c].to_pylist() for c in ("word", "n", "band"))):
+            for word, n, band in zip(*(part[c].to_pylist() for c in ("word", "n", "band"))):
                 known = frequent[band]
                 cut = decompose(word, band, known)
                 bound = affected(word, cut, band, known, inner[band])

@@ -27,12 +27,12 @@ from caseframe.sources.workdir import new_folder
 
 END = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct chunks, and distinct pre-tokens, whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Distinct pre-tokens whose ids a worker remembers, and distinct chunks of other texts.
+REMEMBERED = 500_000
 #: Bytes of a row group and of a page, rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 * 2**20, 128 * 2**10, 1_000
 
-ENCODED = "doc_id bigint, n_tokens bigint, crc32 bigint, tokens array<int>"
+ENCODED = "doc_id bigint, n_tokens bigint, crc32 bigint, ids binary"
 STORED = "file int, doc_id bigint, offset bigint, stop bigint, crc32 bigint, tokens array<int>"
 READ = "file int, doc_id bigint, offset bigint, stop bigint, ids_crc32 bigint, intact boolean"
 
@@ -43,49 +43,58 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
 
 
 class Encoder:
-    """Ids of whole texts by a vocabulary of `tokenizers`, equal chunks encoded once.
+    """Ids of whole texts by a vocabulary of `tokenizers`, equal pre-tokens encoded once.
 
-    White space is dropped by the vocabulary and no step of it looks over a space, so a text may
-    be cut at single spaces. Pre-tokens of plain chunks go to the model one by one; all other
-    chunks, and those that may hold a special token, go through the whole tokenizer.
+    The pre-tokens of plain texts are found here and go to the model one by one. White space is
+    dropped by the vocabulary and no step of it looks over a space, so other texts are cut at
+    single spaces; chunks that are not plain, and those that may hold a special token, go through
+    the whole tokenizer. Ids have two bytes if the vocabulary allows it, else four.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.visible = {ord(c): "".join(_shown(b) for b in c.encode())
-                        for c in map(chr, range(0xC0, 0x100))}
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4"
+        self.pre_tokens = PreTokens(self.tokenizer.model, self.kind)
         self.chunks: dict[str, bytes] = {}
-        self.pre_tokens: dict[str, bytes] = {}
 
-    def _pre_token(self, text: str) -> bytes:
-        found = self.pre_tokens.get(text)
-        if found is None:
-            ids = [t.id for t in self.model.tokenize(text.translate(self.visible))]
-            found = self.pre_tokens[text] = np.array(ids, "<i4").tobytes()
-        return found
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pre_tokens.__getitem__, _PRE_TOKENS.findall(text.lower())))
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _cut(self, text: str) -> bytes:
+        chunks = text.split(" ")
         if len(self.chunks) > REMEMBERED:
-            self.chunks = {}
-        if len(self.pre_tokens) > REMEMBERED:
-            self.pre_tokens = {}
-        chunks = chunks - self.chunks.keys()
-        plain = {c for c in chunks if _PLAIN(c) and "<|" not in c}
-        for chunk in plain:
-            self.chunks[chunk] = b"".join(map(self._pre_token, _PRE_TOKENS.findall(chunk.lower())))
-        others = list(chunks - plain)
-        for chunk, found in zip(others, self.tokenizer.encode_batch_fast(
-                others, add_special_tokens=False)):
-            self.chunks[chunk] = np.array(found.ids, "<i4").tobytes()
+            self.chunks.clear()
+        new = list({c for c in chunks if c not in self.chunks})
+        plain = [c for c in new if _PLAIN(c) and "<|" not in c]
+        self.chunks.update(zip(plain, map(self._plain, plain)))
+        others = [c for c in new if c not in self.chunks]
+        found = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        self.chunks.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(others, found))
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, four little-endian bytes an id."""
-        cut = [text.split(" ") for text in texts]
-        self._learn(set().union(*cut))
-        return [b"".join(map(self.chunks.__getitem__, parts)) for parts in cut]
+        """The ids of each text, little-endian."""
+        if len(self.pre_tokens) > REMEMBERED:
+            self.pre_tokens.clear()
+        return [self._plain(text) if _PLAIN(text) and "<|" not in text else self._cut(text)
+                for text in texts]
+
+
+class PreTokens(dict):
+    """Pre-token of plain text to its ids; unknown ones go to the model."""
+
+    def __init__(self, model, kind: str):
+        super().__init__()
+        self.model, self.kind = model, kind
+        self.visible = {ord(c): "".join(_shown(b) for b in c.encode())
+                        for c in map(chr, range(0xC0, 0x100))}
+
+    def __missing__(self, text: str) -> bytes:
+        shown = text if text.isascii() else text.translate(self.visible)
+        found = self[text] = np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
+        return found
 
 
 def _shown(byte: int) -> str:
@@ -97,40 +106,43 @@ def _shown(byte: int) -> str:
 def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
     """The ids of every row of docs (doc_id, text), with the closing id, their number and CRC."""
     ship(docs.sparkSession)
-    stop = np.array([end], "<i4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from public_tokenizers import path as place
 
         encoder = Encoder(path or place(VOCABULARY))
+        stop = np.array([end], encoder.kind).tobytes()
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
-                ids = [found + stop for found in encoder(
-                    [text or "" for text in part["text"].to_pylist()])]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(
-                    pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                ids = [found + stop for found in encoder(part["text"].to_pylist())]
+                wide = np.frombuffer(b"".join(ids), encoder.kind).astype("<u4")
+                counts = np.array([len(x) for x in ids], np.int64) // len(stop)
+                ends = np.cumsum(counts)
+                crcs = [zlib.crc32(wide[a:b]) for a, b in zip(ends - counts, ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(counts), pa.array(map(zlib.crc32, ids), pa.int64()),
-                     tokens], names=["doc_id", "n_tokens", "crc32", "tokens"])
+                    [part["doc_id"], pa.array(counts), pa.array(crcs, pa.int64()),
+                     pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "crc32", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, ENCODED)
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one file with the file's number and the ids before them in it."""
+    """Rows of one file with the file's number, the ids before them in it, and their ids as a list."""
     file, before = TaskContext.get().partitionId(), 0
     for batch in batches:
-        counts = batch["n_tokens"].to_numpy()
-        ends = before + np.cumsum(counts)
-        if len(counts):
+        for part in slices(batch, "ids", 8_000_000):
+            counts, ids = part["n_tokens"].to_numpy(), part["ids"].to_pylist()
+            kind = "<u2" if len(ids[0]) == 2 * counts[0] else "<u4"
+            flat = np.frombuffer(b"".join(ids), kind).astype(np.int32)
+            within = np.concatenate(([0], np.cumsum(counts)))
+            ends = before + within[1:]
             before = int(ends[-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(counts), file, np.int32)), batch["doc_id"],
-             pa.array(ends - counts), pa.array(ends), batch["crc32"], batch["tokens"]],
-            names=["file", "doc_id", "offset", "stop", "crc32", "tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(counts), file, np.int32)), part["doc_id"],
+                 pa.array(ends - counts), pa.array(ends), part["crc32"],
+                 pa.ListArray.from_arrays(pa.array(within, pa.int32()), pa.array(flat))],
+                names=["file", "doc_id", "offset", "stop", "crc32", "tokens"])
 
 
 def write_tokens(tokens: DataFrame, path: str, *, encoding: str = "dictionary",

@@ -3,7 +3,8 @@
 A record is a gzip member of its own. Of records with equal payloads one is a response and the
 others are revisits that name it. The reader goes through an archive once: it inflates member by
 member with a bounded buffer, takes exactly as many bytes of a block as its Content-Length says
-and checks the digest that the record carries.
+and checks the digest that the record carries. What a revisit is a copy of is looked up in the
+response that it names, whose digest must be the one that the revisit states.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseframe.llm.shared import keep, ship
+from caseframe.llm.shared import keep, ship, split_ids
+from caseframe.operators.sizes import join_dimension
 from caseframe.sources.workdir import new_folder
 
 VERSION = b"WARC/1.1"
@@ -31,8 +33,8 @@ ARCHIVE_ROWS = 8192
 CHUNK = 1 << 18
 LEVEL = 6
 
-RECORDS = ("page_id bigint, payload_bytes bigint, payload_digest string, record_type string, "
-           "refers_to bigint, archive string")
+RECORDS = ("record_id string, page_id bigint, payload_bytes bigint, payload_digest string, "
+           "record_type string, refers string, archive string")
 
 
 class DamagedArchive(ValueError):
@@ -136,7 +138,24 @@ def read_records(file: BinaryIO, chunk: int = CHUNK) -> Iterator[tuple[dict[str,
 def _files(folder: str):
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    return FileSystem.from_uri(folder)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme and host, as Spark takes it; an error if pyarrow can not open it.
+
+    A path without a scheme is one on the default file system of the cluster, not on the disk of
+    each executor.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if whole.startswith("file:/") and not whole.startswith("file://"):
+        whole = "file://" + whole.removeprefix("file:")
+    try:
+        _files(whole)
+    except (pa.ArrowException, OSError) as reason:
+        raise ValueError(f"archives can not be written to {whole}: {reason}") from reason
+    return whole
 
 
 def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -169,14 +188,21 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0,
     that repeat a page_id are records of their own with the same role. Other columns are ignored.
     """
     ship(pages.sparkSession)
-    role = roles(pages, least_bytes).groupBy("_id", "_mark").agg(
-        F.max("refers_to").alias("refers_to"))
+    folder = qualified(pages.sparkSession, folder)
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), url.alias("url"),
-                        F.col("html").cast("string").alias("html"))
     mark = F.xxhash64(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
-    rows = rows.join(role, F.col("page_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")),
-                     "left").drop("_id", "_mark")
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), url.alias("url"),
+                        F.col("html").cast("string").alias("html"), mark.alias("mark"))
+    rows = rows.withColumn("row", F.xxhash64("page_id", "mark"))
+    again = keep(roles(pages, least_bytes).filter("refers_to is not null")
+                 .groupBy(F.xxhash64("_id", "_mark").alias("row"), "_id", "_mark")
+                 .agg(F.max("refers_to").alias("refers_to")), "revisits")
+    # Pages that may be revisits meet their response's id; all others stay where they are.
+    likely, others = split_ids(rows, again.select("row"), "row")
+    named = likely.join(again, (F.col("page_id") == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+    columns = ("page_id", "url", "html", "refers_to")
+    rows = named.select(*columns).unionByName(
+        others.withColumn("refers_to", F.lit(None).cast("bigint")).select(*columns))
 
     def write(batches):
         place, name, out, count = None, None, None, 0
@@ -217,18 +243,17 @@ def page_record(key, link, payload: bytes, refers, copy: int) -> bytes:
         "WARC-Record-ID": record_uri(key, 0 if key is not None else copy), "WARC-Date": DATE,
         "WARC-Target-URI": clean, "Content-Type": "text/html; charset=utf-8",
         "WARC-Payload-Digest": digest,
-        "WARC-Block-Digest": digest if refers is None else f"sha1:{sha1_base32(b'')}",
-        "X-Payload-Length": str(len(payload))}
+        "WARC-Block-Digest": digest if refers is None else f"sha1:{sha1_base32(b'')}"}
     if key is not None:
         headers["X-Page-Id"] = str(key)
     if refers is not None:
-        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_uri(refers),
-                    "X-Refers-To-Page-Id": str(refers)}
+        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_uri(refers)}
     return record(headers, block)
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """One row per record of the archives (archive), each archive read by one task."""
+    folder = qualified(archives.sparkSession, folder)
 
     def read(batches):
         files, base = _files(folder)
@@ -247,21 +272,45 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def _row(headers, length, digest, name):
-    kind = headers["WARC-Type"]
-    full, stated = int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"][5:]
-    if kind == "response" and (length, digest) != (full, stated):
+    kind, stated = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
+    if kind == "response" and digest != stated:
         raise DamagedArchive(f"{headers['WARC-Record-ID']}: payload differs from its header")
-    page, refers = headers.get("X-Page-Id"), headers.get("X-Refers-To-Page-Id")
-    return (None if page is None else int(page), full, stated, kind,
-            None if refers is None else int(refers), name)
+    page = headers.get("X-Page-Id")
+    return (headers["WARC-Record-ID"], None if page is None else int(page),
+            length if kind == "response" else None, stated, kind, headers.get("WARC-Refers-To"), name)
 
 
 def _batch(rows) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
     columns = zip(*rows) if rows else [[]] * len(kinds)
     return pa.RecordBatch.from_arrays(
         [pa.array(list(values), kind) for values, kind in zip(columns, kinds)],
-        names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive"])
+        names=["record_id", "page_id", "payload_bytes", "payload_digest", "record_type", "refers",
+               "archive"])
+
+
+def linked(records: DataFrame) -> DataFrame:
+    """Records, a kept table, with `refers_to`: the page of the response that a revisit names.
+
+    A revisit has the length of that response. One that names no response with its digest ends
+    the job with an error. Only the responses that are named are looked up; if they are many,
+    the revisits of one response are spread over many tasks.
+    """
+    place = F.concat_ws(" ", "refers", "payload_digest").alias("place")
+    revisits = records.filter("record_type = 'revisit'").drop("payload_bytes").withColumn("place", place)
+    wanted = revisits.select("place").distinct()
+    targets = keep(records.filter("record_type = 'response'")
+                   .select(F.concat_ws(" ", "record_id", "payload_digest").alias("place"),
+                           F.col("page_id").alias("refers_to"), "payload_bytes")
+                   .join(wanted, "place", "left_semi")
+                   .groupBy("place").agg(F.max("refers_to").alias("refers_to"),
+                                         F.max("payload_bytes").alias("payload_bytes")), "targets")
+    found = join_dimension(revisits, targets, targets, "place", "left")
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit "), F.col("record_id")))
+    found = found.withColumn("payload_bytes", F.coalesce("payload_bytes", lost.cast("bigint")))
+    return (records.filter("record_type = 'response'")
+            .withColumn("refers_to", F.lit(None).cast("bigint"))
+            .unionByName(found.drop("place")).drop("record_id", "refers"))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
@@ -269,4 +318,5 @@ def round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0
     folder = folder or new_folder(pages.sparkSession, "warc")
     archives = write_archives(pages, folder, least_bytes)
     tasks = max(pages.sparkSession.sparkContext.defaultParallelism, 1)
-    return read_archives(archives.repartition(max(tasks, archives.count())), folder)
+    records = read_archives(archives.repartition(max(tasks, archives.count())), folder)
+    return linked(keep(records, "records"))

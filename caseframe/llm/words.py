@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -12,8 +13,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_BYTES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
+#: Masks of the first bytes of eight.
+_FIRST = np.array([2**(8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word from which it is hashed as a whole.
+LONG = 512
 
 
 class Words(NamedTuple):
@@ -51,22 +54,24 @@ def split(column: pa.Array, lower: bool = False) -> Words:
                  np.searchsorted(starts, texts))
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(count: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < count:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(count, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps)
-    return _POWERS
-
-
 def hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, the same wherever the word stands."""
-    power, inverse = _powers(len(words.data) + 1)
-    sums = np.zeros(len(words.data) + 1, np.uint64)
-    np.cumsum(_BYTES[words.data] * power[:len(words.data)], out=sums[1:])
-    found = (sums[words.ends] - sums[words.starts]) * inverse[words.starts]
-    return mixed(found + (words.ends - words.starts).astype(np.uint64))
+    """A 64-bit hash of the bytes of each word, the same wherever the word stands.
+
+    Eight bytes at a time go through a step that is not linear in them, so no kind of words
+    collides more often than by chance; words of more than LONG bytes go through BLAKE2.
+    """
+    rows, at, left = np.arange(len(words.starts)), words.starts, words.ends - words.starts
+    found = mixed(left.astype(np.uint64) * _BASE + _BASE)
+    for row in np.flatnonzero(left > LONG):
+        digest = hashlib.blake2b(words.data[words.starts[row]:words.ends[row]], digest_size=8)
+        found[row] = int.from_bytes(digest.digest(), "little")
+    padded = np.concatenate((words.data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(words.data) + 1, "<u8", padded, strides=(1,))
+    on = left <= LONG
+    while on.any():
+        rows, at, left = rows[on], at[on], left[on]
+        piece = eight[at] & _FIRST[np.minimum(left, 8)]
+        found[rows] = mixed((found[rows] ^ piece) * _BASE)
+        at, left = at + 8, left - 8
+        on = left > 0
+    return found

@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from caseframe.llm import (credentials, exact, languages, licenses, mixing, neardup, packing, private,
-                           quality, shared, warc)
+                           quality, shared, warc, words)
 from caseframe.llm.components import components
 from tests.llm import brute
 
@@ -513,3 +513,90 @@ def test_common_words_outside_the_templates_weigh_little(spark):
     files = spark.createDataFrame(rows, "path string, text string")
     got = {r.path: (r.licence, r.origin) for r in licenses.licences(files).collect()}
     assert got.pop("n/x") == ("MIT", "header") and set(got.values()) == {(None, None)}
+
+
+def test_words_of_a_kind_do_not_collide(docs):
+    """Unequal words that a polynomial hash modulo 2**64 can not tell apart, whatever its base."""
+    odious = "a"
+    for _ in range(10):
+        odious += odious.translate(str.maketrans("ab", "ba"))
+    evil = odious.translate(str.maketrans("ab", "ba"))
+    rows = [(1, odious), (2, evil), (3, f"one two three four five {odious}"), (4, f"one two three four five {evil}"),
+            (5, odious), (6, "x" * 5_000), (7, "x" * 5_001), (8, "y " + "x" * 5_000)]
+    got = {r[0]: r[1:] for r in table(neardup.near_duplicates(docs(rows), 80), "doc_id", "n_shingles", "component_id")}
+    assert got == brute.near(rows, 80)
+    found = words.split(pa.array([odious, evil, odious, None, "ab" * 300, "ab" * 300 + " a"]))
+    hashed = words.hashes(found).tolist()
+    assert hashed[0] == hashed[2] and hashed[3] == hashed[4] and len(set(hashed)) == 4
+
+
+@here
+def test_ordinary_numbers_are_left_alone(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = private.train(documents)
+    clean = [t for (t,) in table(documents, "text") if t and not re.search("[0-9@]", t) and len(t) > 300][:20]
+    numbers = ["1,234,567.89", "978-3-16-148410-0", "10.4.2-17", "802.11.4.5", "555 100 2000", "1234567890123456",
+               "2024-03-05", "12:30:45", "3.14159", "1990-1995", "12 000 000"]
+    texts = [f"{t[:t.index(' ', 100)]} {n} {t[t.index(' ', 100) + 1:]}" for t in clean for n in numbers]
+    found = private.tagged(model, texts)
+    wrong = {n: sum(bool(f) for f in found[k::len(numbers)]) for k, n in enumerate(numbers)}
+    assert sum(wrong.values()) <= 0.1 * len(texts), wrong
+
+
+def test_samples_are_bounded_by_rows(spark, docs, monkeypatch):
+    """A third of all rows have one id; languages are many, and one has long rows only."""
+    rows = [(1 if k % 3 == 0 else k, f"call {k} now @ home", "s", f"l{k % 90}") for k in range(900)]
+    rows += [(5_000, "long " * 9_000, "s", "verbose"), (1, rows[0][1], "s", rows[0][3])]
+    frame = docs(rows)
+    got = languages.sample(frame, F.lit(True), rows=10, most=182).collect()
+    assert len(got) == 91 * 2 and {r.lang for r in got} == {r[3] for r in rows}
+    assert max(len(r.text) for r in got) == languages.ROW_CHARS
+    seen = []
+    monkeypatch.setattr(private, "SAMPLE_ROWS", 50)
+    monkeypatch.setattr(private, "training_windows", lambda texts, random: seen.extend(texts) or (
+        np.zeros((0, private.TRAIN_WINDOW), np.int64), np.zeros((0, private.TRAIN_WINDOW), np.int64)))
+    private.train(frame)
+    assert len(seen) == 50
+
+
+def test_pieces_without_an_id_are_spread(spark, docs):
+    """A third of the rows have no id: they go to all shards, and sequences are few."""
+    numbers = np.random.default_rng(8)
+    rows = [(None if k % 3 == 0 else k, "word " * int(numbers.integers(1, 400))) for k in range(1500)]
+    pieces = shared.keep(packing.tokenized(docs(rows)), "pieces")
+    packed = packing.pack(pieces, shard_pieces=100).withColumn("shard", F.col("sequence_id") % 16)
+    by_shard = [r["count"] for r in packed.filter("doc_id is null").groupBy("shard").count().collect()]
+    assert len(by_shard) == 16 and max(by_shard) < 60
+    used, tokens = packing.pack(pieces).selectExpr("count(distinct sequence_id)", "sum(length)").first()
+    assert used <= 1.01 * -(-tokens // 1024) + 1
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_archives_are_written_under_any_name_of_the_folder(spark, tmp_path, scheme):
+    pages = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "page_id long, html string")
+    got = warc.round_trip(pages, f"{scheme}{tmp_path}/warc").orderBy("page_id").collect()
+    assert [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got] == [
+        (1, "revisit", 2, 1), (2, "response", None, 1), (3, "response", None, 0)]
+    with pytest.raises(Exception):
+        warc.qualified(spark, "nosuchscheme://host/warc")
+
+
+def test_revisits_need_the_response_that_they_name(spark, tmp_path):
+    def records(*rows):
+        return shared.keep(spark.createDataFrame(rows, warc.RECORDS), "records")
+
+    response, copy = ("u1", 1, 3, "AB", "response", None, "x"), ("u2", 2, None, "AB", "revisit", "u1", "x")
+    assert {(r.page_id, r.payload_bytes, r.refers_to) for r in warc.linked(records(response, copy)).collect()} == {
+        (1, 3, None), (2, 3, 1)}
+    for wrong in (("u2", 2, None, "ZZ", "revisit", "u1", "x"), ("u2", 2, None, "AB", "revisit", "u9", "x")):
+        with pytest.raises(Exception, match="no response"):
+            warc.linked(records(response, wrong)).collect()
+
+
+@here
+def test_only_pages_that_may_be_revisits_are_shuffled(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    again = warc.roles(pages).filter("refers_to is not null").select(F.xxhash64("_id", "_mark").alias("row"))
+    rows = pages.withColumn("row", F.xxhash64("page_id", F.xxhash64(F.encode("html", "UTF-8"))))
+    likely, others = shared.split_ids(rows, shared.keep(again, "again"), "row")
+    assert likely.count() == again.count() < rows.count() and likely.count() + others.count() == rows.count()
