@@ -152,7 +152,7 @@ def sample(docs: DataFrame, allowed: Column, rows: int = ROWS_PER_LANGUAGE,
     """
     usable = docs.filter(allowed & F.col("lang").isNotNull() & (F.length("text") > 0)).select(
         "lang", F.xxhash64("doc_id", "text").alias("h"), "text")
-    each = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(most / F.col("languages"))))
+    each = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(most / F.greatest("languages", F.lit(1)))))
     names = usable.agg(F.count_distinct("lang").alias("languages")).select(each.alias("each")).scalar()
     order = Window.partitionBy("lang").orderBy("h")
     some = (usable.select("lang", "h").distinct().withColumn("_r", F.row_number().over(order))

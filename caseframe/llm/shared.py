@@ -55,7 +55,7 @@ def without_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     they are. `rows` should be a table, as it is read twice. Rows without a key stay.
     """
     likely, others = split_ids(rows, ids, key)
-    return others.union(likely.join(ids, key, "left_anti"))
+    return others.unionByName(likely.join(ids, key, "left_anti"))
 
 
 def split_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
