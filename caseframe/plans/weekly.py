@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from caseframe.functions import ratios
 from caseframe.functions.dates import epi_week, epi_year, week_number, week_start
-from caseframe.functions.text import FEMALE, MALE, one_sex, sex_by_word
+from caseframe.functions.text import FEMALE, MALE, UNKNOWN_SEX, one_sex, sex_by_word
 from caseframe.model import AttributeCodes, CaseDefinition, Scope
 from caseframe.operators.cases import AsOf, case_rows, report_date, since
 from caseframe.operators.places import (
@@ -166,7 +166,8 @@ def weekly_by_sex(fact: DataFrame, org: DataFrame, attributes: DataFrame,
     known = (attributes.filter(F.col("attribute_id") == codes.sex)
              .select(F.col("entity_id").alias(PERSON), sex_by_word(value).alias("sex_code"))
              .filter(F.col("sex_code").isin(MALE, FEMALE))
-             .groupBy(PERSON).agg(one_sex(F.col("sex_code")).alias("sex_code")))
+             .groupBy(PERSON).agg(one_sex(F.col("sex_code")).alias("sex_code"))
+             .filter(F.col("sex_code") != UNKNOWN_SEX))
 
     def of(code: int):
         return F.coalesce(F.sum(F.when(F.col("sex_code") == code, F.col("events"))), F.lit(0))
