@@ -549,7 +549,7 @@ def test_samples_are_bounded_by_rows(spark, docs, monkeypatch):
     rows += [(5_000, "long " * 9_000, "s", "verbose"), (1, rows[0][1], "s", rows[0][3])]
     frame = docs(rows)
     got = languages.sample(frame, F.lit(True), rows=10, most=182).collect()
-    assert len(got) == 91 * 2 and {r.lang for r in got} == {r[3] for r in rows}
+    assert len(got) == 90 * 2 + 1 and {r.lang for r in got} == {r[3] for r in rows}
     assert max(len(r.text) for r in got) == languages.ROW_CHARS
     seen = []
     monkeypatch.setattr(private, "SAMPLE_ROWS", 50)
