@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from caseframe.functions import bands
 from caseframe.model import AttributeCodes, CaseDefinition, Scope
 from caseframe.operators.cases import AsOf, is_case
-from caseframe.plans import deaths, districts, maps, people, summary, weekly
+from caseframe.plans import cube, deaths, districts, maps, people, summary, weekly
 from caseframe.sources.tables import Star, spread_by
 from caseframe.sources.workdir import new_folder
 
@@ -30,11 +30,14 @@ def write_cases(fact: DataFrame, definition: CaseDefinition) -> DataFrame:
     Like :func:`keep_cases`, but nothing of it is lost with an executor. Rows are sorted by date,
     so reports for a period skip row groups.
     """
-    path = new_folder(fact.sparkSession, "cases")
-    cases = fact.filter(is_case(definition))
-    (spread_by(cases, "event_date", "event_id").sortWithinPartitions("event_date")
-     .write.parquet(path))
-    return fact.sparkSession.read.schema(cases.schema).parquet(path)
+    cases = spread_by(fact.filter(is_case(definition)), "event_date", "event_id")
+    return _written(cases.sortWithinPartitions("event_date"), "cases")
+
+
+def _written(frame: DataFrame, purpose: str) -> DataFrame:
+    path = new_folder(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def situation_report(star: Star, definition: CaseDefinition, codes: AttributeCodes, *,
@@ -80,6 +83,11 @@ def situation_report(star: Star, definition: CaseDefinition, codes: AttributeCod
         "deaths_by_age": deaths.deaths_by_age(*people_of, scope=scope),
         "deaths_by_age_sex": deaths.deaths_by_age_sex(*people_of, scope=scope),
     }
+    if scope.year is not None:
+        # One period for all: shares are read from a cube of it, counted once.
+        counted = _written(cube.case_cube(few, org, definition, scope=scope), "cube")
+        sections["district_weekly_share"] = cube.district_weekly_share(counted, org)
+        sections["district_total_share"] = cube.district_total_share(counted, org)
     layers = {
         "map_cumulative_cases": (maps.map_cumulative_cases(few, org, definition),
                                  "total_cases", bands.CUMULATIVE_CASES),

@@ -772,6 +772,18 @@ for name, districts in {"location_options": "dim_org", "deaths_by_district": "di
                         "mortality_summary": "dim_org"}.items():
     ORACLES[f"{name}_valid"] = ORACLES[name].replace(
         f"JOIN {districts} USING (org)", "JOIN valid USING (org)")
+ORACLES["weekly_cases_from_cube"] = f"""{STAR}
+SELECT CAST(DATE_TRUNC('week', day) AS DATE) AS week_start, COUNT(DISTINCT event_id) AS weekly_cases
+FROM returned JOIN valid USING (org) WHERE day IS NOT NULL GROUP BY 1"""
+ORACLES["district_total_share_from_cube"] = ORACLES["district_total_share_month"]
+ORACLES["district_weekly_share_from_cube"] = ORACLES["district_weekly_share_month"]
+ORACLES["district_epicurves_from_cube"] = f"""{STAR}, ahead AS (
+  SELECT district FROM returned JOIN valid USING (org) WHERE YEAR(day) = 1997
+  GROUP BY district ORDER BY COUNT(DISTINCT event_id) DESC, district LIMIT 12)
+SELECT district, CAST(DATE_TRUNC('week', day) AS DATE) AS week_start,
+       CAST(WEEK(day) AS INT) AS epi_week, COUNT(DISTINCT event_id) AS weekly_cases
+FROM returned JOIN valid USING (org)
+WHERE YEAR(day) = 1997 AND district IN (SELECT district FROM ahead) GROUP BY ALL"""
 ORACLES["report_top_districts"] = ORACLES["top_districts_totals"]
 ORACLES |= {f"{name}_star": ORACLES[name] for name in (
     "total_deaths", "deaths_by_district_text", "age_sex_by_name", "top_districts",

@@ -13,7 +13,7 @@ from caseframe.functions.bands import (
     ATTACK_RATE, CUMULATIVE_CASES, CURRENT_RATE, RECENT_CASES)
 from caseframe.model import ReportParams, Scope
 from caseframe.plans import (
-    choices, deaths, districts, elements, maps, people, quality, rollup, summary, weekly)
+    choices, cube, deaths, districts, elements, maps, people, quality, rollup, summary, weekly)
 from caseframe.operators.places import named_district
 from caseframe.plans.report import situation_report
 from caseframe.sources.geojson import read_shapes
@@ -216,6 +216,15 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
         t.contacts.unionByName(t.attributes)),
     "dq_orphan_keys": lambda t: quality.dq_orphan_keys(t.visits, t.org, RETURNED),
     "dq_unmatched_geo": lambda t: quality.dq_unmatched_geo(t.shapes, t.org),
+    # the cube
+    "weekly_cases_from_cube": lambda t: cube.weekly_cases(
+        cube.case_cube(t.visits, t.org, RETURNED)),
+    "district_total_share_from_cube": lambda t: cube.district_total_share(
+        cube.case_cube(t.fact, t.org, URGENT, scope=MARCH_1996), t.org),
+    "district_weekly_share_from_cube": lambda t: cube.district_weekly_share(
+        cube.case_cube(t.fact, t.org, URGENT, scope=MARCH_1996), t.org),
+    "district_epicurves_from_cube": lambda t: cube.district_epicurves(
+        cube.case_cube(t.visits, t.org, RETURNED, scope=Scope(year=1997)), t.org),
     # the roll-up
     "daily_rollup": _rollup,
     "weekly_table_from_rollup": lambda t: rollup.weekly_table_from_rollup(
