@@ -6,16 +6,20 @@ read again as the next one's docs. All but the last return the columns of docume
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseframe.llm import exact, languages, mixing, neardup, packing
 from caseframe.llm.shared import keep, without_ids
+from caseframe.operators.sizes import join_dimension
 
 #: Least mean posterior of its language that a document needs.
 LEAST_SCORE = 0.35
 #: Similarity from which documents are near duplicates, in percent.
 PERCENT = 80
+#: Files whose numbers are broadcast; more are joined by a shuffle.
+MOST_FILES = 1_000_000
 
 ORACLE_SQL = None
 
@@ -28,12 +32,22 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, kept with a number for each row, and the number's name.
+    """docs with a number for each row, and the number's name.
 
-    Decisions go by row, so rows that share an id, or have none, are told apart.
+    Decisions go by row, so rows that share an id, or have none, are told apart. Rows of files are
+    numbered by the file, whose number is kept, and their place in it, which every scan tells
+    alike; other rows are written with numbers first.
     """
-    row = _free(docs, "row_number")
-    return keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    row, file, place = (_free(docs, name) for name in ("row_number", "row_file", "row_place"))
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file),
+                             F.col("_metadata.row_index").alias(place))
+    except AnalysisException:
+        return keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    number = F.row_number().over(Window.orderBy(file)).cast("bigint").alias(row)
+    files = keep(placed.select(file).distinct().select(file, number), "files")
+    numbered = join_dimension(placed, files, files, file, limit=MOST_FILES)
+    return numbered.select(*docs.columns, (F.col(row) * 2**40 + F.col(place)).alias(row)), row
 
 
 def _one_of_each(docs: DataFrame, row: str, groups: DataFrame) -> DataFrame:
