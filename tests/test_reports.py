@@ -386,6 +386,20 @@ def test_element_profiles(spark):
     assert rows_of(elements.profile_all_elements(cases, FLU, k=2)) == [("Age", 3), ("Diagnosis", 3)]
 
 
+def test_element_profiles_deal_more_rows_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(elements, "TASK_ROWS", 20, raising=False)
+    cases = fact(spark, [(e, 1, "2024-01-01", 1) for e in range(100)]
+                 + [(e, 1, "2024-01-01", 1, "A", "Age", str(e % 9)) for e in range(200)]
+                 + [(7, 1, "2024-01-01", 1, "A", "Age", "3")] * 50)
+    rows = elements._of_events(cases, FLU, None)
+    held = rows.groupBy(F.spark_partition_id()).agg(F.count_distinct("event_id").alias("n")).collect()
+    assert len(held) > 4 and sum(row.n for row in held) == 100
+    assert rows_of(elements.profile_all_elements(cases, FLU)) == [("Age", 100), ("Diagnosis", 100)]
+    assert rows_of(elements.profile_demographic_elements(cases, FLU)) == [("Age", 100, 9)]
+    values = elements.profile_demographic_values(cases, FLU)
+    assert sum(row.event_count for row in values.collect()) == 101  # event 7 has two values
+
+
 def test_quality_checks(spark, places):
     cases = fact(spark, [(1, 1, "2024-01-01", 1), (1, 1, "2024-01-02", 1), (2, 1, "2024-01-01", 1),
                          (2, 1, "2024-01-01", 1), (3, 1, "2024-01-01", 77), (3, 1, "2024-01-01", 77),
