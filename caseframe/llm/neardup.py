@@ -94,31 +94,35 @@ def estimate(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray)
     return (low + high) / 2
 
 
-def _texts(batch: pa.RecordBatch):
-    """doc_id, node and shingle set of each text of a batch."""
-    for part in slices(batch, "text"):
-        found = wd.split(part.column("text"), lower=True)
-        hashed = wd.hashes(found)
-        ids = part.column("doc_id").to_pylist()
-        for k, (start, end) in enumerate(zip(found.first[:-1], found.first[1:])):
-            own = hashed[start:end]
-            places = np.arange(1, len(own) + 1, dtype=np.uint64)
-            node = np.array([len(own),
-                             (wd.mixed(own + places * _PLACES[0])).sum(dtype=np.uint64),
-                             (wd.mixed(own ^ places * _PLACES[1])).sum(dtype=np.uint64)], "<u8")
-            yield ids[k], node[1:].tobytes(), shingles(own)
+def _texts(part: pa.RecordBatch):
+    """doc_id, node and shingle set of each text of a slice."""
+    found = wd.split(part.column("text"), lower=True)
+    hashed = wd.hashes(found)
+    ids = part.column("doc_id").to_pylist()
+    for k, (start, end) in enumerate(zip(found.first[:-1], found.first[1:])):
+        own = hashed[start:end]
+        places = np.arange(1, len(own) + 1, dtype=np.uint64)
+        node = np.array([len(own),
+                         (wd.mixed(own + places * _PLACES[0])).sum(dtype=np.uint64),
+                         (wd.mixed(own ^ places * _PLACES[1])).sum(dtype=np.uint64)], "<u8")
+        yield ids[k], node[1:].tobytes(), shingles(own)
+
+
+def _slices(batches):
+    """Slices of all batches, which bound what a task holds of its texts and sets."""
+    return (part for batch in batches for part in slices(batch, "text"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """Sketch of every row of docs; the node stands for the sequence of lower-cased words."""
 
     def sketch(batches):
-        for batch in batches:
+        for part in _slices(batches):
             rows = [(key, node, len(values), registers(values).tobytes())
-                    for key, node, values in _texts(batch)]
+                    for key, node, values in _texts(part)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(
-                    zip(*rows) if rows else [[]] * 4,
+                    zip(*rows),
                     (pa.int64(), pa.binary(), pa.int64(), pa.binary()))],
                 names=["doc_id", "node", "n_shingles", "registers"])
 
@@ -179,10 +183,10 @@ def _sets(ends: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                   "wanted")
 
     def sets(batches):
-        for batch in batches:
-            rows = [(node, values.tobytes()) for _, node, values in _texts(batch)]
+        for part in _slices(batches):
+            rows = [(node, values.tobytes()) for _, node, values in _texts(part)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.binary()) for c in (zip(*rows) if rows else [[], []])],
+                [pa.array(c, pa.binary()) for c in zip(*rows)],
                 names=["node", "shingles"])
 
     return keep(only_ids(_slim(docs), wanted).mapInArrow(sets, SETS), "sets")

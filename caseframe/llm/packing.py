@@ -101,16 +101,6 @@ def _visible() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def ids_of(text: str, path: str) -> bytes:
-    """The token ids of a text, four little-endian bytes each."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path](text)
-
-
 def pieces_of(ids: bytes, length: int) -> Iterator[tuple[int, int, int]]:
     """Start, length and CRC of each piece; only the first of several may be short."""
     total = len(ids) // 4
@@ -127,13 +117,14 @@ def tokenized(docs: DataFrame, path: str | None = None, length: int = LENGTH,
     def cut(batches):
         from public_tokenizers import path as place
 
-        vocabulary = path or place(VOCABULARY)
+        # An encoder of the task's own: what it remembers goes with the task, not with the worker.
+        ids_of = Encoder(path or place(VOCABULARY))
         for batch in batches:
             for part in slices(batch, "text", 4_000_000):
                 rows = [(key, number, *piece)
                         for key, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist())
                         for number, piece in enumerate(
-                            pieces_of(ids_of(text or "", vocabulary) + stop, length))]
+                            pieces_of(ids_of(text or "") + stop, length))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values, kind) for values, kind in zip(
                         zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],

@@ -600,3 +600,34 @@ def test_only_pages_that_may_be_revisits_are_shuffled(spark, monkeypatch):
     rows = pages.withColumn("row", F.xxhash64("page_id", F.xxhash64(F.encode("html", "UTF-8"))))
     likely, others = shared.split_ids(rows, shared.keep(again, "again"), "row")
     assert likely.count() == again.count() < rows.count() and likely.count() + others.count() == rows.count()
+
+
+def test_workers_keep_no_encoder_after_packing(spark, docs):
+    from caseframe.llm import packing
+
+    packing.tokenized(docs([(k, f"alpha beta{k}") for k in range(40)])).collect()
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+        from caseframe.llm import packing
+
+        for _ in batches:
+            found = sum(isinstance(x, packing.Encoder) for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([found])], names=["held"])
+
+    rows = spark.range(0, 800, 1, 8).mapInArrow(held, "held bigint").collect()
+    assert len(rows) == 8 and not any(r.held for r in rows)
+
+
+def test_sets_of_texts_are_passed_on_by_slices():
+    import pyarrow as pa
+    from caseframe.llm import neardup
+
+    texts = ["one two three four five six " * 20_000, "a b", None, "seven " * 200_000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(neardup._slices([batch, batch.slice(0, 0), batch]))
+    assert len(parts) >= 4
+    assert [k for p in parts for k in p["doc_id"].to_pylist()] == [*range(5)] * 2
+    assert [len(v) for p in parts for _, _, v in neardup._texts(p)] == [6, 1, 0, 1, 0] * 2
