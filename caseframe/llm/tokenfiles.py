@@ -12,10 +12,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +32,8 @@ END = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct pre-tokens whose ids a worker remembers, and distinct chunks of other texts.
 REMEMBERED = 500_000
+#: Bytes of text that are encoded at once; the more, the fewer chunks are looked at again.
+SLICE = 8_000_000
 #: Bytes of a row group and of a page, rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 * 2**20, 128 * 2**10, 1_000
 
@@ -46,7 +51,8 @@ class Encoder:
     """Ids of whole texts by a vocabulary of `tokenizers`, equal pre-tokens encoded once.
 
     The pre-tokens of plain texts are found here and go to the model one by one. White space is
-    dropped by the vocabulary and no step of it looks over a space, so other texts are cut at
+    dropped by the vocabulary and no step of it looks over a space, so plain texts are split there
+    and each distinct chunk of a call is looked at once. Other texts are cut at
     single spaces; chunks that are not plain, and those that may hold a special token, go through
     the whole tokenizer. Ids have two bytes if the vocabulary allows it, else four.
     """
@@ -60,8 +66,23 @@ class Encoder:
         self.chunks: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
+        if text.isalpha() and text.islower():  # a single pre-token
+            return self.pre_tokens[text]
         return b"".join(map(self.pre_tokens.__getitem__, _PRE_TOKENS.findall(text.lower())))
 
+    def _plain_texts(self, texts: list[str]) -> Iterator[bytes]:
+        if not texts:
+            return iter(())
+        chunks = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        first, coded = chunks.offsets, chunks.flatten().dictionary_encode()
+        del chunks
+        known = self.pre_tokens.get
+        own = [known(chunk) or self._plain(chunk) for chunk in coded.dictionary.to_pylist()]
+        ids = pa.array(own, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[first.to_numpy()].tolist()
+        flat = memoryview(ids.buffers()[2] or b"")
+        return (bytes(flat[start:end]) for start, end in zip(ends, ends[1:]))
+
     def _cut(self, text: str) -> bytes:
         chunks = text.split(" ")
         if len(self.chunks) > REMEMBERED:
@@ -78,8 +99,9 @@ class Encoder:
         """The ids of each text, little-endian."""
         if len(self.pre_tokens) > REMEMBERED:
             self.pre_tokens.clear()
-        return [self._plain(text) if _PLAIN(text) and "<|" not in text else self._cut(text)
-                for text in texts]
+        plain = [bool(_PLAIN(text)) and "<|" not in text for text in texts]
+        found = self._plain_texts(list(compress(texts, plain)))
+        return [next(found) if is_plain else self._cut(text) for text, is_plain in zip(texts, plain)]
 
 
 class PreTokens(dict):
@@ -87,13 +109,13 @@ class PreTokens(dict):
 
     def __init__(self, model, kind: str):
         super().__init__()
-        self.model, self.kind = model, kind
+        self.model, self.code = model, "H" if kind == "<u2" else "I"
         self.visible = {ord(c): "".join(_shown(b) for b in c.encode())
                         for c in map(chr, range(0xC0, 0x100))}
 
     def __missing__(self, text: str) -> bytes:
         shown = text if text.isascii() else text.translate(self.visible)
-        found = self[text] = np.array([t.id for t in self.model.tokenize(shown)], self.kind).tobytes()
+        found = self[text] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
 
@@ -113,7 +135,7 @@ def encoded(docs: DataFrame, path: str | None = None, end: int = END) -> DataFra
         encoder = Encoder(path or place(VOCABULARY))
         stop = np.array([end], encoder.kind).tobytes()
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", SLICE):
                 ids = [found + stop for found in encoder(part["text"].to_pylist())]
                 wide = np.frombuffer(b"".join(ids), encoder.kind).astype("<u4")
                 counts = np.array([len(x) for x in ids], np.int64) // len(stop)

@@ -52,6 +52,18 @@ def test_all_characters_are_encoded_alike(vocabulary):
         tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_equal_chunks_of_texts_are_looked_at_once(vocabulary, monkeypatch):
+    encoder, tokenizer = vocabulary
+    looked = []
+    plain = encoder._plain
+    monkeypatch.setattr(encoder, "_plain", lambda text: looked.append(text) or plain(text))
+    texts = ["alpha, Beta\tgamma9\n", "", "Beta  alpha, beta don't", " alpha,\r\nBeta 日本 a", "Beta alpha,"] * 40
+    got = encoder(texts)
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in got] == [
+        tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(c == "alpha," for c in looked) <= 2 and len(looked) < 20
+
+
 def test_token_files_of_awkward_rows(docs, vocabulary):
     got = [tuple(r) for r in tokenfiles.round_trip(docs(ODD)).collect()]
     expected = brute.token_rows(ODD, lambda t: vocabulary[1].encode(t, add_special_tokens=False).ids)
