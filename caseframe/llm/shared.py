@@ -16,8 +16,11 @@ from caseframe.sources.workdir import new_folder
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bits of the bitmap that `only_ids` sends to all tasks: 16 MB, however many the ids are.
+#: Bits of the bitmap that `only_ids` sends to all tasks: at most 16 MB, however many the ids are.
 FILTER_BITS = 2**27
+#: Bits of it for each id, so that one other row in 32 passes by chance, in buckets as the bitmap
+#: functions of Spark have them; and bits that it has at least.
+BITS_PER_ID, BUCKET_BITS, LEAST_BITS = 32, 32_768, 2**20
 
 
 def keep(frame: DataFrame, purpose: str) -> DataFrame:
@@ -58,12 +61,22 @@ def without_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     return others.unionByName(likely.join(ids, key, "left_anti"))
 
 
+def bitmap(ids: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """A bitmap of the ids, whose size follows their number, and the bit of a key in it, from 1.
+
+    It has a row for each bucket with a bit. The driver holds it several times over while it is
+    broadcast.
+    """
+    bits = max(LEAST_BITS, -(-ids.count() * BITS_PER_ID // BUCKET_BITS) * BUCKET_BITS)
+    place = F.pmod(F.xxhash64(key), F.lit(min(bits, FILTER_BITS))) + 1
+    return (ids.select(F.bitmap_bucket_number(place).alias("_bucket"),
+                       F.bitmap_bit_position(place).alias("_at"))
+            .groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))), place
+
+
 def split_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The rows whose key is in the bitmap of the ids, and the others, none of which is an id's."""
-    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
-    bits = (ids.select(F.bitmap_bucket_number(place).alias("_bucket"),
-                       F.bitmap_bit_position(place).alias("_at"))
-            .groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits")))
+    bits, place = bitmap(ids, key)
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10)
     is_set = F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)").bitwiseAND(
         byte.cast("int")) != 0

@@ -69,6 +69,20 @@ def test_rows_of_some_ids(spark, docs, monkeypatch, bits):
     assert shared.only_ids(rows, ids.limit(0)).count() == 0
 
 
+def test_bitmap_of_ids_follows_their_number(spark):
+    """Few ids make a small broadcast; few other rows pass, and none of the ids is lost."""
+    rows = spark.range(400_000).withColumnRenamed("id", "doc_id")
+    for count, most in ((0, 0), (500, 32), (100_000, 98)):
+        ids = shared.keep(rows.limit(count), "ids")
+        bits, _ = shared.bitmap(ids, "doc_id")
+        assert bits.count() <= most
+        likely, others = shared.split_ids(rows, ids)
+        assert others.join(ids, "doc_id").count() == 0
+        assert likely.count() + others.count() == 400_000 and likely.count() <= count + 400_000 // 25
+        assert shared.without_ids(rows, ids).count() == 400_000 - count
+    assert shared.bitmap(spark.range(10**7).toDF("doc_id"), "doc_id")[0].count() == 4096
+
+
 def test_no_documents_no_groups(docs):
     assert neardup.near_duplicates(docs([])).count() == 0
 
