@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from caseframe.llm import words as wd
 from caseframe.llm.components import components
-from caseframe.llm.shared import keep, only_ids, ship, slices
+from caseframe.llm.shared import keep, only_ids, ship, slices, small_batches
 
 SHINGLE = 5
 #: 36 bands of 6 registers miss a pair of similarity 0.85 with probability 0.623 ** 36 < 5e-8,
@@ -325,11 +325,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     whatever their spaces. Other columns are ignored; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    every = keep(sketches(docs), "sketches")
-    nodes = keep(every.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
-        F.first("registers").alias("registers")), "nodes")
-    labels = links_of(docs, nodes, percent)
+    with small_batches(docs.sparkSession):
+        every = keep(sketches(docs), "sketches")
+        nodes = keep(every.filter("doc_id is not null and n_shingles > 0").groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
+            F.first("registers").alias("registers")), "nodes")
+        labels = links_of(docs, nodes, percent)
     member = nodes.select("node", "doc_id").join(labels, "node", "left").select(
         "node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = member.groupBy("label").agg(F.min("doc_id").alias("least"))

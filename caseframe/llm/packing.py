@@ -9,16 +9,18 @@ when one too many is open the fullest closes.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseframe.llm.shared import keep, ship, slices
+from caseframe.llm.shared import keep, ship, slices, small_batches
 
 LENGTH = 1024
 END = 2
@@ -29,8 +31,8 @@ ENDS = tuple(",.!?;:")
 #: Sequences that a shard may have open, and pieces that a shard holds on average.
 OPEN_BINS = 32_768
 SHARD_PIECES = 65_536
-#: Distinct chunks whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Distinct chunks whose ids a task remembers, about 250 bytes each.
+REMEMBERED = 200_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -68,22 +70,30 @@ class Encoder:
     """Token ids of whole texts as the vocabulary of `tokenizers` defines them.
 
     The merges of ordinary chunks run in tiktoken over the same vocabulary as ranks, several times
-    as fast; texts that can not be cut into chunks go to `tokenizers` as they are.
+    as fast; texts that can not be cut into chunks go to `tokenizers` as they are, which is loaded
+    at the first of them.
     """
 
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
         units = {shown: bytes([b]) for b, shown in _visible().items()}
         ranks = {b"".join(units[c] for c in token): number
-                 for token, number in self.tokenizer.get_vocab(False).items() if token != SPECIAL}
+                 for token, number in vocabulary.items() if token != SPECIAL}
         encoding = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN,
                                      mergeable_ranks=ranks, special_tokens={})
         self.bare, self.spaced = Ids(encoding, ""), Ids(encoding, " ")
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         try:
@@ -194,4 +204,6 @@ def packed_documents(docs: DataFrame, path: str | None = None, length: int = LEN
     empty result. Pieces of equal length are told apart by the hash, doc_id and piece number.
     """
     ship(docs.sparkSession)
-    return pack(keep(tokenized(docs, path, length), "pieces"), length)
+    with small_batches(docs.sparkSession):
+        pieces = keep(tokenized(docs, path, length), "pieces")
+    return pack(pieces, length)

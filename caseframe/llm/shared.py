@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -21,6 +22,8 @@ FILTER_BITS = 2**27
 #: Bits of it for each id, so that one other row in 32 passes by chance, in buckets as the bitmap
 #: functions of Spark have them; and bits that it has at least.
 BITS_PER_ID, BUCKET_BITS, LEAST_BITS = 32, 32_768, 2**20
+#: Bytes of an Arrow batch in `small_batches`; a longer row is a batch of its own.
+BATCH_BYTES = 2_000_000
 
 
 def keep(frame: DataFrame, purpose: str) -> DataFrame:
@@ -33,6 +36,22 @@ def keep(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written herein passes to Python tasks in Arrow batches of few bytes.
+
+    An executor holds a batch several times over, in the JVM and in the worker, for each task that
+    runs. The session's own limit holds again afterwards.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python tasks import this package from where the driver has it."""
     root = str(Path(__file__).resolve().parents[2])

@@ -645,3 +645,48 @@ def test_sets_of_texts_are_passed_on_by_slices():
     assert len(parts) >= 4
     assert [k for p in parts for k in p["doc_id"].to_pylist()] == [*range(5)] * 2
     assert [len(v) for p in parts for _, _, v in neardup._texts(p)] == [6, 1, 0, 1, 0] * 2
+
+
+def test_documents_are_packed_in_small_batches(spark, monkeypatch):
+    """Tasks that read texts get few bytes at once, and the session's limit stays as it was."""
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n, most = batch.num_rows, batch.get_total_buffer_size()
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int64()),
+                 pa.array([1] * n, pa.int64()), pa.array([most] * n, pa.int64())],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.range(0, 6000, 1, 1).selectExpr("id doc_id", "repeat(concat(id, ' words '), 200) text")
+    monkeypatch.setattr(packing, "tokenized", lambda docs, path, length: docs.mapInArrow(sizes, packing.PIECES))
+    got = packing.packed_documents(texts).agg(F.max("ids_crc32"), F.count("*")).first()
+    assert got[0] < 4_000_000 and got[1] == 6000
+    monkeypatch.setattr(neardup, "sketches", lambda docs: docs.mapInArrow(
+        sizes, packing.PIECES).selectExpr("doc_id", "cast(string(doc_id) as binary) node", "ids_crc32 n_shingles",
+                                          "cast(null as binary) registers"))
+    monkeypatch.setattr(neardup, "links_of", lambda docs, nodes, percent: nodes.selectExpr("node", "node label"))
+    got = neardup.near_duplicates(texts).agg(F.max("n_shingles"), F.count("*")).first()
+    assert got[0] < 4_000_000 and got[1] == 6000
+    assert spark.conf.get(key) == before
+    with pytest.raises(ZeroDivisionError), shared.small_batches(spark):
+        assert spark.conf.get(key) == str(shared.BATCH_BYTES)
+        raise ZeroDivisionError
+    assert spark.conf.get(key) == before
+
+
+def test_an_encoder_remembers_a_bounded_number_of_chunks(tokenizer):
+    from public_tokenizers import path
+
+    ids_of = packing.Encoder(path(packing.VOCABULARY))
+    for k in range(50):
+        text = " ".join(f"w{n}" for n in range(10_000 * k, 10_000 * k + 10_000))
+        found = ids_of(text)
+        assert len(ids_of.spaced) <= 210_000
+    assert found == np.array(tokenizer.encode(text).ids, "<u4").tobytes()
+    assert "tokenizer" not in vars(ids_of)  # for texts that can not be cut alone
+    for text in STRANGE:
+        assert ids_of(text) == np.array(tokenizer.encode(text).ids, "<u4").tobytes()
