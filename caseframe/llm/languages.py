@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from caseframe.llm import words as wd
-from caseframe.llm.shared import ship, slices
+from caseframe.llm.shared import giving_back, ship, slices
 
 UNKNOWN = "und"
 #: Bounds of the training sample: labelled rows of a language, their characters, languages in all,
@@ -317,7 +317,7 @@ def predict(docs: DataFrame, model: Model, into: tuple[str, str] = ("lang_pred",
 
     schema = StructType([*docs.schema.fields, StructField(into[0], StringType()),
                          StructField(into[1], DoubleType())])
-    return docs.mapInArrow(label, schema)
+    return docs.mapInArrow(giving_back(label), schema)
 
 
 def held_out(id_name: str = "doc_id") -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from caseframe.llm import words as wd
 from caseframe.llm.components import components
-from caseframe.llm.shared import keep, only_ids, ship, slices, small_batches
+from caseframe.llm.shared import giving_back, keep, only_ids, ship, slices, small_batches
 
 SHINGLE = 5
 #: 36 bands of 6 registers miss a pair of similarity 0.85 with probability 0.623 ** 36 < 5e-8,
@@ -126,7 +126,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     (pa.int64(), pa.binary(), pa.int64(), pa.binary()))],
                 names=["doc_id", "node", "n_shingles", "registers"])
 
-    return _slim(docs).mapInArrow(sketch, SKETCHES)
+    return _slim(docs).mapInArrow(giving_back(sketch), SKETCHES)
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def _sets(ends: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 [pa.array(c, pa.binary()) for c in zip(*rows)],
                 names=["node", "shingles"])
 
-    return keep(only_ids(_slim(docs), wanted).mapInArrow(sets, SETS), "sets")
+    return keep(only_ids(_slim(docs), wanted).mapInArrow(giving_back(sets), SETS), "sets")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseframe.llm.shared import keep, ship, slices, small_batches
+from caseframe.llm.shared import giving_back, keep, ship, slices, small_batches
 
 LENGTH = 1024
 END = 2
@@ -141,7 +141,7 @@ def tokenized(docs: DataFrame, path: str | None = None, length: int = LENGTH,
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        cut, PIECES)
+        giving_back(cut), PIECES)
 
 
 def best_fit(lengths: np.ndarray, size: int, bins: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -52,6 +52,18 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def giving_back(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The task, after which Arrow gives the memory that it keeps for later batches back.
+
+    Workers outlive their tasks, idle ones count as much as those at work.
+    """
+    def run(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python tasks import this package from where the driver has it."""
     root = str(Path(__file__).resolve().parents[2])

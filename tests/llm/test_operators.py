@@ -690,3 +690,34 @@ def test_an_encoder_remembers_a_bounded_number_of_chunks(tokenizer):
     assert "tokenizer" not in vars(ids_of)  # for texts that can not be cut alone
     for text in STRANGE:
         assert ids_of(text) == np.array(tokenizer.encode(text).ids, "<u4").tobytes()
+
+
+def test_tasks_that_read_texts_give_memory_back(spark, monkeypatch):
+    import pyarrow as pa
+    from public_tokenizers import path
+
+    class Docs:
+        """Documents whose tasks run here."""
+
+        columns, sparkSession = ["doc_id", "text"], spark
+        schema = spark.range(0).selectExpr("id doc_id", "string(id) text").schema
+
+        def select(self, *columns):
+            return self
+
+        drop = select
+
+        def mapInArrow(self, task, schema):
+            return list(task(iter([batch, batch.slice(0, 1)])))
+
+    class Pool:
+        def release_unused(self):
+            calls.append(1)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c", None])], names=["doc_id", "text"])
+    model = languages.fit(["ein und der", "the of and"] * 20, [0, 1] * 20, ["de", "en"])
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    for task in (lambda: neardup.sketches(Docs()), lambda: packing.tokenized(Docs(), path(packing.VOCABULARY)),
+                 lambda: languages.predict(Docs(), model)):
+        calls = []
+        assert sum(found.num_rows for found in task()) == 3 and calls == [1]
