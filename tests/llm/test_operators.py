@@ -392,6 +392,15 @@ def test_quality_counts_equal_brute_force(spark, documents, docs):
             assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
 
 
+def test_quality_grams_are_counted_in_generated_code(spark, docs):
+    some = docs([(1, "One two, one"), (2, "!"), (3, ""), (None, None)])
+    found = quality.weights(some, spark.createDataFrame([(1,)], "doc_id bigint"))
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    counted = {k for r in some.select(quality.grams(F.col("text")).alias("g")).collect() for k in r.g or []}
+    few = {r.bucket for r in found.collect() if r.weight != found.filter("bucket = 0").first().weight}
+    assert few == counted and 0 not in counted
+
+
 @here
 def test_quality_score_is_the_mean_log_ratio(spark, documents):
     trusted = quality.trusted_ids(spark.read.parquet(f"{SF}/labels.parquet"))
