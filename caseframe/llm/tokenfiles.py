@@ -30,6 +30,8 @@ from caseframe.sources.workdir import new_folder
 
 END = 2
 VOCABULARY = "word_bpe_49k.json"
+#: Marks that are a pre-token of their own after letters, at the end of a chunk.
+ENDS = tuple(",.!?;:")
 #: Distinct pre-tokens whose ids a worker remembers, and distinct chunks of other texts.
 REMEMBERED = 500_000
 #: Bytes of text that are encoded at once; the more, the fewer chunks are looked at again.
@@ -66,9 +68,12 @@ class Encoder:
         self.chunks: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
-        if text.isalpha() and text.islower():  # a single pre-token
+        text = text.lower()
+        if text.isalpha():  # a single pre-token
             return self.pre_tokens[text]
-        return b"".join(map(self.pre_tokens.__getitem__, _PRE_TOKENS.findall(text.lower())))
+        if text[-1:] in ENDS and text[:-1].isalpha():
+            return self.pre_tokens[text[:-1]] + self.pre_tokens[text[-1]]
+        return b"".join(map(self.pre_tokens.__getitem__, _PRE_TOKENS.findall(text)))
 
     def _plain_texts(self, texts: list[str]) -> Iterator[bytes]:
         if not texts:
@@ -77,7 +82,7 @@ class Encoder:
         first, coded = chunks.offsets, chunks.flatten().dictionary_encode()
         del chunks
         known = self.pre_tokens.get
-        own = [known(chunk) or self._plain(chunk) for chunk in coded.dictionary.to_pylist()]
+        own = [known(chunk) or self._plain(chunk) for chunk in _strings(coded.dictionary)]
         ids = pa.array(own, pa.large_binary()).take(coded.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int64)[first.to_numpy()].tolist()
         flat = memoryview(ids.buffers()[2] or b"")
@@ -104,6 +109,14 @@ class Encoder:
         return [next(found) if is_plain else self._cut(text) for text, is_plain in zip(texts, plain)]
 
 
+def _strings(chunks: pa.Array) -> list[str]:
+    """The chunks, none of which has a space, by way of one string; to_pylist makes a scalar of each."""
+    if not len(chunks):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks)
+    return pc.binary_join(whole, pa.scalar(" ", chunks.type))[0].as_py().split(" ")
+
+
 class PreTokens(dict):
     """Pre-token of plain text to its ids; unknown ones go to the model."""
 

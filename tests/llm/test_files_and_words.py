@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -64,6 +65,19 @@ def test_equal_chunks_of_texts_are_looked_at_once(vocabulary, monkeypatch):
     assert sum(c == "alpha," for c in looked) <= 2 and len(looked) < 20
 
 
+def test_words_are_encoded_without_a_pattern(vocabulary, monkeypatch):
+    encoder, tokenizer = vocabulary
+    monkeypatch.setattr(tokenfiles, "_PRE_TOKENS", None)
+    texts = ["Qword, ANDMORE. Ünït;\nßa? xyzzy!", "É: Zz"]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder(texts)] == [
+        tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_distinct_chunks_are_read_without_a_scalar_each():
+    for chunks in ([], [""], ["a", "", "bé"], ["", "x"]):
+        assert tokenfiles._strings(pa.array(chunks, pa.large_string())) == chunks
+
+
 def test_token_files_of_awkward_rows(docs, vocabulary):
     got = [tuple(r) for r in tokenfiles.round_trip(docs(ODD)).collect()]
     expected = brute.token_rows(ODD, lambda t: vocabulary[1].encode(t, add_special_tokens=False).ids)
